@@ -54,3 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints-{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
+
+
+def wrap(docs: DataFrame, text: str) -> DataFrame:
+    """Only _row (all columns) and _t (the text): no column of docs can clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_t"))
+
+
+def unwrap(df: DataFrame, columns: list[str], text: str, new: Column, **added: Column) -> DataFrame:
+    """The columns again, with the new text; an added column takes the place of one with its name."""
+    kept = [new.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in columns if c not in added]
+    return df.select(*kept, *[c.alias(n) for n, c in added.items()])
