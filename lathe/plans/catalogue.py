@@ -1,4 +1,595 @@
-"""The queries over the standard tables, with their SQL."""
+"""The queries over the standard tables, with their SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Every query runs an operator of the engine over whole tables; ORACLE_SQL says the
+same in ANSI SQL.  Row order that a result depends on is named by a key, so it
+is the same in any engine and for any partitioning.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime, timedelta
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lathe.functions import infer, scalars
+from lathe.operators import aggregate, combine, impute, lookup, ordering, position, values
+from lathe.operators.aggregate import GroupBy as G
+from lathe.table import Table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+KEYS = {"orders": ["o_orderkey"], "events": ["event_id"], "customer": ["c_custkey"], "part": ["p_partkey"], "supplier": ["s_suppkey"], "nation": ["n_nationkey"], "region": ["r_regionkey"], "documents": ["doc_id"]}
+
+
+class Tables:
+    """The standard tables of one folder, each with its row order."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> Table:
+        return Table(self.spark.read.parquet(f"{self.folder}/{name}.parquet"), KEYS.get(name))
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query that takes Tables and gives a Table or DataFrame."""
+
+    def add(f):
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            out = f(Tables(spark, folder))
+            df = out.df if isinstance(out, Table) else out
+            return df.select(*[f"`{c}`" for c in df.columns if not c.startswith("__")])
+
+        run.__name__ = name
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return QUERIES["groupby_filtered"](spark, folder)
+
+
+# ---- filters
+
+_BIG = [{"column1": "l_quantity", "criteria": ">", "value2": 25.0}, {"column1": "l_returnflag", "criteria": "==", "value2": "R"}]
+_BIG_SQL = "l_quantity > 25 AND l_returnflag = 'R'"
+
+
+@query("filter_all_pass", f"SELECT * FROM lineitem WHERE coalesce({_BIG_SQL}, false)")
+def _(t):
+    return t.lineitem.filter(_BIG)[0]
+
+
+@query("filter_all_fail", f"SELECT * FROM lineitem WHERE NOT coalesce({_BIG_SQL}, false)")
+def _(t):
+    return t.lineitem.filter(_BIG)[1]
+
+
+@query("filter_any", "SELECT * FROM orders WHERE o_totalprice > 300000 OR o_orderstatus = 'F' OR o_orderpriority != '5-LOW'")
+def _(t):
+    return t.orders.filter([{"column1": "o_totalprice", "criteria": ">", "value2": 300000.0}, {"column1": "o_orderstatus", "criteria": "==", "value2": "F"}, {"column1": "o_orderpriority", "criteria": "!=", "value2": "5-LOW"}], "any")[0]
+
+
+@query("filter_in_substring", "SELECT * FROM part WHERE contains(p_type, 'ST') AND contains('Brand#1 Brand#12 Brand#23 Brand#34', p_brand)")
+def _(t):
+    return t.part.filter([{"value1": "ST", "criteria": "in", "column2": "p_type"}, {"column1": "p_brand", "criteria": "in", "value2": "Brand#1 Brand#12 Brand#23 Brand#34"}])[0]
+
+
+@query("filter_column_vs_column", "SELECT * FROM lineitem WHERE l_discount > l_tax")
+def _(t):
+    return t.lineitem.filter([{"column1": "l_discount", "criteria": ">", "column2": "l_tax"}])[0]
+
+
+@query("filter_not_equal_nulls", "SELECT * FROM (SELECT o_orderkey, nullif(o_orderpriority, '1-URGENT') AS p FROM orders) WHERE p IS DISTINCT FROM '5-LOW'")
+def _(t):
+    orders = Table(t.orders.df.select("o_orderkey", F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("p")))
+    return orders.filter([{"column1": "p", "criteria": "!=", "value2": "5-LOW"}])[0]
+
+
+@query("filter_expression", "SELECT * FROM lineitem WHERE l_quantity * 2 >= 60 AND (l_returnflag IN ('A', 'N') OR NOT l_tax < 0.05) AND l_extendedprice / l_quantity < 1500")
+def _(t):
+    return t.lineitem.filter("all((l_quantity * 2 >= 60, l_returnflag in ['A', 'N'] or not l_tax < 0.05, l_extendedprice / l_quantity < 1500))")[0]
+
+
+@query("all_kwargs", "SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0")
+def _(t):
+    return t.customer.all(c_mktsegment="BUILDING", c_acctbal=lambda v: v > 0)
+
+
+@query("any_kwargs", "SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' OR c_nationkey = 7")
+def _(t):
+    return t.customer.any(c_mktsegment="BUILDING", c_nationkey=7)
+
+
+@query("drop_values", "SELECT * FROM (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s, o_orderpriority AS p FROM orders) WHERE s IS NOT NULL AND p != '5-LOW'")
+def _(t):
+    return Table(t.orders.df.select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("s"), F.col("o_orderpriority").alias("p"))).drop(None, "5-LOW")
+
+
+# ---- projection, slices, replacement
+
+
+@query("select_columns", "SELECT o_totalprice, o_orderkey FROM orders")
+def _(t):
+    return t.orders["o_totalprice", "o_orderkey"]
+
+
+_POS_SQL = "(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)"
+
+
+@query("slice_rows", f"SELECT * EXCLUDE (pos) FROM {_POS_SQL} WHERE pos >= 100 AND pos < 2000 AND (pos - 100) % 7 = 0")
+def _(t):
+    return t.orders[100:2000:7]
+
+
+@query("slice_last", f"SELECT o_orderkey, o_totalprice FROM {_POS_SQL} WHERE pos >= (SELECT count(*) FROM orders) - 25")
+def _(t):
+    return t.orders["o_orderkey", "o_totalprice", slice(-25, None)]
+
+
+@query("delete_rows", f"SELECT * EXCLUDE (pos) FROM {_POS_SQL} WHERE NOT (pos >= 10 AND pos < 5000)")
+def _(t):
+    return t.orders.delete_rows(slice(10, 5000))
+
+
+@query("update_rows", f"SELECT o_orderkey, CASE WHEN pos < 50 AND pos % 2 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM {_POS_SQL}")
+def _(t):
+    return t.orders["o_orderkey", "o_orderstatus"].update("o_orderstatus", slice(0, 50, 2), "X")
+
+
+@query("reindex", f"SELECT o_orderkey, o_totalprice FROM {_POS_SQL} WHERE pos % 10 = 3 UNION ALL SELECT NULL, NULL FROM region")
+def _(t):
+    n = t.orders.df.count()
+    wanted = t.spark.range(n).where("id % 10 = 3").select(F.col("id").alias("ord"), F.col("id").alias("pos")).unionAll(t.spark.range(5).select(F.col("id").alias("ord"), F.lit(-1).cast("bigint").alias("pos")))
+    return t.orders["o_orderkey", "o_totalprice"].get_by_indices(wanted)
+
+
+@query("replace_map", "SELECT o_orderkey, CASE WHEN s = 'F' THEN 'done' WHEN s IS NULL THEN 'none' ELSE s END AS s FROM (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders)")
+def _(t):
+    return Table(t.orders.df.select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("s"))).replace({"F": "done", None: "none"})
+
+
+@query("merge_where", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_name ELSE c_mktsegment END AS label FROM customer")
+def _(t):
+    return t.customer["c_custkey", "c_name", "c_mktsegment", "c_acctbal"].merge("c_name", "c_mktsegment", "label", "c_acctbal > 0").drop_columns("c_acctbal")
+
+
+@query("remove_all", "SELECT p_brand FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#12')")
+def _(t):
+    return t.part.remove_all("p_brand", "Brand#1", "Brand#12")
+
+
+@query("add_column_positional", f"SELECT o_orderkey, CASE WHEN pos < 3 THEN pos * 10 END AS extra FROM {_POS_SQL}")
+def _(t):
+    return t.orders["o_orderkey",].add_column("extra", [0, 10, 20])
+
+
+# ---- joins
+
+
+@query("inner_join", "SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey")
+def _(t):
+    return t.customer.inner_join(t.orders, ["c_custkey"], ["o_custkey"], ["c_custkey", "c_name"], ["o_orderkey", "o_totalprice"])
+
+
+@query("left_join", "SELECT c_custkey, c_name, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000")
+def _(t):
+    big = t.orders.filter("o_totalprice > 400000")[0]
+    return t.customer.left_join(big, ["c_custkey"], ["o_custkey"], ["c_custkey", "c_name"], ["o_orderkey"])
+
+
+@query("outer_join", "SELECT n_nationkey, n_name, s_suppkey FROM (SELECT * FROM nation WHERE n_nationkey < 15) FULL JOIN (SELECT * FROM supplier WHERE s_nationkey > 5) ON n_nationkey = s_nationkey")
+def _(t):
+    return t.nation.filter("n_nationkey < 15")[0].outer_join(t.supplier.filter("s_nationkey > 5")[0], ["n_nationkey"], ["s_nationkey"], ["n_nationkey", "n_name"], ["s_suppkey"])
+
+
+@query("cross_join", "SELECT n_nationkey, n_name, r_regionkey, r_name FROM nation CROSS JOIN region")
+def _(t):
+    return t.nation.cross_join(t.region, [], [], ["n_nationkey", "n_name"], ["r_regionkey", "r_name"])
+
+
+@query("outer_join_merge_keys", "SELECT coalesce(n_nationkey, s_nationkey) AS n_nationkey, n_name, s_suppkey FROM (SELECT * FROM nation WHERE n_nationkey < 15) FULL JOIN (SELECT * FROM supplier WHERE s_nationkey > 5) ON n_nationkey = s_nationkey")
+def _(t):
+    return t.nation.filter("n_nationkey < 15")[0].outer_join(t.supplier.filter("s_nationkey > 5")[0], ["n_nationkey"], ["s_nationkey"], ["n_nationkey", "n_name"], ["s_suppkey", "s_nationkey"], merge_keys=True)
+
+
+@query("join_null_keys", "SELECT a.o_orderkey, b.n FROM (SELECT o_orderkey, nullif(o_orderpriority, '2-HIGH') AS p FROM orders) a JOIN (SELECT nullif(o_orderpriority, '2-HIGH') AS p, count(*) AS n FROM orders GROUP BY 1) b ON a.p IS NOT DISTINCT FROM b.p")
+def _(t):
+    left = Table(t.orders.df.select("o_orderkey", F.nullif("o_orderpriority", F.lit("2-HIGH")).alias("p")))
+    right = Table(left.df.groupBy("p").agg(F.count(F.lit(1)).alias("n")))
+    return left.inner_join(right, ["p"], ["p"], ["o_orderkey"], ["n"])
+
+
+@query("join_name_collision", "SELECT a.n_nationkey, a.n_name, b.n_nationkey AS n_nationkey_1, b.n_name AS n_name_1 FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def _(t):
+    pair = ["n_nationkey", "n_name"]
+    return t.nation.inner_join(t.nation, ["n_regionkey"], ["n_regionkey"], pair, pair)
+
+
+@query("semi_join", "SELECT * FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def _(t):
+    return t.customer.join(t.orders.all(o_orderstatus="P"), ["c_custkey"], ["o_custkey"], kind="semi")
+
+
+@query("anti_join", "SELECT * FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def _(t):
+    return t.customer.join(t.orders.all(o_orderstatus="P"), ["c_custkey"], ["o_custkey"], kind="anti")
+
+
+# ---- lookup and match
+
+
+@query("lookup_eq", "SELECT c_custkey, f.o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) f ON c_custkey = f.o_custkey")
+def _(t):
+    return t.customer["c_custkey",].lookup(t.orders, ("c_custkey", "==", "o_custkey"))["c_custkey", "o_orderkey"]
+
+
+@query(
+    "lookup_eq_range",
+    "SELECT e.event_id, min(o.o_orderkey) AS o_orderkey FROM (SELECT event_id, user_id, value * 1000 AS price FROM events) e LEFT JOIN orders o ON e.user_id = o.o_custkey AND e.price <= o.o_totalprice GROUP BY 1",
+)
+def _(t):
+    left = Table(t.events.df.select("event_id", "user_id", (F.col("value") * 1000).alias("price")))
+    return lookup.lookup(left.df, t.orders.df, ("user_id", "==", "o_custkey"), ("price", "<=", "o_totalprice"), right_order=["o_orderkey"]).select("event_id", "o_orderkey")
+
+
+@query("lookup_range", "SELECT p_partkey, (SELECT min(s_suppkey) FROM supplier WHERE p_retailprice < s_acctbal) AS s_suppkey FROM part")
+def _(t):
+    return t.part["p_partkey", "p_retailprice"].lookup(t.supplier, ("p_retailprice", "<", "s_acctbal"))["p_partkey", "s_suppkey"]
+
+
+@query("lookup_asof", "SELECT o_orderkey, min(event_id) AS event_id FROM orders LEFT JOIN events ON o_custkey = user_id AND o_orderdate <= ts GROUP BY 1")
+def _(t):
+    out = lookup.lookup(t.orders.df, t.events.df, ("o_custkey", "==", "user_id"), ("o_orderdate", "<=", "ts"), right_order=["event_id"])
+    return out.select("o_orderkey", "event_id")
+
+
+@query("lookup_two_ranges", "SELECT c_custkey, min(o_orderkey) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND c_acctbal * 10 < o_totalprice AND c_nationkey <= o_orderkey GROUP BY 1")
+def _(t):
+    left = t.customer.df.select("c_custkey", "c_nationkey", (F.col("c_acctbal") * 10).alias("b"))
+    return lookup.lookup(left, t.orders.df, ("c_custkey", "==", "o_custkey"), ("b", "<", "o_totalprice"), ("c_nationkey", "<=", "o_orderkey"), right_order=["o_orderkey"]).select("c_custkey", "o_orderkey")
+
+
+@query("lookup_any", "SELECT c_custkey, (SELECT min(s_suppkey) FROM supplier WHERE c_nationkey = s_nationkey OR c_acctbal < s_acctbal) AS s_suppkey FROM customer")
+def _(t):
+    return t.customer["c_custkey", "c_nationkey", "c_acctbal"].lookup(t.supplier, ("c_nationkey", "==", "s_nationkey"), ("c_acctbal", "<", "s_acctbal"), all=False)["c_custkey", "s_suppkey"]
+
+
+@query("lookup_in", "SELECT p_partkey, (SELECT min(n_nationkey) FROM nation WHERE contains(n_name, substr(p_name, 1, 1))) AS n_nationkey FROM part")
+def _(t):
+    left = Table(t.part.df.select("p_partkey", F.substring("p_name", 1, 1).alias("c")))
+    return left.lookup(t.nation, ("c", "in", "n_name"))["p_partkey", "n_nationkey"]
+
+
+@query(
+    "match_priority",
+    "SELECT c_custkey, coalesce(a.k, b.k) AS s_suppkey FROM customer LEFT JOIN (SELECT s_suppkey AS k FROM supplier) a ON c_custkey = a.k LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS k FROM supplier GROUP BY 1) b ON c_nationkey = b.s_nationkey WHERE coalesce(a.k, b.k) IS NOT NULL",
+)
+def _(t):
+    return t.customer.match(t.supplier, ("c_custkey", "==", "s_suppkey"), ("c_nationkey", "==", "s_nationkey"), keep_left=["c_custkey"], keep_right=["s_suppkey"])
+
+
+# ---- aggregation
+
+_FLAGS = ["l_returnflag", "l_linestatus"]
+_BY = "l_returnflag, l_linestatus"
+
+
+@query("groupby_filtered", f'SELECT {_BY}, sum(l_quantity) AS "Sum(l_quantity)", avg(l_quantity) AS "Average(l_quantity)", count(*) AS "Count(l_quantity)" FROM lineitem WHERE l_quantity > 25 GROUP BY {_BY}')
+def _(t):
+    big = t.lineitem.filter([{"column1": "l_quantity", "criteria": ">", "value2": 25.0}])[0]
+    return big.groupby(_FLAGS, [("l_quantity", G.sum), ("l_quantity", G.avg), ("l_quantity", G.count)])
+
+
+@query("groupby_max_min_sum_count", f'SELECT {_BY}, max(l_extendedprice) AS "Max(l_extendedprice)", min(l_extendedprice) AS "Min(l_extendedprice)", sum(l_quantity) AS "Sum(l_quantity)", count(*) AS "Count(l_tax)" FROM lineitem GROUP BY {_BY}')
+def _(t):
+    return t.lineitem.groupby(_FLAGS, [("l_extendedprice", G.max), ("l_extendedprice", G.min), ("l_quantity", G.sum), ("l_tax", G.count)])
+
+
+@query("groupby_revenue", f"SELECT {_BY}, round(sum(l_extendedprice), 2) AS revenue, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY {_BY}")
+def _(t):
+    out = t.lineitem.groupby(_FLAGS, [("l_extendedprice", G.sum), ("l_discount", G.avg)]).df
+    return out.select(*_FLAGS, F.round("Sum(l_extendedprice)", 2).alias("revenue"), F.round("Average(l_discount)", 6).alias("discount"))
+
+
+@query("groupby_first_last", 'SELECT user_id, arg_min(event_type, event_id) AS "First(event_type)", arg_max(value, event_id) AS "Last(value)" FROM events GROUP BY 1')
+def _(t):
+    return t.events.groupby(["user_id"], [("event_type", G.first), ("value", G.last)])
+
+
+@query("groupby_count_unique", "SELECT o_custkey, count(DISTINCT p) + max(CASE WHEN p IS NULL THEN 1 ELSE 0 END) AS \"CountUnique(p)\" FROM (SELECT o_custkey, nullif(o_orderpriority, '1-URGENT') AS p FROM orders) GROUP BY 1")
+def _(t):
+    return Table(t.orders.df.select("o_custkey", F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("p"))).groupby(["o_custkey"], [("p", G.count_unique)])
+
+
+@query("groupby_stdev", "SELECT l_suppkey, round(coalesce(stddev_samp(l_quantity), 0), 6) AS stdev FROM lineitem GROUP BY 1")
+def _(t):
+    return t.lineitem.groupby(["l_suppkey"], [("l_quantity", G.stdev)]).df.select("l_suppkey", F.round("StandardDeviation(l_quantity)", 6).alias("stdev"))
+
+
+@query("groupby_product", "SELECT n_regionkey, product(n_nationkey + 1) AS \"Product(k)\" FROM nation GROUP BY 1")
+def _(t):
+    return Table(t.nation.df.select("n_regionkey", (F.col("n_nationkey") + 1).alias("k"))).groupby(["n_regionkey"], [("k", G.product)])
+
+
+@query("groupby_median", 'SELECT l_suppkey, median(l_quantity) AS "Median(l_quantity)" FROM lineitem GROUP BY 1')
+def _(t):
+    return t.lineitem.groupby(["l_suppkey"], [("l_quantity", G.median)])
+
+
+@query("groupby_mode", "SELECT l_suppkey, arg_max(l_linenumber, n * 100 + l_linenumber) AS \"Mode(l_linenumber)\" FROM (SELECT l_suppkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def _(t):
+    return t.lineitem.groupby(["l_suppkey"], [("l_linenumber", G.mode)])
+
+
+@query("groupby_keys_only", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def _(t):
+    return t.orders.groupby(["o_orderstatus", "o_orderpriority"])
+
+
+@query("groupby_global", 'SELECT max(o_totalprice) AS "Max(o_totalprice)", count(*) AS "Count(o_orderkey)" FROM orders')
+def _(t):
+    return t.orders.groupby([], [("o_totalprice", G.max), ("o_orderkey", G.count)])
+
+
+@query("groupby_null_key", "SELECT nullif(o_orderstatus, 'F') AS s, count(*) AS \"Count(o_orderkey)\" FROM orders GROUP BY 1")
+def _(t):
+    return Table(t.orders.df.select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("s"))).groupby(["s"], [("o_orderkey", G.count)])
+
+
+def _pivot_sql(name: str, status: str) -> str:
+    return f"max(CASE WHEN o_orderstatus = '{status}' THEN {name} END)"
+
+
+_PIVOT = "(SELECT o_orderpriority, o_orderstatus, count(*) AS c, max(o_orderkey) AS m FROM orders GROUP BY 1, 2)"
+
+
+@query("pivot_columns", "SELECT o_orderpriority, " + ", ".join(f'{_pivot_sql(c, s)} AS "{f}(o_orderkey,o_orderstatus={s})"' for s in "FOP" for c, f in (("c", "Count"), ("m", "Max"))) + f" FROM {_PIVOT} GROUP BY 1")
+def _(t):
+    return t.orders.pivot("o_orderpriority", "o_orderstatus", [("o_orderkey", G.count), ("o_orderkey", G.max)], values_as_rows=False)
+
+
+@query(
+    "pivot_rows",
+    " UNION ALL ".join(f"SELECT o_orderpriority, '{f}(o_orderkey)' AS function, " + ", ".join(f'{_pivot_sql(c, s)} AS "(o_orderstatus={s})"' for s in "FOP") + f" FROM {_PIVOT} GROUP BY 1" for c, f in (("c", "Count"), ("m", "Max"))),
+)
+def _(t):
+    return t.orders.pivot("o_orderpriority", "o_orderstatus", [("o_orderkey", G.count), ("o_orderkey", G.max)])
+
+
+@query("unpivot", "SELECT p_partkey, 'p_name' AS attribute, p_name AS value FROM part UNION ALL SELECT p_partkey, 'p_brand', p_brand FROM part UNION ALL SELECT p_partkey, 'p_type', nullif(p_type, 'x') FROM part")
+def _(t):
+    return t.part.pivot_transpose(["p_name", "p_brand", "p_type"], ["p_partkey"], "attribute", "value")
+
+
+@query("transpose_small", "SELECT 'r_regionkey' AS r_name, " + ", ".join(f"max(CASE WHEN r_name = '{r}' THEN r_regionkey END) AS \"{r}\"" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + " FROM region")
+def _(t):
+    return t.region["r_name", "r_regionkey"].transpose()
+
+
+@query("drop_duplicates_first", "SELECT DISTINCT ON (user_id, event_type) event_id, ts, user_id, event_type, value, props FROM events ORDER BY user_id, event_type, event_id")
+def _(t):
+    return t.events.drop_duplicates("user_id", "event_type")
+
+
+@query("unique", "SELECT DISTINCT p_brand FROM part")
+def _(t):
+    return t.part.df.select("p_brand").distinct()
+
+
+@query("histogram", "SELECT p_size AS value, count(*) AS count FROM part GROUP BY 1")
+def _(t):
+    return t.part.histogram("p_size")
+
+
+@query("index_positions", "SELECT p_brand, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM (SELECT p_brand, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part) GROUP BY 1")
+def _(t):
+    return t.part.index("p_brand").df.select("p_brand", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query("count_value", "SELECT count(*) AS n FROM part WHERE p_size = 7")
+def _(t):
+    return t.part.df.where(F.col("p_size").eqNullSafe(7)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("column_statistics", "SELECT min(p_size)::DOUBLE AS min, max(p_size)::DOUBLE AS max, round(avg(p_size), 9) AS mean, median(p_size) AS median, round(stddev_samp(p_size), 9) AS stdev, sum(p_size)::DOUBLE AS sum, count(DISTINCT p_size) AS distinct_values, (SELECT p_size FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)::DOUBLE AS mode FROM part")
+def _(t):
+    s = values.statistics(t.part.df, "p_size")
+    row = {k: float(s[k]) for k in ("min", "max", "mean", "median", "stdev", "sum", "mode")} | {"distinct_values": s["distinct"]}
+    row |= {k: round(row[k], 9) for k in ("mean", "stdev")}
+    return t.spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'bigint' if k == 'distinct_values' else 'double'}" for k in row))
+
+
+@query("types", "SELECT 'o_orderkey' AS column_name, count(o_orderkey) AS n FROM orders UNION ALL SELECT 'o_orderstatus', count(o_orderstatus) FROM orders")
+def _(t):
+    found = t.orders["o_orderkey", "o_orderstatus"].types()
+    return t.spark.createDataFrame([(c, sum(n for k, n in v.items() if k != "NoneType")) for c, v in found.items()], "column_name string, n bigint")
+
+
+# ---- order
+
+
+@query("sort_excel_desc_topk", "SELECT o_orderkey, p FROM (SELECT o_orderkey, nullif(o_totalprice, (SELECT max(o_totalprice) FROM orders)) AS p FROM orders) ORDER BY p DESC NULLS FIRST, o_orderkey LIMIT 20")
+def _(t):
+    top = t.orders.df.agg(F.max("o_totalprice")).first()[0]
+    df = t.orders.df.select("o_orderkey", F.nullif("o_totalprice", F.lit(top)).alias("p"))
+    return ordering.top(df, {"p": True}, 20, "excel", ["o_orderkey"])
+
+
+@query("sort_unix_topk", "SELECT o_orderkey, s FROM (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders) ORDER BY s NULLS FIRST, o_orderkey LIMIT 20")
+def _(t):
+    df = t.orders.df.select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("s"))
+    return ordering.top(df, {"s": False}, 20, "unix", ["o_orderkey"])
+
+
+@query("sort_alphanumeric_topk", "SELECT o_orderkey FROM orders ORDER BY o_orderkey::VARCHAR LIMIT 50")
+def _(t):
+    return ordering.top(t.orders.df.select("o_orderkey"), {"o_orderkey": False}, 50, "alphanumeric", ["o_orderkey"])
+
+
+@query("sort_index", "SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rank, pos AS position FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)")
+def _(t):
+    out = ordering.sort_index(t.orders.df, {"o_totalprice": True}, "excel", ["o_orderkey"])
+    return position.with_ordinals(out.withColumn(position.POS, F.monotonically_increasing_id()), [position.POS]).select(F.col(position.ORDINAL).alias("rank"), "position")
+
+
+@query("is_sorted", "SELECT true AS by_key, false AS by_price")
+def _(t):
+    return t.spark.createDataFrame([(t.orders.is_sorted({"o_orderkey": False}), t.orders.is_sorted({"o_totalprice": False}))], "by_key boolean, by_price boolean")
+
+
+# ---- several tables
+
+
+@query("union_add", "SELECT c_custkey AS k, c_name AS n FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def _(t):
+    a = t.customer.df.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"))
+    return combine.append(a, t.supplier.df.select(F.col("s_name").alias("n"), F.col("s_suppkey").alias("k")))
+
+
+@query("stack", "SELECT c_custkey, c_acctbal AS bal, NULL AS s_suppkey FROM customer UNION ALL SELECT NULL, s_acctbal, s_suppkey FROM supplier")
+def _(t):
+    return combine.stack(t.customer.df.select("c_custkey", F.col("c_acctbal").alias("bal")), t.supplier.df.select("s_suppkey", F.col("s_acctbal").alias("bal")))
+
+
+@query("repeat", "SELECT n_name FROM nation, range(3)")
+def _(t):
+    return t.nation["n_name",] * 3
+
+
+_HALF = "(SELECT user_id % 50 AS u, event_type FROM events WHERE event_id % 2 = {})"
+
+
+@query(
+    "diff_sets",
+    "SELECT u, event_type, CASE WHEN a.r IS NULL THEN '-' WHEN b.r IS NULL THEN '+' ELSE '=' END AS \"1st\", CASE WHEN a.r IS NULL THEN '+' WHEN b.r IS NULL THEN '-' ELSE '=' END AS \"2nd\" FROM "
+    + " FULL JOIN ".join(f"(SELECT u, event_type, row_number() OVER (PARTITION BY u, event_type) AS r FROM {_HALF.format(i)}) {n}" for i, n in ((0, "a"), (1, "b")))
+    + " USING (u, event_type, r)",
+)
+def _(t):
+    half = lambda i: t.events.df.where(F.col("event_id") % 2 == i).select((F.col("user_id") % 50).alias("u"), "event_type")
+    return combine.diff_sets(half(0), half(1))
+
+
+# ---- typed selection and inference
+
+_CAST = "SELECT event_id, user_id::VARCHAR AS u, event_type, regexp_extract(props, '[0-9]+') AS k, value FROM events"
+_SPEC = [{"column": "event_id", "type": "int"}, {"column": "u", "type": "float", "rename": "user"}, {"column": "k", "type": "int", "allow_empty": False}, {"column": "value", "type": "int", "rename": "whole"}]
+
+
+def _cast_input(t) -> Table:
+    return Table(t.events.df.select("event_id", F.col("user_id").cast("string").alias("u"), "event_type", F.when(F.col("event_id") % 97 == 0, "none").when(F.col("event_id") % 89 == 0, "").otherwise(F.regexp_extract("props", "[0-9]+", 0)).alias("k"), "value"))
+
+
+_CAST_SQL = "(SELECT event_id, user_id::VARCHAR AS u, event_type, CASE WHEN event_id % 97 = 0 THEN 'none' WHEN event_id % 89 = 0 THEN '' ELSE regexp_extract(props, '[0-9]+') END AS k, value FROM events)"
+
+
+@query("column_select_pass", f"SELECT event_id, u::DOUBLE AS user, k::BIGINT AS k, trunc(value)::BIGINT AS whole FROM {_CAST_SQL} WHERE k NOT IN ('', 'none')")
+def _(t):
+    return _cast_input(t).column_select(_SPEC)[0]
+
+
+@query("column_select_fail", f"SELECT CASE WHEN k = '' THEN '''k'' cannot be empty string in ''k[int]''.' ELSE 'Cannot cast ''none'' from ''k[str]'' to ''k[int]''.' END AS reject_reason, * FROM {_CAST_SQL} WHERE k IN ('', 'none')")
+def _(t):
+    return _cast_input(t).column_select(_SPEC)[1]
+
+
+@query("column_select_times", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, epoch(o_orderdate)::BIGINT AS seconds, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS text, o_totalprice >= 1 AS flag FROM orders")
+def _(t):
+    spec = [{"column": "o_orderkey", "type": "int"}, {"column": "o_orderdate", "type": "date", "rename": "day"}, {"column": "o_orderdate", "type": "int", "rename": "seconds"}, {"column": "o_orderdate", "type": "str", "rename": "text"}, {"column": "o_totalprice", "type": "bool", "rename": "flag"}]
+    return t.orders.column_select(spec)[0]
+
+
+@query("infer_types", "SELECT 'day' AS column_name, 'datetime' AS type UNION ALL SELECT 'key', 'int' UNION ALL SELECT 'price', 'float' UNION ALL SELECT 'status', 'str'")
+def _(t):
+    text = t.orders.df.select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_totalprice").cast("string").alias("price"), F.date_format("o_orderdate", "dd/MM/yyyy HH:mm").alias("day"), F.col("o_orderstatus").alias("status"))
+    return t.spark.createDataFrame(sorted((c, v.type) for c, v in infer.vote(text).items()), "column_name string, type string")
+
+
+@query("typed_values", "SELECT o_orderkey AS key, CAST(o_orderdate AS DATE) AS day, floor(o_totalprice)::BIGINT AS price FROM orders")
+def _(t):
+    text = t.orders.df.select(F.col("o_orderkey").cast("string").alias("key"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("day"), F.regexp_replace(F.format_number(F.floor("o_totalprice"), 0), ",", ".").alias("price"))
+    return infer.typed(text)
+
+
+# ---- missing values
+
+_GAPS = "(SELECT event_id, user_id, event_type, CASE WHEN event_id % 5 != 0 THEN value END AS v, CASE WHEN event_id % 7 != 0 THEN event_type END AS e FROM events)"
+
+
+def _gaps(t) -> DataFrame:
+    return t.events.df.select("event_id", "user_id", "event_type", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("v"), F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("e"))
+
+
+@query("impute_carry_forward", f"SELECT event_id, user_id, event_type, last_value(v IGNORE NULLS) OVER w AS v, last_value(e IGNORE NULLS) OVER w AS e FROM {_GAPS} WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+def _(t):
+    return impute.impute(_gaps(t), ["v", "e"], method="carry forward", order=["event_id"])
+
+
+@query("impute_mean", f"SELECT event_id, round(coalesce(v, (SELECT avg(v) FROM {_GAPS})), 6) AS v FROM {_GAPS}")
+def _(t):
+    return impute.impute(_gaps(t), "v", method="mean").select("event_id", F.round("v", 6).alias("v"))
+
+
+@query("impute_mode", f"SELECT event_id, coalesce(e, (SELECT e FROM {_GAPS} WHERE e IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS e FROM {_GAPS}")
+def _(t):
+    return impute.impute(_gaps(t), "e", method="mode").select("event_id", "e")
+
+
+_NEAR = "(SELECT p_partkey, p_size, CASE WHEN p_partkey % 10 != 0 THEN p_brand END AS b FROM part)"
+
+
+@query("impute_nearest", f"SELECT p_partkey, p_size, coalesce(b, (SELECT d.b FROM {_NEAR} d WHERE d.b IS NOT NULL ORDER BY abs(d.p_size - n.p_size), d.p_partkey LIMIT 1)) AS b FROM {_NEAR} n")
+def _(t):
+    # sizes are 1, 2, 3, …: ranks differ as sizes do
+    df = t.part.df.select("p_partkey", "p_size", F.when(F.col("p_partkey") % 10 != 0, F.col("p_brand")).alias("b"))
+    return impute.impute(df, "b", method="nearest neighbour", sources=["p_size"], order=["p_partkey"])
+
+
+# ---- scalars
+
+
+@query("xround_number", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity - floor(l_quantity / 7) * 7 > 3.5 THEN floor(l_quantity / 7) * 7 + 7 ELSE floor(l_quantity / 7) * 7 END AS nearest, floor(l_quantity / 7) * 7 AS low, ceil(l_quantity / 7) * 7 AS high FROM lineitem")
+def _(t):
+    q = F.col("l_quantity")
+    return t.lineitem.df.select("l_orderkey", "l_linenumber", scalars.xround(q, 7).alias("nearest"), scalars.xround(q, 7, False).alias("low"), scalars.xround(q, 7, True).alias("high"))
+
+
+@query("xround_datetime", "SELECT event_id, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '2000-01-01') AS low FROM events")
+def _(t):
+    return t.events.df.select("event_id", scalars.xround_time(F.col("ts"), timedelta(minutes=15), False).alias("low"))
+
+
+@query("date_range", "SELECT range AS value FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-01', INTERVAL 6 HOUR)")
+def _(t):
+    return scalars.date_range(t.spark, datetime(2024, 1, 1), datetime(2024, 3, 1), timedelta(hours=6))
+
+
+# ---- additions of the engine beyond the reference's surface: they come with Spark
+
+
+@query("cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def _(t):
+    return t.orders.df.cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("top_per_group", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
+def _(t):
+    return aggregate.rank_filter(t.orders.df.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 2).select("o_custkey", "o_orderkey")
+
+
+@query("running_total", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 4) AS total FROM events")
+def _(t):
+    return t.events.df.select("event_id", F.round(F.sum("value").over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)), 4).alias("total"))
+
+
+@query("intersect", "SELECT o_custkey AS k FROM orders INTERSECT SELECT user_id FROM events")
+def _(t):
+    return t.orders.df.select(F.col("o_custkey").alias("k")).intersect(t.events.df.select(F.col("user_id").alias("k")))
