@@ -47,12 +47,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which driver and executors share.  Only where it is unset, as in tests, one is made."""
+    context = spark.sparkContext
+    if folder := context.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so that later jobs neither
-    recompute the plan nor lose it with an executor."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints-{uuid.uuid4().hex}")
+    """Materialise in the shared folder, so that later jobs neither recompute the
+    plan nor lose it with an executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

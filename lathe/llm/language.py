@@ -154,6 +154,38 @@ def identify(docs: DataFrame, model: dict, text: str = "text", key: str = "doc_i
     in code-point order; repeated rows repeat; other columns are left out.
     """
     small_batches(docs.sparkSession)
+    label = _labeller(model, penalty)
+
+    def run(batches):
+        for batch in batches:
+            rows = label(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows])],
+                names=[key, "lang_pred", "score", "spans"],
+            )
+
+    chosen = docs.select(docs[key], docs[text])
+    return chosen.mapInArrow(run, f"`{key}` {dict(chosen.dtypes)[key]}, lang_pred string, score double, spans string")
+
+
+def keep_identified(docs: DataFrame, model: dict, text: str = "text", least: float = 0.5, penalty: float = SWITCH) -> DataFrame:
+    """The rows of docs whose text has a language for ``least`` of its letters.
+
+    Null texts, texts without a letter and mixtures without such a language go; all
+    columns stay, and repeated rows repeat.
+    """
+    small_batches(docs.sparkSession)
+    label, at = _labeller(model, penalty), docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            rows = label(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([r[0] != "und" and r[1] >= least for r in rows], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _labeller(model: dict, penalty: float):
     langs = model["langs"]
 
     def label(texts: list[str | None]) -> list[tuple[str, float, str]]:
@@ -177,16 +209,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", key: str = "doc_i
                 out[k] = (langs[weight.argmax()], float(weight.max() / weight.sum()), spans)
         return out
 
-    def run(batches):
-        for batch in batches:
-            rows = label(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows])],
-                names=[key, "lang_pred", "score", "spans"],
-            )
-
-    chosen = docs.select(docs[key], docs[text])
-    return chosen.mapInArrow(run, f"`{key}` {dict(chosen.dtypes)[key]}, lang_pred string, score double, spans string")
+    return label
 
 
 def held_out(key: Column) -> Column:

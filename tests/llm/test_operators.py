@@ -506,3 +506,85 @@ def test_pii_collisions_are_drawn_again(spark):
     assert len(got) == len(ents)
     assert len({(r.type, r.sur) for r in got}) == len(ents)
     assert not {(r.type, r.sur.lower()) for r in got} & set(ents)
+
+
+# ---- 2
+
+
+def brute_kneser_ney(texts):
+    """Interpolated modified Kneser-Ney over characters: a function from text to log-probability and length."""
+    n_max, counts = 5, {5: Counter()}
+    for t in texts:
+        s = "\x02" * 4 + t + "\x03"
+        counts[5].update(s[i - 4 : i + 1] for i in range(4, len(s)))
+    for n in range(4, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    table = {}
+    for n, c in counts.items():
+        n1, n2, n3, n4 = (sum(v == i for v in c.values()) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
+        raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        d = [min(max(x, 0.05), i + 1 - 0.05) for i, x in enumerate(raw)]
+        total, mass = Counter(), Counter()
+        for g, v in c.items():
+            total[g[:-1]] += v
+            mass[g[:-1]] += d[min(v, 3) - 1]
+        table[n] = (c, d, total, mass)
+
+    def p(g):
+        below = p(g[1:]) if len(g) > 1 else 1 / (len(counts[1]) + 1)
+        c, d, total, mass = table[len(g)]
+        if g[:-1] not in total:
+            return below
+        v = c.get(g, 0)
+        return ((v - d[min(v, 3) - 1]) if v else 0) / total[g[:-1]] + mass[g[:-1]] / total[g[:-1]] * below
+
+    def score(t):
+        s = "\x02" * 4 + t + "\x03"
+        return math.exp(-sum(math.log(p(s[i - 4 : i + 1])) for i in range(4, len(s))) / (len(t) + 1))
+
+    return score
+
+
+def test_quality(spark, docs, odd):
+    from lathe.llm.quality import classify
+
+    table, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    trusted = {r.doc_id for r in labels.where("quality = 1").collect()}
+    got = rows(classify(table, labels.where("quality = 1")), "doc_id")
+    assert got.keys() == docs.keys()
+    for lang in {r.lang for r in docs.values()}:
+        score = brute_kneser_ney([r.text for k, r in docs.items() if r.lang == lang and k in trusted])
+        for k, r in docs.items():
+            if r.lang == lang and (k % 7 == 0 or r.n_chars < 200):
+                assert math.isclose(got[k].perplexity, score(r.text), rel_tol=1e-9), k
+    assert sum(got[k].keep for k in trusted if k in got) >= 0.95 * len(trusted & got.keys())
+    few = rows(classify(odd, odd.where("doc_id in (1, 7)")), "doc_id")
+    assert not few[2].keep and not few[3].keep and few[2].perplexity is None
+    assert few[8].keep and few[8].perplexity is None and few[1].perplexity == few[None].perplexity
+    assert classify(odd, odd).count() == odd.count()
+    assert classify(odd.limit(0), odd).count() == 0
+    assert {r.perplexity for r in classify(odd, odd.limit(0)).collect()} == {None}
+
+
+def test_quality_tells_junk(spark):
+    where = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{where}/labels.parquet").collect()}
+    got = {r.doc_id: r.keep for r in Q.op2_quality(spark, where).collect()}
+    good, bad = [k for k, q in labels.items() if q], [k for k, q in labels.items() if not q]
+    assert sum(got[k] for k in good) >= 0.95 * len(good)
+    assert sum(not got[k] for k in bad) >= 0.4 * len(bad)
+
+
+def test_many_characters():
+    """More distinct characters than packed codes can number."""
+    from lathe.llm.quality import gram_codes
+
+    text = "".join(chr(0x4E00 + i) for i in range(9000)) + "abc" * 3
+    names, inverse, lengths = gram_codes([text, "", "x"])
+    got = [names[i] for i in inverse]
+    want = []
+    for t in (text, "", "x"):
+        s = "\x02" * 4 + t + "\x03"
+        want += [s[i - 4 : i + 1] for i in range(4, len(s))]
+    assert got == want and lengths.tolist() == [len(text) + 1, 1, 2]
