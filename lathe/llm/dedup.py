@@ -1,9 +1,9 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 Equal shingle sets collapse first.  Banded signatures then give candidates: every
-document against the smallest one of each of its buckets, and, once the components
+document against the most central one of each of its buckets, and, once the components
 of these links are known, the pairs of a bucket that are still in different components
-and whose bounds allow a link.  Candidates are compared by signature batches and
+and whose exact bounds allow a link.  Candidates are compared by signature batches and
 dropped as soon as the posterior probability of a link falls under the chosen miss
 probability; survivors are verified exactly on their full shingle sets.
 """
@@ -153,13 +153,18 @@ def prune(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs, the links: exact Jaccard of the full sets."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs, the exact sizes of intersection and union of the full sets, and which shingles of a are not in b, as a bitmap of 256 hashed bits: a, b, i, u, gone."""
     a = sets.select(F.col("k").alias("a"), F.col("shingles").alias("x"))
     b = sets.select(F.col("k").alias("b"), F.col("shingles").alias("y"))
-    common = F.size(F.array_intersect("x", "y")).cast("bigint")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", F.struct(common.alias("i"), (F.size("x") + F.size("y")).cast("bigint").alias("n")).alias("s"))
-    return both.where(100 * F.col("s.i") >= PERCENT * (F.col("s.n") - F.col("s.i"))).select("a", "b")
+    word = "aggregate(filter(e, s -> pmod(shiftright(s, 8), 4) = w), 0L, (m, s) -> m | shiftleft(1L, cast(pmod(s, 64) as int)))"
+    gone = F.expr(f"transform(array(array_except(x, y)), e -> transform(sequence(0, 3), w -> {word}))[0]")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("bigint").alias("i"), (F.size("x") + F.size("y")).cast("bigint").alias("n"), gone.alias("gone"))
+    return both.select("a", "b", "i", (F.col("n") - F.col("i")).alias("u"), "gone")
+
+
+def links(sizes: DataFrame) -> DataFrame:
+    return sizes.where(100 * F.col("i") >= PERCENT * F.col("u")).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -181,27 +186,44 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _cross_pairs(members: DataFrame, comps: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of a bucket in different components whose sizes and unshared shingles allow a link, each from its first common bucket."""
+def unshared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """By member of a large bucket, how many of its shingles no other such member has: k, own.  Few mean a central document, many one that links with nothing."""
+    large = members.where(F.col("n") > LARGE).select("k").distinct()
+    rows = sets.join(large, "k", "left_semi").select("k", F.explode("shingles").alias("s"))
+    single = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k")).where("n = 1")
+    return single.groupBy("k").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _cross_pairs(members: DataFrame, comps: DataFrame, facts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs of a bucket in different components that the bounds leave open, each from its first common bucket.
+
+    Bounds: the sizes; the shingles that only one of the two has; and, of two that were
+    compared with the bucket's hub, that they share no hub shingle which either lacks, and
+    beyond the hub only what is not their own.  Hashed bits can only weaken the last one.
+    """
     labelled = members.join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     per = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_comp"))
     main = per.groupBy("key").agg(F.max(F.struct("n_comp", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"))
-    # shingles that no other member of a large bucket has: a document with many of them links with nothing
-    large = members.where(F.col("n") > LARGE).select("k").distinct()
-    rows = sets.join(large, "k", "left_semi").select("k", F.explode("shingles").alias("s"))
-    unshared = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k")).where("n = 1").groupBy("k").agg(F.count(F.lit(1)).alias("own"))
-    facts = cut(reps.select("k", "n_shingles", "bands").join(unshared, "k", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(PERCENT * F.col("n_shingles") <= 100 * (F.col("n_shingles") - F.col("own"))))
-    rows = labelled.select("key", "k", "comp", "band").join(main, "key").join(facts, "k")
+    able = facts.where(PERCENT * F.col("n_shingles") <= 100 * (F.col("n_shingles") - F.col("own")))
+    compared = sizes.select(F.col("a").alias("hub"), F.col("b").alias("k"), "i", "gone")
+    hub_size = facts.select(F.col("k").alias("hub"), F.col("n_shingles").alias("h"))
+    rows = labelled.select("key", "k", "hub", "comp", "band").join(main, "key").join(able, "k").join(hub_size, "hub").join(compared, ["hub", "k"], "left")
+    own_hub = F.col("k") == F.col("hub")
+    rows = rows.withColumn("i", F.when(own_hub, F.col("h")).otherwise(F.col("i"))).withColumn("gone", F.when(own_hub, F.array_repeat(F.lit(0).cast("bigint"), 4)).otherwise(F.col("gone")))
+    rows = rows.withColumn("beyond", F.col("n_shingles") - F.col("i") - F.col("own"))
     x = rows.where("comp != main").select([F.col(c).alias(f"x_{c}") if c != "key" else F.col(c) for c in rows.columns])
     y = rows.select([F.col(c).alias(f"y_{c}") if c != "key" else F.col(c) for c in rows.columns])
     shared = F.least(F.col("x_n_shingles") - F.col("x_own"), F.col("y_n_shingles") - F.col("y_own"))
     before = lambda s: F.slice(F.col(f"{s}_bands"), F.lit(1), F.col("x_band"))
+    lacking = F.aggregate(F.zip_with("x_gone", "y_gone", lambda p, q: F.bit_count(p.bitwiseOR(q))), F.lit(0), lambda m, c: m + c)
+    most = F.col("x_h") - lacking + F.least("x_beyond", "y_beyond")
     ok = (
         (x["key"] == y["key"])
         & (F.col("x_comp") != F.col("y_comp"))
         & ((F.col("y_comp") == F.col("y_main")) | (F.col("x_k") < F.col("y_k")))
         & (100 * F.least("x_n_shingles", "y_n_shingles") >= PERCENT * F.greatest("x_n_shingles", "y_n_shingles"))
         & (100 * shared >= PERCENT * (shared + F.col("x_own") + F.col("y_own")))
+        & F.coalesce((100 + PERCENT) * most >= PERCENT * (F.col("x_n_shingles") + F.col("y_n_shingles")), F.lit(True))
         & ~F.arrays_overlap(before("x"), before("y"))
     )
     return x.join(y, ok).select(F.least("x_k", "y_k").alias("a"), F.greatest("x_k", "y_k").alias("b"))
@@ -224,15 +246,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         sigs.where("set_key is not null and k is not null").groupBy("set_key").agg(F.min("k").alias("k"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     )
     banded = reps.select("k", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("key").agg(F.min("k").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(banded.join(buckets, "key"))
-    inside = members.select("k").distinct()
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(banded.join(buckets, "key"))
     # repeated rows give a set more than once, which adds nothing to links and only weakens bounds
-    sets = cut(shingle_sets(base.join(inside, "k", "left_semi")))
+    sets = cut(shingle_sets(base.join(shared.select("k").distinct(), "k", "left_semi")))
+    facts = cut(reps.select("k", "n_shingles", "bands").join(unshared(shared, sets), "k", "left").withColumn("own", F.coalesce("own", F.lit(0))))
+    hubs = shared.join(facts.select("k", "own"), "k").groupBy("key").agg(F.min(F.struct("own", "k"))["k"].alias("hub"))
+    members = cut(shared.join(hubs, "key"))
     stars = members.where("k != hub").select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct()
-    first = cut(verify(prune(stars, reps), sets))
-    cross = _cross_pairs(members, components(first), reps, sets)
-    comps = components(first.unionByName(verify(prune(cross, reps), sets)))
+    sizes = cut(overlaps(prune(stars, reps), sets))
+    cross = _cross_pairs(members, components(links(sizes)), facts, sizes)
+    comps = components(links(sizes).unionByName(links(overlaps(prune(cross, reps), sets))))
     rep = sigs.where("set_key is not null").select("k", "n_shingles", "set_key").join(reps.select("set_key", F.col("k").alias("rep")), "set_key", "left").drop("set_key")
     found = rep.join(comps.withColumnRenamed("k", "rep"), "rep", "left").select("k", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     every = found.unionByName(sigs.where("set_key is null").select("k", "n_shingles", F.col("k").alias("component_id")))
