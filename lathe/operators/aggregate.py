@@ -108,6 +108,8 @@ def pivot(df: DataFrame, rows: Sequence[str], columns: Sequence[str], functions:
     found = df.groupBy(*[f"`{c}`" for c in columns]).agg(first.alias("__first")).orderBy("__first").limit(MAX_PIVOT + 1).collect()
     if len(found) > MAX_PIVOT:
         raise ValueError(f"more than {MAX_PIVOT} column keys")
+    if not found:
+        return grouped.select(*[F.col(f"`{r}`") for r in rows], *([F.lit("").alias(unique_name("function", rows))] if values_as_rows else []))
     names = [f"{f}({c})" for c, f in functions]
     spread, labels = [], []
     for key in found:

@@ -38,6 +38,7 @@ def without(df: DataFrame, *values: object) -> DataFrame:
     """The rows in which no column has one of the values; None stands for null."""
     if not values:
         raise ValueError("drop needs a value")
+    visible = [c for c in df.columns if not c.startswith("__")]
     if values == (None,):
-        return df.na.drop("any")
-    return df.where(~P.disjunction([P.compare(P.column(df, c), "==", P.literal(v)) for c in df.columns for v in values]))
+        return df.na.drop("any", subset=visible)
+    return df.where(~P.disjunction([P.compare(P.column(df, c), "==", P.literal(v)) for c in visible for v in values]))

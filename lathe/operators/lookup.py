@@ -66,7 +66,7 @@ def lookup(left: DataFrame, right: DataFrame, *criteria: tuple, all: bool = True
         names = {k: f"__k{i}" for i, k in enumerate(keys)}
         renamed = found.select(*[F.col(f"`{k}`").alias(n) for k, n in names.items()], "__row")
         if not keys:
-            return finish(left.crossJoin(F.broadcast(renamed)))  # one row
+            return finish(left.join(F.broadcast(renamed), F.lit(True), "left"))  # one row at most
         return finish(left.join(renamed, P.conjunction([F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in names.items()]), "left"))
 
     if all and equal and not rest:
@@ -84,7 +84,7 @@ def lookup(left: DataFrame, right: DataFrame, *criteria: tuple, all: bool = True
     condition = (P.conjunction if all else P.disjunction)([_condition(left, right, i, l_names, r_names) for i in items])
     if not (all and equal) and there.count() <= THETA_ROWS:
         there = F.broadcast(there)
-    best = asked.join(there, condition, "left").groupBy(*asked.columns).agg(F.min_by("__row", "__at").alias("__row"))
+    best = asked.join(there, condition).groupBy(*asked.columns).agg(F.min_by("__row", "__at").alias("__row"))
     if not used:
         return back(best.select("__row"), [])
     return back(best.select(*[F.col(n).alias(c) for c, n in l_names.items()], "__row"), used)

@@ -116,16 +116,16 @@ def is_sorted(df: DataFrame, mapping: Mapping[str, bool], mode: str = "excel", o
 
 
 def sliced(df: DataFrame, rows: slice, order: Sequence[str]) -> DataFrame:
-    """A Python slice of the rows, in its order."""
+    """A Python slice of the rows, in its order, which POS then holds."""
     numbered = position.with_ordinals(df, order)
     n = df.count() if any(x is not None and x < 0 for x in (rows.start, rows.stop)) or (rows.step or 1) < 0 or rows.stop is None else None
     start, stop, step = rows.indices(n if n is not None else max(rows.stop or 0, rows.start or 0))
     at = F.col(position.ORDINAL)
     if step > 0:
-        kept = numbered.where((at >= start) & (at < stop) & ((at - start) % step == 0)).orderBy(at)
+        kept, place = numbered.where((at >= start) & (at < stop) & ((at - start) % step == 0)), at
     else:
-        kept = numbered.where((at <= start) & (at > stop) & ((start - at) % -step == 0)).orderBy(at.desc())
-    return kept.drop(position.ORDINAL)
+        kept, place = numbered.where((at <= start) & (at > stop) & ((start - at) % -step == 0)), -at
+    return kept.withColumn(position.POS, place).drop(position.ORDINAL)
 
 
 def reindex(df: DataFrame, positions: DataFrame, order: Sequence[str]) -> DataFrame:

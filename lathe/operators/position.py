@@ -24,7 +24,7 @@ RANGE_ROWS, MAX_RANGES, PER_RANGE = 200_000, 1_000, 8
 
 
 def ensure(df: DataFrame, order: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
-    """The frame and the names of its order keys.  Without keys: file position where the scan offers one, else a scan id."""
+    """The frame and the names of its order keys.  Without keys a scan id: rows in the order in which the source gives them."""
     if order:
         return df, list(order)
     if POS in df.columns:

@@ -120,3 +120,8 @@ def types_of(df: DataFrame) -> dict[str, dict[str, int]]:
         n = row[f"c{i}"]
         out[c] = {k: v for k, v in ((type_name(df.schema[c].dataType), n), ("NoneType", row["n"] - n)) if v}
     return out
+
+
+def predominant_types(df: DataFrame) -> dict[str, str]:
+    """By column the type that most of its values have, None left out."""
+    return {c: next((k for k in found if k != "NoneType"), "NoneType") for c, found in types_of(df).items()}

@@ -144,11 +144,17 @@ def _(t):
     return t.orders["o_orderkey", "o_orderstatus"].update("o_orderstatus", slice(0, 50, 2), "X")
 
 
-@query("reindex", f"SELECT o_orderkey, o_totalprice FROM {_POS_SQL} WHERE pos % 10 = 3 UNION ALL SELECT NULL, NULL FROM region")
+@query("reindex", "SELECT row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS place, o_orderkey, o_totalprice FROM orders")
 def _(t):
     n = t.orders.df.count()
-    wanted = t.spark.range(n).where("id % 10 = 3").select(F.col("id").alias("ord"), F.col("id").alias("pos")).unionAll(t.spark.range(5).select(F.col("id").alias("ord"), F.lit(-1).cast("bigint").alias("pos")))
-    return t.orders["o_orderkey", "o_totalprice"].get_by_indices(wanted)
+    wanted = t.spark.range(n).select(F.col("id").alias("ord"), (n - 1 - F.col("id")).alias("pos"))
+    turned = t.orders["o_orderkey", "o_totalprice"].get_by_indices(wanted).df.withColumn(position.POS, F.monotonically_increasing_id())
+    return position.with_ordinals(turned, [position.POS]).select(F.col(position.ORDINAL).alias("place"), "o_orderkey", "o_totalprice")
+
+
+@query("reindex_nulls", "SELECT r_name FROM region UNION ALL SELECT NULL FROM region")
+def _(t):
+    return t.region["r_name",].get_by_indices([0, 1, 2, 3, 4, -1, -1, -1, -1, -1])
 
 
 @query("replace_map", "SELECT o_orderkey, CASE WHEN s = 'F' THEN 'done' WHEN s IS NULL THEN 'none' ELSE s END AS s FROM (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders)")
@@ -464,18 +470,17 @@ def _(t):
     return t.nation["n_name",] * 3
 
 
-_HALF = "(SELECT user_id % 50 AS u, event_type FROM events WHERE event_id % 2 = {})"
+_COUNTED = "(SELECT {0} AS k, {1} AS v, row_number() OVER (PARTITION BY {0}, {1}) AS r FROM {2})"
 
 
 @query(
     "diff_sets",
-    "SELECT u, event_type, CASE WHEN a.r IS NULL THEN '-' WHEN b.r IS NULL THEN '+' ELSE '=' END AS \"1st\", CASE WHEN a.r IS NULL THEN '+' WHEN b.r IS NULL THEN '-' ELSE '=' END AS \"2nd\" FROM "
-    + " FULL JOIN ".join(f"(SELECT u, event_type, row_number() OVER (PARTITION BY u, event_type) AS r FROM {_HALF.format(i)}) {n}" for i, n in ((0, "a"), (1, "b")))
-    + " USING (u, event_type, r)",
+    "SELECT k, v, CASE WHEN a.r IS NULL THEN '-' WHEN b.r IS NULL THEN '+' ELSE '=' END AS \"1st\", CASE WHEN a.r IS NULL THEN '+' WHEN b.r IS NULL THEN '-' ELSE '=' END AS \"2nd\" FROM "
+    f"(SELECT *, r AS n FROM {_COUNTED.format('c_nationkey', 'c_acctbal > 0', 'customer')}) a FULL JOIN (SELECT *, r AS n FROM {_COUNTED.format('s_nationkey', 's_acctbal > 0', 'supplier')}) b USING (k, v, n)",
 )
 def _(t):
-    half = lambda i: t.events.df.where(F.col("event_id") % 2 == i).select((F.col("user_id") % 50).alias("u"), "event_type")
-    return combine.diff_sets(half(0), half(1))
+    a = t.customer.df.select(F.col("c_nationkey").alias("k"), (F.col("c_acctbal") > 0).alias("v"))
+    return combine.diff_sets(a, t.supplier.df.select(F.col("s_nationkey").alias("k"), (F.col("s_acctbal") > 0).alias("v")))
 
 
 # ---- typed selection and inference

@@ -24,9 +24,27 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
 
 
+def head_bytes(spark: SparkSession, path: str, size: int = PEEK) -> bytes:
+    """The first bytes of a file, or of the first file of a folder, from any store, without reading more."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    found = [f for f in fs.globStatus(at) or []]
+    if found and found[0].isDirectory():
+        found = sorted((f for f in fs.listStatus(found[0].getPath()) if f.isFile() and f.getPath().getName()[0] not in "._"), key=lambda f: f.getPath().getName())
+    if not found:
+        raise FileNotFoundError(path)
+    stream = fs.open(found[0].getPath())
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
 def peek(spark: SparkSession, path: str, lines: int = 10, encoding: str | None = None) -> list[str]:
-    options = {"encoding": encoding} if encoding else {}
-    return [r["value"] for r in spark.read.options(**options).text(path).limit(lines).collect()]
+    if encoding not in (None, "UTF-8"):
+        return head_bytes(spark, path).decode(encoding, "ignore").splitlines()[:lines]
+    return [r["value"] for r in spark.read.text(path).limit(lines).collect()]
 
 
 def detect_encoding(raw: bytes) -> str:
@@ -91,7 +109,7 @@ def split_by_sequence(text: str, sequence: Sequence[str]) -> list[str]:
 
 def get_headers(spark: SparkSession, path: str, delimiter: str | None = None, header_row_index: int = 0, text_qualifier: str | None = None, linecount: int = 10) -> dict:
     """The first lines as cells, by file name, and the delimiter."""
-    encoding = detect_encoding(read_bytes(spark, path)[:PEEK])
+    encoding = detect_encoding(head_bytes(spark, path))
     lines = peek(spark, path, linecount + header_row_index, encoding)[header_row_index:]
     try:
         delimiter = delimiter or detect_separator("\n".join(lines))
@@ -120,16 +138,17 @@ def read_text(
         raise ValueError(f"skip_empty is one of {SKIP}")
     if not isinstance(start, int) or start < 0 or not (limit is None or isinstance(limit, int) and limit > 0):
         raise ValueError("start is 0 or more, limit more than 0")
-    encoding = encoding or detect_encoding(read_bytes(spark, path)[:PEEK])
+    encoding = encoding or detect_encoding(head_bytes(spark, path))
     delimiter = delimiter or ","
     options = {"sep": delimiter, "quote": text_qualifier or "\u0000", "escape": "\\" if text_qualifier else "\u0000", "charToEscapeQuoteEscaping": "\u0000", "encoding": encoding, "maxColumns": "100000", "maxCharsPerColumn": "-1", "mode": "PERMISSIVE"}
     multiline = bool(text_qualifier) if multiline is None else multiline
 
     def rows(width: int) -> DataFrame:
         schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-        if multiline:
-            return spark.read.options(**options, multiLine="true").schema(schema).csv(path).withColumn(position.POS, F.monotonically_increasing_id())
-        lines = spark.read.option("encoding", encoding).text(path).withColumn(position.POS, F.monotonically_increasing_id())
+        if multiline or encoding != "UTF-8":
+            # Spark's own lines are UTF-8; other encodings go through the csv reader, which leaves blank lines out
+            return spark.read.options(**options, multiLine=str(multiline or encoding.startswith("UTF-16")).lower()).schema(schema).csv(path).withColumn(position.POS, F.monotonically_increasing_id())
+        lines = spark.read.text(path).withColumn(position.POS, F.monotonically_increasing_id())
         line = F.regexp_replace("value", "^﻿", "")
         return lines.withColumn("v", F.from_csv(line, schema.simpleString()[7:-1].replace(":", " "), {k: v for k, v in options.items() if k != "encoding"})).select("v.*", position.POS)
 

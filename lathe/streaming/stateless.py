@@ -34,5 +34,7 @@ def apply(stream: DataFrame, operator: str, *args: object, **options: object):
 def windowed(stream: DataFrame, time: str, window: str, late: str, keys: Sequence[str], functions: Mapping[str, Column], slide: str | None = None) -> DataFrame:
     """Aggregates by time window and key; rows later than ``late`` are dropped."""
     at = F.window(F.col(time), window, slide) if slide else F.window(F.col(time), window)
+    # watermarks are kept on instants
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     grouped = stream.withWatermark(time, late).groupBy(at.alias("window"), *keys).agg(*[c.alias(n) for n, c in functions.items()])
     return grouped.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, *functions)

@@ -105,7 +105,7 @@ class Table:
         if rows:
             at = rows[0] if isinstance(rows[0], slice) else slice(rows[0], rows[0] + 1 or None)
             df, order = self._ordered()
-            out = self._new(ordering.sliced(df, at, order), order)
+            out = Table(ordering.sliced(df, at, order), order if (at.step or 1) > 0 else None)
         if names:
             names = list(dict.fromkeys(names))
             hidden = [o for o in (out.order or ()) if o not in names]
@@ -172,11 +172,11 @@ class Table:
     def add_rows(self, *rows: Sequence | Mapping, **columns: object) -> Table:
         """Rows at the end: sequences, mappings, lists of either, or one value or list by column."""
         given: list[Sequence] = []
+        if rows and not isinstance(rows[0], (list, tuple, Mapping)):
+            rows = (list(rows),)
         for r in rows:
             many = r if isinstance(r, (list, tuple)) and r and isinstance(r[0], (list, tuple, dict)) else [r]
             given += [[x.get(c) for c in self.columns] if isinstance(x, Mapping) else list(x) for x in many]
-        if rows and not isinstance(rows[0], (list, tuple, dict)):
-            given = [list(rows)]
         if columns:
             require(self.columns, columns)
             n = max(len(v) if isinstance(v, (list, tuple)) else 1 for v in columns.values())
@@ -245,14 +245,7 @@ class Table:
         return self._new(self.df.where(filters.any_of(self.df, **wanted)))
 
     def drop(self, *gone: object) -> Table:
-        return self._new(filters.without(self.df.select(*[f"`{c}`" for c in self.columns]), *gone) if not self.order or self.order == [position.POS] and position.POS not in self.df.columns else self._dropped(gone))
-
-    def _dropped(self, gone: tuple) -> Table:
-        if not gone:
-            raise ValueError("drop needs a value")
-        visible = self.df.select(*[f"`{c}`" for c in self.columns])
-        found = predicates.disjunction([predicates.compare(predicates.column(visible, c), "==", predicates.literal(v)) for c in self.columns for v in gone])
-        return self.df.where(~found)
+        return self._new(filters.without(self.df, *gone))
 
     # ---- joins
 

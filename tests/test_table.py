@@ -572,6 +572,29 @@ def test_registered_reader(spark, tmp_path):
         del file_readers["pairs"]
 
 
+def test_codec_and_ranks():
+    from lathe.functions import codec
+
+    for v in (True, 1, 2.5, "x", date(2020, 1, 2), datetime(2020, 1, 2, 3, 4), time(1, 2), timedelta(1, 2.5)):
+        assert codec.from_json(codec.to_json(v), type(v)) == v
+    assert codec.from_json("NULL", int) is None and codec.from_json("", str) == ""
+    with pytest.raises(ValueError):
+        codec.from_json("maybe", bool)
+    with pytest.raises(TypeError):
+        codec.from_json("x", complex)
+    assert list(codec.text_sort(["B", "a", "b", "A"])) == ["a", "A", "b", "B"]
+    assert list(codec.excel_sort([None, True, "5", 3, 2.0])) == [2.0, 3, "5", True, None]
+    assert list(codec.excel_sort([None, "5", 3], reverse=True)) == [None, "5", 3]
+    assert list(codec.unix_sort(["5", 3, None, False])) == [None, False, 3, "5"]
+    assert list(codec.unix_sort(["5", 3, None], reverse=True)) == [3, None, "5"]
+
+
+def test_predominant_types(make):
+    from lathe.operators.values import predominant_types
+
+    assert predominant_types(make(a=[1, None], b=["x", "y"], c=[None, None]).df) == {"a": "int", "b": "str", "c": "NoneType"}
+
+
 def test_names():
     assert unique_name("a", ["a", "a_1"]) == "a_2"
     assert unique_names(["a", "a", "b"]) == ["a", "a_1", "b"]
