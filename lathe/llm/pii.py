@@ -161,7 +161,8 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = "lathe") -> Data
     per_text = cut(lists.select("h", F.explode(F.expr(f"array_distinct(flatten(transform(m, x -> {entities_sql('x')})))")).alias("e")).distinct())
     mapping = surrogates(per_text.select("e.type", "e.canon"), key)
     named = per_text.select("h", F.col("e.type").alias("type"), F.col("e.canon").alias("canon")).join(mapping, ["type", "canon"])
-    maps = named.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "type", "canon"), "sur"))).alias("_sur"))
+    # written, so that a text which a third of the rows share is split in the join
+    maps = cut(named.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "type", "canon"), "sur"))).alias("_sur")))
     joined = wrap(docs, text).withColumn("_h", F.xxhash64("_t")).join(maps.withColumnRenamed("h", "_h"), "_h", "left")
     split = joined.withColumn("_m", F.when(F.col("_sur").isNotNull(), found))
     new = split.withColumn("_r", F.expr(f"transform(_m, x -> {render_sql('x', '_sur')})"))
