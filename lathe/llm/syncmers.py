@@ -12,14 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, let
 
 K = 6
 S = 2
-#: Rows up to which the first documents of the blocks are broadcast by key.
-SMALL = 100_000
-#: Documents that a block of neighbours holds on average.
-BLOCK = 5_000
+#: Documents that a block of neighbours holds on average, most blocks, most intervals.
+BLOCK, MAX_BLOCKS, INTERVALS = 5_000, 50_000, 256
 
 
 def syncmers(text: Column, k: int = K, s: int = S) -> Column:
@@ -52,31 +50,45 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
 
+def block_of(docs: DataFrame) -> Column:
+    """A number that rises with k, of which there are MAX_BLOCKS at most; null keys have -1."""
+    stats = docs.agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if stats["lo"] is None:
+        return F.lit(-1).cast("bigint")
+    blocks = min(max(stats["n"] // BLOCK, 1), MAX_BLOCKS)
+    parts = min(blocks, INTERVALS)
+    marks = docs.agg(F.percentile_approx("k", [i / parts for i in range(parts + 1)], 4 * parts + 100).alias("q")).first()["q"]
+    starts = sorted({stats["lo"], *marks[1:-1]})
+    each = -(-blocks // len(starts))
+    widths = [max(-(-(b - a) // each), 1) for a, b in zip(starts, [*starts[1:], stats["hi"] + 1])]
+
+    def interval(low: int, high: int) -> Column:
+        """By halving: the last start at or under the key."""
+        if low == high:
+            return F.struct(F.lit(low).cast("bigint").alias("i"), F.lit(starts[low]).cast("bigint").alias("a"), F.lit(widths[low]).cast("bigint").alias("w"))
+        mid = (low + high + 1) // 2
+        return F.when(F.col("k") >= starts[mid], interval(mid, high)).otherwise(interval(low, mid - 1))
+
+    at = let(interval(0, len(starts) - 1), lambda x: x["i"] * each + F.least(F.lit(each - 1).cast("bigint"), F.floor((F.col("k") - x["a"]) / x["w"])))
+    return F.coalesce(F.when(F.col("k").isNotNull(), at), F.lit(-1).cast("bigint"))
+
+
 def with_next(docs: DataFrame, key: str, made) -> DataFrame:
     """Every row with the struct ``made`` gives of it, as ``own``, and of the row after it in descending key, as ``after``.
 
     Null keys come last, equal keys in descending order of text; the row after the
-    last is the first.  The rows are dealt once, by ranges of keys no wider than the
-    densest of many quantile gaps, so a range never holds more than a small share
-    of the rows; a range's last row meets a copy of the first row of the next range.
+    last is the first.  The rows are dealt once, by blocks of neighbouring keys: quantiles
+    cut the keys into intervals, equal widths cut those into blocks, and there are
+    MAX_BLOCKS at most.  A block's last row meets a copy of the first row of the next block.
     ``docs`` has the columns k (integer) and t.
     """
-    stats = docs.agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    width, low = 1, stats["lo"] or 0
-    parts = min(max(stats["n"] // BLOCK, 1), 10_000)
-    if parts > 1 and stats["lo"] is not None:
-        marks = docs.agg(F.percentile_approx("k", [i / parts for i in range(parts + 1)], 4 * parts).alias("q")).first()["q"]
-        gaps = [b - a for a, b in zip(marks, marks[1:]) if b > a]
-        width = max(min(gaps, default=1), 1)
-    elif stats["lo"] is not None:
-        width = stats["hi"] - stats["lo"] + 1
-    block = F.coalesce(F.floor((F.col("k") - F.lit(low)) / F.lit(width)).cast("bigint"), F.lit(-1)).alias("c")
+    block = block_of(docs).alias("c")
     firsts = docs.groupBy(block).agg(F.max("k").alias("fk"))
     falling = W.orderBy(F.col("c").desc())
     # one row per block
     target = F.coalesce(F.lag("c").over(falling), F.min("c").over(W.partitionBy()))
     firsts = firsts.select("c", "fk", target.alias("target"))
-    ghosts = docs.withColumn("c", block).join(F.broadcast(firsts) if 4 * parts <= SMALL else firsts, ["c"]).where(F.col("k").eqNullSafe(F.col("fk")))
+    ghosts = docs.withColumn("c", block).join(F.broadcast(firsts), ["c"]).where(F.col("k").eqNullSafe(F.col("fk")))
     rows = docs.select("k", "t", block, F.lit(0).alias("ghost")).unionByName(ghosts.select("k", "t", F.col("target").alias("c"), F.lit(1).alias("ghost")))
     order = W.partitionBy("c").orderBy("ghost", F.col("k").desc_nulls_last(), F.col("t").desc_nulls_last())
     own = rows.repartitionByRange(F.col("c")).withColumn("own", made(F.col("t")))
