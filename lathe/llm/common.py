@@ -49,9 +49,9 @@ def small_batches(spark: SparkSession) -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share.  Only where it is unset, as in tests, one is made."""
-    context = spark.sparkContext
-    if folder := context.getConf().get("spark.checkpoint.dir"):
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
     return context._jsc.sc().getCheckpointDir().get()
@@ -64,6 +64,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spool(df: DataFrame) -> DataFrame:
+    """As cut, but as a Parquet table: smaller for many short rows."""
+    path = f"{shared_folder(df.sparkSession)}/spool-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def wrap(docs: DataFrame, text: str) -> DataFrame:
     """Only _row (all columns) and _t (the text): no column of docs can clash with an operator's own."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_t"))

@@ -1,30 +1,34 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
 The model is a character 5-gram model by language, trained on all trusted texts.
-Its counts are tables keyed by (language, n-gram) and stay sharded by that key: every
-order is evaluated by joins of the n-grams asked for with counts, with the sums of
-their contexts and with the probabilities of the order below.  What is asked for are
-the distinct n-grams of blocks of documents, so that one answer serves all the
-documents of a block; the answers meet the block's documents again by a co-group.
-A document is kept if its perplexity is within quantiles of the trusted texts of its
+Its counts are sharded by n-gram.  Every order is evaluated by joins of the n-grams
+asked for with counts, with the sums of their contexts and with the probabilities of the
+order below.  What is asked for are the distinct n-grams of blocks of documents: each
+task sends every shard one packed list by block, the shard answers a block once,
+and the answers meet the block's documents, which travel once and compressed.  A
+document is kept if its perplexity is within quantiles of the trusted texts of its
 language.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, small_batches, spool
 
 ORDER = 5
 START, END = "\x02", "\x03"
-#: Documents that a block holds on average.
-BLOCK = 8_000
+#: Documents that a block holds on average, and documents for each shard (of 64 at least).
+BLOCK, PER_SHARD = 32_000, 8_000
+#: N-grams that a task gathers before it sends them.
+GATHER = 1_000_000
 #: Characters that are worked on at once.
 CHUNK = 400_000
 #: Trusted keys up to which they are broadcast (16 bytes each).
@@ -43,7 +47,7 @@ def _chunks(texts: list[str]):
         yield at, len(texts)
 
 
-def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gram_codes(texts: list[str], places: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """(distinct n-grams, their number at each position, positions by text) of texts that are padded in front and closed at the end."""
     text = "".join(START * (ORDER - 1) + t.replace("\x00", "\x01") + END for t in texts)
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -59,7 +63,7 @@ def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         gram = np.zeros(len(code) - ORDER + 1, np.uint64)
         for i in range(ORDER):
             gram = (gram << np.uint64(bits)) | symbol[i : i + len(gram)]
-        distinct, inverse = np.unique(gram[ends], return_inverse=True)
+        distinct, inverse = np.unique(gram[ends], return_inverse=True) if places else (np.unique(gram[ends]), None)
         mask = np.uint64((1 << bits) - 1)
         parts = [alphabet[(distinct >> np.uint64(bits * (ORDER - 1 - i))) & mask] for i in range(ORDER)]
         names = np.ascontiguousarray(np.stack(parts, axis=1).astype("<u4")).view(f"<U{ORDER}").ravel()
@@ -72,8 +76,30 @@ def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return names, inverse, lengths
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all rows of (lang, t)."""
+def _packed(grams: list[str], shards: int):
+    """Sorted n-grams by shard: (shard, their places in the list, n, compressed)."""
+    grams.sort()
+    home = np.fromiter((zlib.crc32(g.encode()) for g in grams), np.uint32, len(grams)) % shards
+    order = np.argsort(home, kind="stable")
+    cuts = np.flatnonzero(np.diff(home[order])) + 1
+    for at in np.split(order, cuts) if len(order) else []:
+        raw = "".join([grams[i] for i in at]).encode()
+        yield int(home[at[0]]), at, len(raw), zstandard.compress(raw, 6)
+
+
+def _unpacked(z: bytes) -> list[str]:
+    text = zstandard.decompress(z).decode()
+    return [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+
+
+def count_grams(texts: DataFrame, shards: int) -> DataFrame:
+    """(lang, gram, n) over all rows of (lang, t): packed counts of tasks, summed by shard."""
+
+    def rows(lang: str, counts: Counter):
+        grams = list(counts)
+        for shard, at, _, z in _packed(grams, shards):
+            n = np.fromiter((counts[grams[i]] for i in at), np.int64, len(at))
+            yield {"shard": shard, "lang": lang, "z": z, "n": zstandard.compress(n.tobytes(), 6)}
 
     def run(batches):
         total: dict[str, Counter] = defaultdict(Counter)
@@ -85,20 +111,36 @@ def count_grams(texts: DataFrame) -> DataFrame:
                 for a, b in _chunks(ts):
                     names, inverse, _ = gram_codes(ts[a:b])
                     total[l].update(dict(zip(names.tolist(), np.bincount(inverse, minlength=len(names)).tolist())))
-                if len(total[l]) > 500_000:
-                    yield _counts(l, total.pop(l))
+            while sum(map(len, total.values())) > GATHER:
+                largest = max(total, key=lambda l: len(total[l]))
+                yield from _batches(rows(largest, total.pop(largest)), schema)
         for l, c in total.items():
-            yield _counts(l, c)
+            yield from _batches(rows(l, c), schema)
+
+    def add(table: pa.Table) -> pa.Table:
+        total: dict[str, Counter] = defaultdict(Counter)
+        for l, z, n in zip(*(table.column(c).to_pylist() for c in ("lang", "z", "n"))):
+            total[l].update(dict(zip(_unpacked(z), np.frombuffer(zstandard.decompress(n), np.int64).tolist())))
+        flat = [(l, g, n) for l, c in total.items() for g, n in c.items()]
+        return pa.table({"lang": pa.array([x[0] for x in flat], pa.string()), "gram": pa.array([x[1] for x in flat], pa.string()), "n": pa.array([x[2] for x in flat], pa.int64())})
+
+    schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("z", pa.binary()), ("n", pa.binary())])
+    sent = texts.select("lang", "t").mapInArrow(run, "shard int, lang string, z binary, n binary")
+    return sent.groupBy("shard").applyInArrow(lambda t: add(t), "lang string, gram string, n bigint")
 
-    return texts.select("lang", "t").mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
+def _batches(rows, schema: pa.Schema):
+    rows = list(rows)
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
-def _counts(lang: str, counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"])
 
+def asked_grams(docs: DataFrame, shards: int) -> DataFrame:
+    """Packed n-grams of (block, lang, t) by shard: shard, block, lang, z."""
 
-def asked_grams(docs: DataFrame) -> DataFrame:
-    """Distinct (block, lang, gram) of (block, lang, t)."""
+    def rows(key: tuple[int, str], grams: set):
+        for shard, _, _, z in _packed(list(grams), shards):
+            yield {"shard": shard, "block": key[0], "lang": key[1], "z": z}
 
     def run(batches):
         seen: dict[tuple[int, str], set] = defaultdict(set)
@@ -108,18 +150,40 @@ def asked_grams(docs: DataFrame) -> DataFrame:
                 by[b, l].append(t)
             for key, ts in by.items():
                 for a, b in _chunks(ts):
-                    seen[key].update(gram_codes(ts[a:b])[0].tolist())
-            for key in [k for k in seen if len(seen) > 64 or len(seen[k]) > 500_000]:
-                yield _asked(key, seen.pop(key))
+                    seen[key].update(gram_codes(ts[a:b], places=False)[0].tolist())
+            while sum(map(len, seen.values())) > GATHER:
+                largest = max(seen, key=lambda k: len(seen[k]))
+                yield from _batches(rows(largest, seen.pop(largest)), schema)
         for key, grams in seen.items():
-            yield _asked(key, grams)
+            yield from _batches(rows(key, grams), schema)
+
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("z", pa.binary())])
+    return docs.select("block", "lang", "t").mapInArrow(run, "shard int, block bigint, lang string, z binary")
 
-    return docs.select("block", "lang", "t").mapInArrow(run, "block bigint, lang string, gram string").distinct()
 
+def _distinct(table: pa.Table) -> pa.Table:
+    """The different n-grams that one shard is asked for."""
+    grams: dict[str, set] = defaultdict(set)
+    for l, z in zip(table.column("lang").to_pylist(), table.column("z").to_pylist()):
+        grams[l].update(_unpacked(z))
+    flat = [(l, g) for l, gs in grams.items() for g in gs]
+    return pa.table({"lang": pa.array([x[0] for x in flat], pa.string()), "gram": pa.array([x[1] for x in flat], pa.string())})
 
-def _asked(key: tuple[int, str], grams: set) -> pa.RecordBatch:
-    n = len(grams)
-    return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.int64()), pa.array([key[1]] * n, pa.string()), pa.array(list(grams), pa.string())], names=["block", "lang", "gram"])
+
+def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """One shard's answer to every block: its n-grams and their log-probabilities."""
+    p: dict[str, dict[str, float]] = defaultdict(dict)
+    for l, g, v in zip(known.column("lang").to_pylist(), known.column("gram").to_pylist(), np.log(known.column("p").to_numpy()).tolist()):
+        p[l][g] = v
+    grams: dict[tuple[int, str], set] = defaultdict(set)
+    for b, l, z in zip(*(asked.column(c).to_pylist() for c in ("block", "lang", "z"))):
+        grams[b, l].update(_unpacked(z))
+    out = []
+    for (b, l), gs in grams.items():
+        ordered = sorted(gs)
+        logs = np.fromiter(map(p[l].__getitem__, ordered), np.float64, len(ordered))
+        out.append({"block": b, "lang": l, "z": zstandard.compress("".join(ordered).encode(), 6), "logs": zstandard.compress(logs.tobytes(), 3)})
+    return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("lang", pa.string()), ("z", pa.binary()), ("logs", pa.binary())]))
 
 
 def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -146,62 +210,74 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
     orders = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):
         # continuation counts: in how many ways an n-gram is extended to the left
-        orders[n] = cut(orders[n + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        orders[n] = spool(orders[n + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")))
     wanted = {ORDER: asked}
     for n in range(ORDER - 1, 0, -1):
-        wanted[n] = wanted[n + 1].select("lang", F.expr("substring(gram, 2)").alias("gram")).distinct()
-    size = F.broadcast(orders[1].groupBy("lang").agg((1 / (F.count(F.lit(1)) + 1)).alias("below")))  # one row per language
-    known = None
+        wanted[n] = spool(wanted[n + 1].select("lang", F.expr("substring(gram, 2)").alias("gram")).distinct())
+    known = orders[1].groupBy("lang").agg((1 / (F.count(F.lit(1)) + 1)).alias("p")).select("lang", F.lit("").alias("gram"), "p")
     for n in range(1, ORDER + 1):
         parts, contexts = _discounted(orders[n])
-        rows = wanted[n].withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)")).withColumn("suffix", F.expr("substring(gram, 2)"))
-        if known is None:
-            rows = rows.join(size, "lang")
-        else:
-            rows = rows.join(known.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
-        rows = rows.join(parts, ["lang", "gram"], "left").join(contexts, ["lang", "context"], "left")
-        known = cut(rows.select("lang", "gram", (F.coalesce("part", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("below")).alias("p")))
+        # keys are expressions, so that only the n-gram itself travels
+        rows, below = wanted[n].alias("r"), known.select(F.col("lang").alias("bl"), F.col("gram").alias("suffix"), F.col("p").alias("below"))
+        rows = rows.join(below, (F.col("lang") == F.col("bl")) & (F.expr("substring(gram, 2)") == F.col("suffix"))).select("lang", "gram", "below")
+        contexts = contexts.withColumnRenamed("lang", "cl")
+        rows = rows.join(contexts, (F.col("lang") == F.col("cl")) & (F.expr("substring(gram, 1, length(gram) - 1)") == F.col("context")), "left")
+        rows = rows.select("lang", "gram", (F.coalesce("gamma", F.lit(1.0)) * F.col("below")).alias("below")).join(parts, ["lang", "gram"], "left")
+        known = rows.select("lang", "gram", (F.coalesce("part", F.lit(0.0)) + F.col("below")).alias("p"))
+        known = known if n == ORDER else spool(known)
     return known
 
 
 def _pack(docs: DataFrame) -> DataFrame:
-    """Texts compressed for the way to their block."""
+    """Texts for the way to their block: one compressed row for each batch and block."""
 
     def run(batches):
         for batch in batches:
-            raw = [t.encode("utf-8", "surrogatepass") for t in batch.column("t").to_pylist()]
-            packed = pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "id", "lang")), packed, pa.array([len(x) for x in raw], pa.int64())], names=["block", "id", "lang", "z", "n_bytes"])
-
-    return docs.select("block", "id", "lang", "t").mapInArrow(run, "block bigint, id bigint, lang string, z binary, n_bytes bigint")
+            by = defaultdict(list)
+            for b, i, l, t in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "lang", "t"))):
+                by[b].append((l, i, t))
+            out = []
+            for b, docs_ in by.items():
+                docs_.sort(key=lambda x: x[:2])
+                raw = [t.encode() for _, _, t in docs_]
+                out.append({
+                    "block": b, "ids": np.array([i for _, i, _ in docs_], np.int64).tobytes(), "langs": [l for l, _, _ in docs_],
+                    "sizes": np.array([len(x) for x in raw], np.int64).tobytes(), "z": zstandard.compress(b"".join(raw), 9),
+                })
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("langs", pa.list_(pa.string())), ("sizes", pa.binary()), ("z", pa.binary())])
+    return docs.select("block", "id", "lang", "t").mapInArrow(run, "block bigint, ids binary, langs array<string>, sizes binary, z binary")
 
 
 def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """Log-probability and positions of each text of a block."""
-    known: dict[str, dict[str, float]] = defaultdict(dict)
-    for l, g, p in zip(answers.column("lang").to_pylist(), answers.column("gram").to_pylist(), answers.column("p").to_numpy()):
-        known[l][g] = p
-    ids, logs, sizes = [], [], []
-    lang = np.array(docs.column("lang").to_pylist(), object)
-    for l in sorted(set(lang)):
-        part = docs.filter(pa.array(lang == l))
-        bytes_, keys, packed, at = part.column("n_bytes").to_pylist(), part.column("id").to_pylist(), part.column("z"), 0
-        get = known[l].get
-        while at < len(keys):
-            end, size = at, 0
-            while end < len(keys) and size < CHUNK:
-                size += bytes_[end]
-                end += 1
-            texts = [pa.decompress(packed[i].as_py(), bytes_[i], "zstd", asbytes=True).decode("utf-8", "surrogatepass") for i in range(at, end)]
-            names, inverse, lengths = gram_codes(texts)
-            p = np.array([get(g, np.nan) for g in names.tolist()])
-            logs.append(np.add.reduceat(np.log(p)[inverse], np.concatenate([[0], np.cumsum(lengths)[:-1]])))
-            ids += keys[at:end]
-            sizes.append(lengths)
-            at = end
+    ids, sums, sizes = [], [], []
+    # one language after the other, so that only its n-grams are unpacked
+    for lang in sorted(set(answers.column("lang").to_pylist())):
+        known: dict[str, float] = {}
+        for l, z, logs in zip(*(answers.column(c) for c in ("lang", "z", "logs"))):
+            if l.as_py() == lang:
+                known.update(zip(_unpacked(z.as_py()), np.frombuffer(zstandard.decompress(logs.as_py()), np.float64).tolist()))
+        for row in range(docs.num_rows):
+            langs = docs.column("langs")[row].as_py()
+            if lang not in langs:
+                continue
+            first, n = langs.index(lang), langs.count(lang)
+            keys = np.frombuffer(docs.column("ids")[row].as_py(), np.int64)[first : first + n]
+            ends = np.concatenate([[0], np.cumsum(np.frombuffer(docs.column("sizes")[row].as_py(), np.int64))])[first : first + n + 1].tolist()
+            raw = zstandard.decompress(docs.column("z")[row].as_py())
+            texts = [raw[a:b].decode() for a, b in zip(ends, ends[1:])]
+            for a, b in _chunks(texts):
+                names, inverse, lengths = gram_codes(texts[a:b])
+                logs = np.fromiter(map(known.__getitem__, names.tolist()), np.float64, len(names))
+                sums.append(np.add.reduceat(logs[inverse], np.concatenate([[0], np.cumsum(lengths)[:-1]])))
+                sizes.append(lengths)
+                ids.append(keys[a:b])
     if not ids:
         return pa.table({"id": pa.array([], pa.int64()), "log_p": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
-    return pa.table({"id": pa.array(ids, pa.int64()), "log_p": np.concatenate(logs), "n": np.concatenate(sizes).astype(np.int64)})
+    return pa.table({"id": np.concatenate(ids), "log_p": np.concatenate(sums), "n": np.concatenate(sizes).astype(np.int64)})
 
 
 def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", low: float = 0.002, high: float = 0.99) -> DataFrame:
@@ -209,7 +285,7 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
 
     ``trusted`` has the key of documents with trusted text.  A document is kept if its
     perplexity lies between the ``low`` and ``high`` quantiles of the trusted documents of its
-    language.  Returns one row per input row: key, lang, perplexity, keep.  Null and
+    language.  Returns one row per input row: key, lang, perplexity, kept.  Null and
     empty texts have no perplexity and are not kept; a null language is a language of its own; where a
     language has no trusted text there is no perplexity and documents are kept.
     Repeated rows repeat, rows with one key and different texts get a perplexity each; other columns are left out.
@@ -222,17 +298,20 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
     width = max(((stats["hi"] or 0) - (stats["lo"] or 0) + 1) * BLOCK // max(stats["n"], 1), 1)
     ids = trusted.select(trusted[key].cast("bigint").alias("k")).where("k is not null").distinct()
     ids = F.broadcast(ids) if ids.count() <= SMALL else ids
-    counts = cut(count_grams(whole.join(ids, "k", "left_semi")))
+    shards = max(64, stats["n"] // PER_SHARD)
+    counts = spool(count_grams(whole.join(ids, "k", "left_semi"), shards))
     # id tells apart rows with one key and different texts; equal rows have equal ids and equal results
     blocks = whole.withColumn("block", F.floor((F.coalesce("k", F.lit(stats["lo"] or 0)) - F.lit(stats["lo"] or 0)) / F.lit(width)).cast("bigint")).withColumn("id", F.xxhash64("k", "lang", "t"))
     learned = counts.select("lang").distinct()  # one row per language
     blocks = blocks.join(F.broadcast(learned), "lang", "left_semi")
-    asked = cut(asked_grams(blocks))
-    answers = asked.join(probabilities(counts, cut(asked.select("lang", "gram").distinct())), ["lang", "gram"])
+    asked = spool(asked_grams(blocks, shards))
+    distinct = spool(asked.groupBy("shard").applyInArrow(lambda t: _distinct(t), "lang string, gram string"))
+    known = probabilities(counts, distinct).withColumn("shard", (F.crc32(F.col("gram").cast("binary")) % shards).cast("int"))
+    answers = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(lambda x, y: _answer(x, y), "block bigint, lang string, z binary, logs binary")
     scored = cut(_pack(blocks).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda x, y: _score(x, y), "id bigint, log_p double, n bigint"))
     once = scored.groupBy("id").agg(F.exp(-F.first("log_p") / F.first("n")).alias("perplexity"))
     every = base.select("k", "lang", F.xxhash64("k", "lang", "t").alias("id"), (F.coalesce(F.length("t"), F.lit(0)) > 0).alias("some")).join(once, "id", "left")
     limits = every.join(ids, "k", "left_semi").groupBy("lang").agg(F.percentile_approx("perplexity", [low, high], 10_000).alias("q"))
     judged = every.join(F.broadcast(limits), "lang", "left")  # one row per language
     inside = F.coalesce(F.col("perplexity").between(F.col("q")[0], F.col("q")[1]), F.lit(True))
-    return judged.select(F.col("k").alias(key), F.when(F.col("lang") != "", F.col("lang")).alias("lang"), "perplexity", (F.col("some") & inside).alias("keep"))
+    return judged.select(F.col("k").alias(key), F.when(F.col("lang") != "", F.col("lang")).alias("lang"), "perplexity", (F.col("some") & inside).alias("kept"))

@@ -558,10 +558,10 @@ def test_quality(spark, docs, odd):
         for k, r in docs.items():
             if r.lang == lang and (k % 7 == 0 or r.n_chars < 200):
                 assert math.isclose(got[k].perplexity, score(r.text), rel_tol=1e-9), k
-    assert sum(got[k].keep for k in trusted if k in got) >= 0.95 * len(trusted & got.keys())
+    assert sum(got[k].kept for k in trusted if k in got) >= 0.95 * len(trusted & got.keys())
     few = rows(classify(odd, odd.where("doc_id in (1, 7)")), "doc_id")
-    assert not few[2].keep and not few[3].keep and few[2].perplexity is None
-    assert few[8].keep and few[8].perplexity is None and few[1].perplexity == few[None].perplexity
+    assert not few[2].kept and not few[3].kept and few[2].perplexity is None
+    assert few[8].kept and few[8].perplexity is None and few[1].perplexity == few[None].perplexity
     assert classify(odd, odd).count() == odd.count()
     assert classify(odd.limit(0), odd).count() == 0
     assert {r.perplexity for r in classify(odd, odd.limit(0)).collect()} == {None}
@@ -570,7 +570,7 @@ def test_quality(spark, docs, odd):
 def test_quality_tells_junk(spark):
     where = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{where}/labels.parquet").collect()}
-    got = {r.doc_id: r.keep for r in Q.op2_quality(spark, where).collect()}
+    got = {r.doc_id: r.kept for r in Q.op2_quality(spark, where).collect()}
     good, bad = [k for k, q in labels.items() if q], [k for k, q in labels.items() if not q]
     assert sum(got[k] for k in good) >= 0.95 * len(good)
     assert sum(not got[k] for k in bad) >= 0.4 * len(bad)
