@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import TOKEN, cut
 
 #: Documents that one block of the rounding holds on average.
-BLOCK = 20_000
+BLOCK = 1_000
 #: Rows up to which a table of sources is broadcast.
 SMALL = 100_000
 
