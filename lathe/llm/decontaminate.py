@@ -126,6 +126,8 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     Texts without hits, nulls and empty texts pass unchanged; repeated rows repeat.
     """
     found = Benchmark(benchmark, window=window).hits(wrap(docs, text), "_t")
+    # through a generator of one row, so that the filter and the new text take the hits instead of finding them again
+    found = found.select("_row", "_t", F.explode_outer(F.array("_hits")).alias("_hits"))
     n = F.size("_hits.hits")
     kept = found.where((n == 0) | (_covered(F.col("_hits.hits")) <= most_hit * F.col("_hits.n_words")))
     pieces = F.regexp_extract_all(F.col("_t"), F.lit(PIECE), F.lit(0))
