@@ -11,7 +11,7 @@ from lathe.operators import predicates as P
 
 
 def split(df: DataFrame, passes: Column) -> tuple[DataFrame, DataFrame]:
-    return df.where(passes), df.where(~passes)
+    return df.where(passes), df.where(P.negated(passes))
 
 
 def filter_predicate(df: DataFrame, given: Sequence[Mapping] | str, filter_type: str = "all", strict_kinds: bool = False, allow_udf: bool = False) -> Column:
@@ -41,4 +41,4 @@ def without(df: DataFrame, *values: object) -> DataFrame:
     visible = [c for c in df.columns if not c.startswith("__")]
     if values == (None,):
         return df.na.drop("any", subset=visible)
-    return df.where(~P.disjunction([P.compare(P.column(df, c), "==", P.literal(v)) for c in visible for v in values]))
+    return df.where(P.negated(P.disjunction([P.compare(P.column(df, c), "==", P.literal(v)) for c in visible for v in values])))

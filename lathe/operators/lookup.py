@@ -36,7 +36,7 @@ def _condition(left: DataFrame, right: DataFrame, item: tuple, l_names: dict[str
     if callable(op):
         return P.call(op, [a[0], b[0]])
     if op == "not in":
-        return ~P.compare(a, "in", b)
+        return P.negated(P.compare(a, "in", b))
     return P.compare(a, op, b)
 
 

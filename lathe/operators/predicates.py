@@ -2,7 +2,8 @@
 
 A comparison that Python would answer is answered here too: null equals null, a
 null is neither smaller nor larger than anything, and values of different kinds
-are unequal and unordered.  No predicate is ever null.
+are unequal and unordered.  A predicate may be null, which counts as false: comparisons stay
+as they are, so that scans can use them, and only what is negated is made two-valued.
 """
 
 from __future__ import annotations
@@ -64,8 +65,13 @@ def compare(left: Typed, op: str, right: Typed, strict_kinds: bool = False) -> C
     if op == "==":
         return a.eqNullSafe(b)
     if op == "!=":
-        return F.coalesce(a != b, F.lit(False)) if strict_kinds else ~a.eqNullSafe(b)
-    return F.coalesce(OPERATORS[op](a, b), F.lit(False))
+        return a != b if strict_kinds else ~a.eqNullSafe(b)
+    return OPERATORS[op](a, b)
+
+
+def negated(predicate: Column) -> Column:
+    """Not true: false or null."""
+    return ~F.coalesce(predicate, F.lit(False))
 
 
 def column(df: DataFrame, name: str) -> Typed:
@@ -117,11 +123,11 @@ class _Reader(ast.NodeVisitor):
     def truth(self, node: ast.AST) -> Column:
         col, kind = self.visit(node)
         if isinstance(kind, T.BooleanType):
-            return F.coalesce(col, F.lit(False))
+            return col
         if isinstance(kind, T.NumericType):
-            return F.coalesce(col != 0, F.lit(False))
+            return col != 0
         if isinstance(kind, T.StringType):
-            return F.coalesce(col != "", F.lit(False))
+            return col != ""
         return col.isNotNull()
 
     def visit_BoolOp(self, node):
@@ -130,7 +136,7 @@ class _Reader(ast.NodeVisitor):
 
     def visit_UnaryOp(self, node):
         if isinstance(node.op, ast.Not):
-            return ~self.truth(node.operand), T.BooleanType()
+            return negated(self.truth(node.operand)), T.BooleanType()
         col, kind = self.visit(node.operand)
         if isinstance(node.op, ast.USub) and isinstance(kind, T.NumericType):
             return -col, kind
@@ -183,8 +189,8 @@ class _Reader(ast.NodeVisitor):
                 a, b = self.visit(left), self.visit(right)
                 if not (isinstance(a[1], T.StringType) and isinstance(b[1], T.StringType)):
                     self.generic_visit(node)
-                found = F.coalesce(F.contains(b[0], a[0]), F.lit(False))
-            return found if isinstance(op, ast.In) else ~found
+                found = F.contains(b[0], a[0])
+            return found if isinstance(op, ast.In) else negated(found)
         if type(op) not in self.COMPARE:
             self.generic_visit(node)
         return compare(self.visit(left), self.COMPARE[type(op)], self.visit(right))
@@ -265,5 +271,5 @@ def call(function: Callable, columns: list[Column]) -> Column:
     except Exception:  # noqa: BLE001 - a function for plain values may fail in any way on Columns
         out = None
     if isinstance(out, Column):
-        return F.coalesce(out.cast("boolean"), F.lit(False))
+        return out.cast("boolean")
     return F.coalesce(F.udf(lambda *v: bool(function(*v)), T.BooleanType())(*columns), F.lit(False))

@@ -49,9 +49,9 @@ def _quartiles(df: DataFrame, n: int) -> dict[str, float]:
         low, part = divmod(k * n, 4)
         wanted[name] = (low, low + 1, (k * (n - 1)) % 4) if not part and low < n else (low + 1, low + 1, 0)
     ranks = sorted({min(max(r, 1), n) for a, b, _ in wanted.values() for r in (a, b)})
-    share = [(r - 1) / (n - 1) if n > 1 else 0.0 for r in ranks]
-    got = df.agg(F.percentile("v", share).alias("p")).first()["p"]
-    at = dict(zip(ranks, got))
+    # the value of a rank: the first whose share of rows reaches half a row less than the rank
+    row = df.agg(*[F.expr(f"percentile_disc({(r - 0.5) / n!r}D) WITHIN GROUP (ORDER BY v)").alias(f"r{r}") for r in ranks]).first()
+    at = {r: row[f"r{r}"] for r in ranks}
     return {name: (at[max(a, 1)] * (4 - d) + at[min(b, n)] * d) / 4 for name, (a, b, d) in wanted.items()}
 
 

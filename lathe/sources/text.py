@@ -19,6 +19,11 @@ SKIP = ("NONE", "ANY", "ALL")
 PEEK = 10_000
 
 
+#: What Windows-1252 has where ISO-8859-1 has controls; Spark reads the latter.
+_C1 = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+_C1 = [(a, b) for a, b in _C1 if b]
+
+
 def read_bytes(spark: SparkSession, path: str) -> bytes:
     """A whole file, by Spark's own reader, so any store works."""
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
@@ -140,7 +145,7 @@ def read_text(
         raise ValueError("start is 0 or more, limit more than 0")
     encoding = encoding or detect_encoding(head_bytes(spark, path))
     delimiter = delimiter or ","
-    options = {"sep": delimiter, "quote": text_qualifier or "\u0000", "escape": "\\" if text_qualifier else "\u0000", "charToEscapeQuoteEscaping": "\u0000", "encoding": encoding, "maxColumns": "100000", "maxCharsPerColumn": "-1", "mode": "PERMISSIVE"}
+    options = {"sep": delimiter, "quote": text_qualifier or "\u0000", "escape": "\\" if text_qualifier else "\u0000", "charToEscapeQuoteEscaping": "\u0000", "encoding": "ISO-8859-1" if encoding == "windows-1252" else encoding, "maxColumns": "100000", "maxCharsPerColumn": "-1", "mode": "PERMISSIVE"}
     multiline = bool(text_qualifier) if multiline is None else multiline
 
     def rows(width: int) -> DataFrame:
@@ -171,6 +176,8 @@ def read_text(
     fields = []
     for i, n in enumerate(names):
         text = F.col(f"c{i}")
+        if encoding == "windows-1252":
+            text = F.translate(text, "".join(a for a, _ in _C1), "".join(b for _, b in _C1))
         if text_qualifier:
             text = F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
         text = F.trim(text) if strip_leading_and_tailing_whitespace else text

@@ -221,7 +221,7 @@ class Table:
     def remove_all(self, column: str, *gone: object) -> Table:
         """A column without some of its values."""
         one = self.df.select(f"`{column}`")
-        return Table(one.where(~filters.any_of(one, **{column: gone[0]})) if len(gone) == 1 else filters.without(one, *gone))
+        return Table(one.where(predicates.negated(filters.any_of(one, **{column: gone[0]}))) if len(gone) == 1 else filters.without(one, *gone))
 
     def replace_missing_values(self, *_: object, **__: object) -> None:
         raise AttributeError("see imputation")
