@@ -38,7 +38,7 @@ def is_none(text: Column) -> Column:
 
 
 def _bare(text: Column) -> Column:
-    return F.regexp_replace(text, "[\"' ]", "")
+    return F.translate(text, "\"' ", "")
 
 
 def _whole(text: Column) -> Column:
@@ -50,19 +50,19 @@ def parse_int(text: Column, locale: str | None = None) -> Column:
     t = _bare(text)
     ways = {
         "plain": F.when(t.rlike(_PLAIN_INT), _whole(t)),
-        "eu": F.when(t.rlike(_EU_INT), _whole(F.regexp_replace(t, r"\.", ""))),
-        "us": F.when(t.rlike(_US_INT), _whole(F.regexp_replace(t, ",", ""))),
+        "eu": F.when(t.rlike(_EU_INT), _whole(F.translate(t, ".", ""))),
+        "us": F.when(t.rlike(_US_INT), _whole(F.translate(t, ",", ""))),
     }
     return F.coalesce(*ways.values()) if locale is None else F.coalesce(ways["plain"], ways[locale]) if locale != "plain" else ways["plain"]
 
 
 def parse_float(text: Column, locale: str | None = None) -> Column:
     t = _bare(text)
-    eu = F.regexp_replace(F.regexp_replace(t, r"\.", ""), ",", ".")
+    eu = F.translate(t, ",.", ".")
     ways = {
         "plain": F.when(t.rlike(_PLAIN_FLOAT), t.try_cast("double")).when(F.lower(t).isin("nan", "inf", "-inf", "infinity", "-infinity"), t.try_cast("double")),
         "eu": F.when(t.rlike(_EU_FLOAT), eu.try_cast("double")),
-        "us": F.when(t.rlike(_US_FLOAT), F.regexp_replace(t, ",", "").try_cast("double")),
+        "us": F.when(t.rlike(_US_FLOAT), F.translate(t, ",", "").try_cast("double")),
     }
     return F.coalesce(*ways.values()) if locale is None else F.coalesce(ways["plain"], ways[locale]) if locale != "plain" else ways["plain"]
 
@@ -136,38 +136,58 @@ PARSERS = {
 ORDER = ("bool", "int_plain", "int_eu", "int_us", "float_plain", "float_eu", "float_us", "date", "date_us", "datetime", "datetime_us", "time")
 
 
+#: Rows that rule out parsers before the whole column is read.
+HEAD = 1_000
+
+
 @dataclass(frozen=True)
 class Vote:
-    """How many texts of a column each parser takes, and how many are values at all."""
+    """How many texts of a column are values, and the parser that takes all of them, or str."""
 
     values: int
-    taken: dict[str, int]
-
-    @property
-    def parser(self) -> str:
-        """The parser of the column, or str.  A column without values is str."""
-        if not self.values:
-            return "str"
-        return next((p for p in ORDER if self.taken[p] == self.values), "str")
+    parser: str
 
     @property
     def type(self) -> str:
         return self.parser.split("_")[0]
 
 
-def vote(df: DataFrame, columns: list[str] | None = None) -> dict[str, Vote]:
-    """Votes of all text columns, in one pass over the data."""
-    columns = [c for c, t in df.dtypes if t == "string" and not c.startswith("__")] if columns is None else columns
-    if not columns:
-        return {}
+def _taken(df: DataFrame, wanted: dict[str, list[str]]) -> dict[str, tuple[int, set[str]]]:
+    """By column the number of values, and which of its parsers take all of them: one aggregation."""
     aggs = []
-    for i, c in enumerate(columns):
+    for i, (c, parsers) in enumerate(wanted.items()):
         text = F.col(f"`{c}`")
         value = ~is_none(text)
         aggs.append(F.count(F.when(value, 1)).alias(f"n{i}"))
-        aggs += [F.count(F.when(value & parse(text).isNotNull(), 1)).alias(f"p{i}_{name}") for name, parse in PARSERS.items()]
+        aggs += [F.count(F.when(value & PARSERS[p](text).isNull(), 1)).alias(f"p{i}_{p}") for p in parsers]
     row = df.agg(*aggs).first()
-    return {c: Vote(row[f"n{i}"], {p: row[f"p{i}_{p}"] for p in PARSERS}) for i, c in enumerate(columns)}
+    return {c: (row[f"n{i}"], {p for p in parsers if not row[f"p{i}_{p}"]}) for i, (c, parsers) in enumerate(wanted.items())}
+
+
+def vote(df: DataFrame, columns: list[str] | None = None) -> dict[str, Vote]:
+    """The parsers of all text columns.
+
+    A parser that fails on one of the first rows is none of a column, so those rows rule
+    parsers out; the whole table is then read once to confirm the first parser left
+    of every column, and again only for columns whose parser a later row refutes.
+    A column without values is str.
+    """
+    columns = [c for c, t in df.dtypes if t == "string" and not c.startswith("__")] if columns is None else columns
+    if not columns:
+        return {}
+    texts = df.select(*[f"`{c}`" for c in columns])
+    left = {c: [p for p in ORDER if p in ok] for c, (_, ok) in _taken(texts.limit(HEAD), {c: list(ORDER) for c in columns}).items()}
+    out: dict[str, Vote] = {}
+    while len(out) < len(columns):
+        asked = {c: left[c][:1] for c in columns if c not in out}
+        for c, (n, ok) in _taken(texts, asked).items():
+            if not n or not left[c]:
+                out[c] = Vote(n, "str")
+            elif ok:
+                out[c] = Vote(n, left[c][0])
+            else:
+                left[c].pop(0)
+    return out
 
 
 def typed(df: DataFrame, votes: dict[str, Vote] | None = None) -> DataFrame:
