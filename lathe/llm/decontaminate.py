@@ -66,17 +66,17 @@ class Benchmark:
             verified = f"filter(concat({{all}}), x -> x.gram in ({grams}))"
         else:
             # candidates by an equi-join on the hash; every verified window is one of them
-            at = docs.select("*", F.xxhash64(text).alias("_t"))
+            at = docs.select("*", F.xxhash64(text).alias("_th"))
             spans = [
-                at.select("_t", word_array(F.col(text)).alias("w")).where(F.size("w") >= n).selectExpr("_t", f"explode(transform(array(transform(w, x -> xxhash64(x))), v -> transform(sequence(1, size(v) - {n - 1}), i -> xxhash64(slice(v, i, {n}))))[0]) as h").withColumn("len", F.lit(n))
+                at.select("_th", word_array(F.col(text)).alias("w")).where(F.size("w") >= n).selectExpr("_th", f"explode(transform(array(transform(w, x -> xxhash64(x))), v -> transform(sequence(1, size(v) - {n - 1}), i -> xxhash64(slice(v, i, {n}))))[0]) as h").withColumn("len", F.lit(n))
                 for n in self.lengths
             ]
             found = spans[0]
             for s in spans[1:]:
                 found = found.unionByName(s)
             keys = self.windows.select("h", "len", "gram").join(found.distinct(), ["h", "len"])
-            per_text = keys.groupBy("_t").agg(F.collect_set("h").alias("_h"), F.collect_set("gram").alias("_g"))
-            docs = at.join(per_text, "_t", "left").drop("_t")
+            per_text = keys.groupBy("_th").agg(F.collect_set("h").alias("_h"), F.collect_set("gram").alias("_g"))
+            docs = at.join(per_text, "_th", "left").drop("_th")
             keeps = {n: "array_contains(coalesce(_h, cast(array() as array<bigint>)), {h})" for n in self.lengths}
             verified = "filter(concat({all}), x -> array_contains(coalesce(_g, cast(array() as array<string>)), x.gram))"
         every = ", ".join(_windows_sql("ws", "h", n, keeps[n]) for n in self.lengths)

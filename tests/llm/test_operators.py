@@ -155,6 +155,17 @@ def test_contamination_removed(spark, docs, odd):
     assert cut.where("doc_id = 1").first().text == "one two five six seven eight nine ten"
 
 
+def test_contamination_removed_beyond_the_set(spark, odd, monkeypatch):
+    from lathe.llm import decontaminate
+
+    bench, table = spark.read.parquet(f"{SF}/benchmark.parquet"), spark.read.parquet(f"{SF}/documents.parquet")
+    short = spark.createDataFrame([(1, "three FOUR"), (2, "five six seven")], "item_id long, text string")
+    run = lambda: [sorted(map(repr, decontaminate.remove_contamination(d, b).collect())) for d, b in ((table, bench), (odd, short))]
+    want = run()
+    monkeypatch.setattr(decontaminate, "MAX_SET", 1)
+    assert run() == want
+
+
 # ---- 4
 
 
