@@ -2,27 +2,32 @@
 
 Two variable-order Markov models, one of accepted and one of rejected URLs, give
 every URL a length-normalised log-likelihood difference; a threshold calibrated
-on labelled URLs that neither model saw turns it into a verdict.
+on labelled URLs that neither model saw turns it into a verdict.  Counts stay in
+distributed tables and grow with the input: blocks of URLs ask for their distinct
+n-grams, joins evaluate each order, and the answers meet their block.
 """
 
 from __future__ import annotations
 
-import math
+from collections import defaultdict
 from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, small_batches, spool
 
 # The rules of the query, as (string, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: Words that mark a host as unwanted when the models are trained.
 BAD_HOST_WORDS = ("casino", "bets", "pills", "porn", "viagra", "ads-", "adserv", "loan", "warez")
 ORDER = 5
-#: A context is kept if it has this share of its order's characters, so at most 1 / share are kept per order.
-CONTEXT_SHARE = 2e-5
+CLASSES = ("allow", "block")
+#: A class backs off from contexts that it has seen fewer times, at every size of the input.
+LEAST = 2
+#: URLs that are scored together on average, and n-grams that a task gathers before it sends them.
+BLOCK, GATHER = 20_000, 1_000_000
 #: Share of accepted validation URLs that the calibrated threshold may turn away.
 MISS = 0.02
 
@@ -51,58 +56,82 @@ def _gram_at(text: Column, size: int):
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """Counts of context and next character by label and order, over all rows of (label, line)."""
+    """Counts of context and next character of all orders by class, over all rows of (label, line): gram, allow, block."""
     n = F.length("line")
     grams = None
     for order in range(ORDER + 1):
         # ^ pads the front, $ ends the line
         padded = F.concat(F.lit("^" * order), F.col("line"), F.lit("$"))
         at = labelled.select("label", F.explode(F.transform(F.sequence(F.lit(1), n + 1), _gram_at(padded, order + 1))).alias("gram"))
-        part = at.groupBy("label", "gram").agg(F.count(F.lit(1)).alias("n")).withColumn("context_size", F.lit(order))
+        part = at.groupBy("gram").agg(*[F.sum((F.col("label") == c).cast("bigint")).alias(c) for c in CLASSES])
         grams = part if grams is None else grams.unionByName(part)
     return grams
 
 
-class Markov:
-    """Interpolated (Witten-Bell) model over the contexts kept."""
-
-    def __init__(self, counts: list[tuple[str, int, int]]):
-        totals: dict[str, int] = {}
-        kinds: dict[str, int] = {}
-        for gram, n, _ in counts:
-            totals[gram[:-1]] = totals.get(gram[:-1], 0) + n
-            kinds[gram[:-1]] = kinds.get(gram[:-1], 0) + 1
-        size = totals.get("", 1)
-        self.kept = {c for c, n in totals.items() if n >= max(2, CONTEXT_SHARE * size)} | {""}
-        self.back = {c: math.log(kinds[c] / (kinds[c] + totals[c])) for c in self.kept if c in totals}
-        self.floor = -math.log(256)
-        self.log: dict[str, float] = {}
-        for gram, n, _ in sorted(counts, key=lambda x: len(x[0])):
-            context = gram[:-1]
-            if context in self.kept:
-                lower = self.log.get(gram[1:], None) if context else self.floor
-                if lower is None:
-                    lower = self.of(context[1:], gram[-1])
-                k, t = kinds[context], totals[context]
-                self.log[gram] = math.log((n + k * math.exp(lower)) / (t + k))
-
-    def of(self, context: str, char: str) -> float:
-        cost = 0.0
-        while True:
-            if (p := self.log.get(context + char)) is not None:
-                return cost + p
-            cost += self.back.get(context, 0.0)
-            if not context:
-                return cost + self.floor
-            context = context[1:]
-
-    def line(self, text: str) -> float:
-        padded, total = "^" * ORDER + text + "$", 0.0
-        get = self.log.get
-        for i in range(ORDER, len(padded)):
-            p = get(padded[i - ORDER : i + 1])
-            total += self.of(padded[i - ORDER : i], padded[i]) if p is None else p
-        return total
+def ratios(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(gram, r): log-likelihood ratio, accepted to rejected, of the last character of each n-gram asked for.
+
+    Interpolated Witten-Bell estimates over the contexts that a class has LEAST times or more, order by
+    order: every order is a join of the n-grams asked for with counts, with the sums of their contexts and with the order below.
+    """
+    wanted = {ORDER: asked}
+    for n in range(ORDER - 1, -1, -1):
+        wanted[n] = spool(wanted[n + 1].select(F.expr("substring(gram, 2)").alias("gram")).distinct())
+    known = None
+    for n in range(ORDER + 1):
+        grams = counts.where(F.length("gram") == n + 1)
+        context = F.expr("substring(gram, 1, length(gram) - 1)")
+        sums = grams.groupBy(context.alias("context")).agg(
+            *[F.sum(c).alias(f"{c}_t") for c in CLASSES], *[F.sum((F.col(c) > 0).cast("bigint")).alias(f"{c}_k") for c in CLASSES]
+        )
+        rows = wanted[n].join(grams, "gram", "left").withColumn("context", context)
+        if known is None:
+            # one row: the empty context
+            rows = rows.join(F.broadcast(sums), "context", "left").withColumns({f"{c}_p": F.lit(1 / 256) for c in CLASSES})
+        else:
+            below = known.withColumnRenamed("gram", "suffix")
+            rows = rows.withColumn("suffix", F.expr("substring(gram, 2)")).join(below, "suffix").join(sums, "context", "left")
+        p = {}
+        for c in CLASSES:
+            seen, total, kinds, low = F.coalesce(F.col(c), F.lit(0)), F.col(f"{c}_t"), F.col(f"{c}_k"), F.col(f"{c}_p")
+            p[c] = F.when(total >= (LEAST if n else 1), (seen + kinds * low) / (total + kinds)).otherwise(low).alias(f"{c}_p")
+        known = rows.select("gram", *p.values())
+        known = known if n == ORDER else spool(known)
+    return known.select("gram", (F.log("allow_p") - F.log("block_p")).alias("r"))
+
+
+def _grams(line: str) -> list[str]:
+    padded = "^" * ORDER + line + "$"
+    return [padded[i : i + ORDER + 1] for i in range(len(line) + 1)]
+
+
+def asked_grams(rows: DataFrame) -> DataFrame:
+    """The different n-grams of each block of (block, line), as far as one task sees them: block, gram."""
+
+    def run(batches):
+        seen: dict[int, set] = defaultdict(set)
+
+        def sent():
+            for block, grams in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int64()), pa.array(sorted(grams), pa.string())], names=["block", "gram"])
+            seen.clear()
+
+        for batch in batches:
+            for block, line in zip(batch.column("block").to_pylist(), batch.column("line").to_pylist()):
+                if line:
+                    seen[block].update(_grams(line))
+            if sum(map(len, seen.values())) > GATHER:
+                yield from sent()
+        yield from sent()
+
+    return rows.select("block", "line").mapInArrow(run, "block bigint, gram string").distinct()
+
+
+def _score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    """The rows of a block with the length-normalised sums of their n-grams."""
+    r = dict(zip(answers.column("gram").to_pylist(), answers.column("r").to_pylist()))
+    scores = [sum(map(r.__getitem__, _grams(x))) / (len(x) + 1) if x else None for x in rows.column("line").to_pylist()]
+    return rows.drop_columns(["block"]).append_column("score", pa.array(scores, pa.float64()))
 
 
 def filter_urls(pages: DataFrame, url: str = "url", key: str = "page_id", rules: Sequence[tuple[str, str]] = RULES, bad_words: Sequence[str] = BAD_HOST_WORDS, miss: float = MISS) -> DataFrame:
@@ -115,36 +144,28 @@ def filter_urls(pages: DataFrame, url: str = "url", key: str = "page_id", rules:
     or one without ``://`` has empty host and path and is blocked unless a rule fits; if one of the
     classes has no URLs, all others are allowed.  Repeated rows repeat; other columns are left out.
     """
+    small_batches(pages.sparkSession)
     rest, parts = url_parts(F.col("u"))
     base = pages.select(pages[key].alias("k"), pages[url].cast("string").alias("u")).withColumn("u_rest", rest).withColumn("p", parts)
     base = base.select("k", "p.host", "p.path").withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("line", F.concat("host", "path"))
     bad = F.lit(False)
     for w in bad_words:
         bad = bad | F.col("host").contains(w)
-    seeds = base.where("line != ''").select("line", F.when(bad, "block").otherwise(F.coalesce("r.verdict", F.lit("allow"))).alias("label"))
+    label = F.when(bad, "block").otherwise(F.coalesce("r.verdict", F.lit("allow")))
     fold = F.pmod(F.xxhash64("line"), F.lit(4)) == 0
-    # contexts below the share are dropped before anything reaches the driver, except those of order 0 and 1
-    counts = gram_counts(seeds.where(~fold))
-    context = F.expr("substring(gram, 1, length(gram) - 1)")
-    per_context = counts.groupBy("label", "context_size", context.alias("context")).agg(F.sum("n").alias("in_context"))
-    sizes = counts.where("context_size = 0").groupBy("label").agg(F.sum("n").alias("size"))
-    kept = per_context.join(F.broadcast(sizes), "label").where(F.col("in_context") >= F.greatest(F.lit(2), F.lit(CONTEXT_SHARE) * F.col("size"))).select("label", "context_size", "context")
-    rows = counts.withColumn("context", context).join(kept, ["label", "context_size", "context"]).select("label", "gram", "n").collect()
-    models = {c: Markov([(r["gram"], r["n"], 0) for r in rows if r["label"] == c]) for c in ("allow", "block")}
-    usable = all(any(r["label"] == c for r in rows) for c in models)
-
-    def score(batches):
-        allow, block = models["allow"], models["block"]
-        for batch in batches:
-            out = [(allow.line(x) - block.line(x)) / (len(x) + 1) if x and usable else None for x in batch.column("line").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
-
-    shown = base.select("k", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"), "line")
-    kind = ", ".join(f"`{n}` {t}" for n, t in shown.dtypes)
-    scored = shown.mapInArrow(score, f"{kind}, score double")
-    threshold = 0.0
-    if usable:
-        low = seeds.where(fold & (F.col("label") == "allow")).mapInArrow(score, "line string, label string, score double").agg(F.percentile_approx("score", miss, 10000).alias("q")).first()["q"]
+    shown = spool(base.select("k", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"), "line", label.alias("label"), fold.alias("held")))
+    counts = spool(gram_counts(shown.where("line != '' and not held").select("label", "line")))
+    seen = counts.where("length(gram) = 1").agg(*[F.sum(c).alias(c) for c in CLASSES]).first()
+    if all(seen[c] for c in CLASSES):
+        blocks = max(1, -(-shown.count() // BLOCK))
+        rows = shown.withColumn("block", F.pmod(F.xxhash64("k", "line"), F.lit(blocks)).cast("bigint"))
+        asked = spool(asked_grams(rows))
+        answers = asked.join(ratios(counts, spool(asked.select("gram").distinct())), "gram")
+        kind = ", ".join(f"`{n}` {t}" for n, t in shown.dtypes)
+        scored = spool(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda x, y: _score(x, y), f"{kind}, score double"))
+        low = scored.where("held and label = 'allow' and line != ''").agg(F.percentile_approx("score", miss, 10000).alias("q")).first()["q"]
         threshold = min(low if low is not None else 0.0, 0.0)
+    else:
+        scored, threshold = shown.withColumn("score", F.lit(None).cast("double")), 0.0
     judged = F.when(F.col("line") == "", "block").when(F.col("score").isNull() | (F.col("score") >= threshold), "allow").otherwise("block")
     return scored.select(F.col("k").alias(key), "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), "score")

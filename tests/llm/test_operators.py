@@ -90,6 +90,45 @@ def test_url_rules(spark):
     assert filter_urls(df.limit(0)).count() == 0
 
 
+def brute_markov(lines):
+    """Witten-Bell over all contexts seen twice or more: a function from line to log-probability."""
+    tables = [Counter() for _ in range(6)]
+    for n, c in enumerate(tables):
+        for x in lines:
+            s = "^" * n + x + "$"
+            c.update(s[i : i + n + 1] for i in range(len(x) + 1))
+    total, kinds = Counter(), Counter()
+    for c in tables:
+        for g, v in c.items():
+            total[g[:-1]] += v
+            kinds[g[:-1]] += 1
+
+    def p(g):
+        below = p(g[1:]) if len(g) > 1 else 1 / 256
+        if total[g[:-1]] < 2:
+            return below
+        return (tables[len(g) - 1][g] + kinds[g[:-1]] * below) / (total[g[:-1]] + kinds[g[:-1]])
+
+    return lambda x: sum(math.log(p(("^" * 5 + x + "$")[i : i + 6])) for i in range(len(x) + 1))
+
+
+def test_url_counts_are_whole(spark):
+    """Patterns seen a few times count the same in a large table as in a small one."""
+    from lathe.llm.urls import BAD_HOST_WORDS, filter_urls
+
+    hosts = [hashlib.sha256(str(i // 3).encode()).hexdigest()[:20] + ("casino.net" if i % 3 == 0 and i % 2 else ".net") for i in range(9000)]
+    urls = [f"http://{h}/{i % 7}/{i % 3}" for i, h in enumerate(hosts)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in filter_urls(df).collect()}
+    lines = [u[7:] for u in urls]
+    held = {r.page_id for r in df.select("page_id", (F.pmod(F.xxhash64(F.expr("substring(url, 8)")), F.lit(4)) == 0).alias("h")).where("h").collect()}
+    bad = {i for i, h in enumerate(hosts) if any(w in h for w in BAD_HOST_WORDS)}
+    good_model, bad_model = brute_markov([x for i, x in enumerate(lines) if i not in held | bad]), brute_markov([x for i, x in enumerate(lines) if i in bad - held])
+    for i in range(0, 9000, 5):
+        x = lines[i]
+        assert math.isclose(got[i].score, (good_model(x) - bad_model(x)) / (len(x) + 1), rel_tol=1e-9, abs_tol=1e-12)
+
+
 # ---- 3
 
 
