@@ -1,8 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is scanned as it stands; every encoded region found in it is unwrapped
-(percent escapes, Unicode escapes and character references, base64, zlib / gzip /
-bzip2 / xz) into a further layer, which is scanned and unwrapped in turn until
+(lines and words with percent escapes, Unicode escapes and character references
+decoded in place, base64, zlib / gzip / bzip2 / xz) into a further layer, which is scanned and unwrapped in turn until
 nothing new appears.  A layer that was seen before is not entered again, so
 self-reproducing data ends too.  Every layer keeps, for each of its characters,
 the code points of the original text it came from, and findings are reported in
@@ -19,7 +19,8 @@ import html
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,12 +36,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 PERCENT_ONE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)")
+#: Escapes are decoded in place in a line, which no finding leaves, and in each of its words, as a finding may end at another place there.
+LINES = re.compile(r"[^\n]+")
 WORDS = re.compile(r"\S+")
 ESCAPE_ONE = re.compile(r"(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2})|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#\d{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A compressed layer over this many bytes is taken for a bomb and reported as not entered.
 MAX_LAYER = 32 << 20
-Layer = tuple[str, list[int] | range, list[int] | range]
+Layer = tuple[str, Sequence[int], Sequence[int]]
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -96,7 +99,7 @@ def _bytes_layers(data: bytes, start: int, end: int) -> Iterator[Layer]:
 def _pieces(layer: Layer, region: re.Match, one: re.Pattern, decode) -> Layer | None:
     """Replace every escape in a region, carrying the positions along."""
     text, starts, ends = layer
-    out, s, e, at, changed = [], [], [], region.start(), False
+    out, s, e, at, changed = [], array("q"), array("q"), region.start(), False
     for m in one.finditer(text, region.start(), region.end()):
         if (plain := decode(m.group())) is None:
             continue
@@ -136,9 +139,11 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
     text, starts, ends = layer
     for sign, one, decode in (("%", PERCENT_ONE, _percent), ("\\", ESCAPE_ONE, _escape), ("&#", ESCAPE_ONE, _escape)):
         if sign in text and one.search(text):
-            for m in WORDS.finditer(text):
-                if sign in m.group() and (inner := _pieces(layer, m, one, decode)):
-                    yield inner
+            for line in LINES.finditer(text):
+                if sign in line.group():
+                    for m in (line, *WORDS.finditer(text, *line.span())):
+                        if sign in m.group() and (inner := _pieces(layer, m, one, decode)):
+                            yield inner
     for m in BASE64.finditer(text):
         body = m.group().rstrip("=").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:

@@ -297,6 +297,21 @@ def test_wrapped_secret(wrapped):
     assert a <= found[0][1] < found[0][2] <= a + len(wrapped)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "password%3A hunter2hunter2", "api&#95;key = Zx9kkQ2pp71", '"password": "\\u0068unter2hunter2"', "é pass%77ord = hunter2&#104;unter2", "password%253A  hunter2hunter2",
+        base64.b64encode(b"password%3A hunter2hunter2").decode(), "secret%3A password%3Ahunter2hunter2",
+    ],
+)
+def test_partly_escaped_secret(text):
+    from lathe.llm.secrets import find_secrets
+
+    found = [x for x in find_secrets(f"zz\n{text} zz")[1] if x[0] == "assign"]
+    assert found and max(b for _, _, b in found) >= 3 + len(text.rstrip('="'))
+    assert all(3 <= a < b <= 3 + len(text) for _, a, b in found)
+
+
 def test_wrapped_secret_twice_and_cycles():
     from lathe.llm.secrets import find_secrets
 
