@@ -14,13 +14,15 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import html
 import lzma
 import re
 import zlib
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +43,12 @@ LINES = re.compile(r"[^\n]+")
 WORDS = re.compile(r"\S+")
 ESCAPE_ONE = re.compile(r"(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2})|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#\d{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A compressed layer over this many bytes is taken for a bomb and reported as not entered.
+#: A compressed layer over this many bytes is read in pieces, up to its end.
 MAX_LAYER = 32 << 20
+#: Characters of such a piece, and those that it repeats of the one before where it can't begin with a line.
+PIECE, OVERLAP = 4 << 20, 64 << 10
+#: Bytes that are inflated at once.
+STEP = 1 << 20
 Layer = tuple[str, Sequence[int], Sequence[int]]
 
 
@@ -68,28 +74,78 @@ def _readable(data: bytes) -> str | None:
     return text if text and bad * 20 <= len(text) else None
 
 
-def _inflate(data: bytes) -> bytes | None:
+def _tool(data: bytes):
+    """A decompressor for what begins like a compressed stream."""
     if data[:2] == b"\x1f\x8b":
-        tool = zlib.decompressobj(31)
-    elif len(data) > 6 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0:
-        tool = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        tool = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        tool = lzma.LZMADecompressor()
-    else:
-        return None
-    try:
-        out = tool.decompress(data, MAX_LAYER)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
-    return out or None
+        return zlib.decompressobj(31)
+    if len(data) > 6 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _inflate(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """All members of a compressed stream, in chunks of STEP bytes at most; ends at what is no further member."""
+    tool, data, chunks = None, b"", iter(chunks)
+    while True:
+        if tool is None:
+            while len(data) < 7 and (more := next(chunks, b"")):
+                data += more
+            if (tool := _tool(data)) is None:
+                return
+        try:
+            out = tool.decompress(data, STEP)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            return
+        if out:
+            yield out
+        if tool.eof:
+            tool, data = None, tool.unused_data
+            continue
+        data = getattr(tool, "unconsumed_tail", b"")
+        if not data and len(out) < STEP and getattr(tool, "needs_input", True) and not (data := next(chunks, b"")):
+            return
+
+
+def _long_layers(chunks: Iterator[bytes], start: int, end: int) -> Iterator[Layer]:
+    """A long layer in pieces that begin with a line, or else with a word and an overlap."""
+    first = next(chunks, b"")
+    while inner := next(_inflate([first]), b""):
+        chunks = _inflate(chain([first], chunks))
+        first = next(chunks, inner)
+    decoder, text = codecs.getincrementaldecoder("utf-8")(), ""
+    for chunk in chain([first], chunks):
+        try:
+            text += decoder.decode(chunk)
+        except UnicodeDecodeError:
+            break
+        if len(text) >= PIECE:
+            if at := text.rfind("\n") + 1:
+                whole = text[:at]
+            else:
+                whole, at = text, max(text.rfind(" ", 0, -OVERLAP) + 1, 0) or (len(text) - OVERLAP) // 4 * 4
+            yield whole, [start] * len(whole), [end] * len(whole)
+            text = text[at:]
+    if text:
+        yield text, [start] * len(text), [end] * len(text)
 
 
-def _bytes_layers(data: bytes, start: int, end: int) -> Iterator[Layer]:
+def _bytes_layers(data: bytes, start: int, end: int) -> Iterator[Layer | Iterator[Layer]]:
     """Unwrap compression as often as it nests; every character then stands for the whole region."""
     seen = set()
-    while (inner := _inflate(data)) is not None and (key := hashlib.sha256(inner).digest()) not in seen:
+    while True:
+        chunks, inner, size = _inflate([data]), [], 0
+        for chunk in chunks:
+            inner.append(chunk)
+            size += len(chunk)
+            if size > MAX_LAYER:
+                yield _long_layers(chain(inner, chunks), start, end)
+                return
+        if not inner or (key := hashlib.sha256(inner := b"".join(inner)).digest()) in seen:
+            break
         seen.add(key)
         data = inner
     if seen and (text := _readable(data)) is not None:
@@ -134,8 +190,8 @@ def _escape(one: str) -> str | None:
     return chr(value) if value < 0xD800 or 0xDFFF < value < 0x110000 else None
 
 
-def unwrap(layer: Layer) -> Iterator[Layer]:
-    """The layers directly below one."""
+def unwrap(layer: Layer) -> Iterator[Layer | Iterator[Layer]]:
+    """The layers directly below one; those of a long one as an iterator."""
     text, starts, ends = layer
     for sign, one, decode in (("%", PERCENT_ONE, _percent), ("\\", ESCAPE_ONE, _escape), ("&#", ESCAPE_ONE, _escape)):
         if sign in text and one.search(text):
@@ -177,12 +233,18 @@ def find_secrets(text: str | None) -> tuple[list[tuple[str, int, int]], list[tup
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     text = text or ""
     base = scan(text)
-    every, seen = set(base), {(text, 0, len(text))}
-    work: list[Layer] = list(unwrap((text, range(len(text)), range(1, len(text) + 1))))
+    name = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    every, seen = set(base), {(name(text), 0, len(text))}
+    work: list[Layer | Iterator[Layer]] = list(unwrap((text, range(len(text)), range(1, len(text) + 1))))
     while work:
         layer = work.pop()
+        if not isinstance(layer, tuple):
+            pieces = layer
+            if (layer := next(pieces, None)) is None:
+                continue
+            work.append(pieces)
         # the same wrapped text at another place is another finding; at the same place it is a cycle
-        place = (layer[0], layer[1][0], layer[2][-1])
+        place = (name(layer[0]), layer[1][0], layer[2][-1])
         if place in seen:
             continue
         seen.add(place)
@@ -198,6 +260,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     Returns one row per input row: the key, ``base`` and ``spans`` (arrays of
     kind, start, end in code points of the original text).  A null or empty text
     has no findings; repeated rows give repeated results; other columns are left out.
+    Compressed layers are read to their end, all members of them; one of more than MAX_LAYER bytes in
+    pieces, where only a run without blanks that is longer than PIECE is cut, with an overlap.
     """
     small_batches(docs.sparkSession)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])

@@ -312,6 +312,18 @@ def test_partly_escaped_secret(text):
     assert all(3 <= a < b <= 3 + len(text) for _, a, b in found)
 
 
+def test_secret_behind_much_compressed_text():
+    import bz2
+
+    from lathe.llm.secrets import find_secrets
+
+    secret = b" password=hunter2hunter2 "
+    filler = b"lorem ipsum dolor " * (40 << 16)
+    for packed in (zlib.compress(filler + secret), gzip.compress(gzip.compress(b"x" * (40 << 20) + secret)), gzip.compress(b"first") + gzip.compress(secret), bz2.compress(b"first") + bz2.compress(secret)):
+        text = f"see {base64.b64encode(packed).decode()}"
+        assert ("assign", 4, len(text)) in find_secrets(text)[1]
+
+
 def test_wrapped_secret_twice_and_cycles():
     from lathe.llm.secrets import find_secrets
 
