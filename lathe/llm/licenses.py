@@ -1,6 +1,7 @@
 """License scans by an exact set-similarity join.
 
-Blocks are the lines of a text.  Tokens are ordered by how many documents of the
+Blocks are the lines of a text and, as notices are wrapped, every run of words over
+more than one line that is as long as a template or up to 1 / threshold of it.  Tokens are ordered by how many documents of the
 whole corpus hold them, rarest first.  A template of n tokens meets threshold c in
 a block if at least o = ceil(c*n) of its tokens are there; then one of its first
 n-o+1 tokens is there too (prefix filter), the block has o tokens (length
@@ -58,21 +59,22 @@ class Index:
     """Templates in global token order with the inverted list of their prefixes."""
 
     def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
-        self.items, self.prefix = [], defaultdict(list)
+        self.items, self.spans, self.prefix = [], [], defaultdict(list)
         self.rank: dict[bytes, tuple[int, bytes]] = {}
         for label, text in templates:
             tokens = sorted(set(words_of(text)), key=lambda w: (frequency.get(w, 0), w))
             need = math.ceil(threshold * len(tokens) - 1e-9)
             k = len(self.items)
             self.items.append((label, tokens, need, frozenset(tokens)))
+            self.spans.append(math.ceil(len(words_of(text)) / threshold - 1e-9))
             for w in tokens:
                 self.rank[w] = (frequency.get(w, 0), w)
             for at, w in enumerate(tokens[: len(tokens) - need + 1]):
                 self.prefix[w].append((k, at))
         self.keys = frozenset(self.prefix)
 
-    def matches(self, block: frozenset) -> dict[str, float]:
-        """Containment by label of the templates that the block meets."""
+    def met(self, block: frozenset) -> dict[int, float]:
+        """Containment by number of the templates that the block meets."""
         hits = self.keys & block
         if not hits:
             return {}
@@ -89,19 +91,62 @@ class Index:
                     continue
                 if (n := len(as_set & block)) >= need:
                     met[k] = n / len(tokens)
-        found: dict[str, float] = {}
-        for k, c in met.items():
-            # a template inside another one that the block meets says nothing of its own
-            if not any(self.items[k][3] < self.items[other][3] for other in met):
-                found[self.items[k][0]] = max(found.get(self.items[k][0], 0.0), c)
+        return met
+
+    def runs(self, words: list[bytes], k: int) -> list[tuple[float, int, int]]:
+        """Where template k is met by as many words as its length allows: (containment, first word, end), the best of those that overlap."""
+        _, tokens, need, as_set = self.items[k]
+        held: dict[bytes, int] = defaultdict(int)
+        at = [i for i, w in enumerate(words) if w in as_set]
+        found: list[tuple[float, int, int]] = []
+        head = 0
+        for i in at:
+            held[words[i]] += 1
+            while at[head] <= i - self.spans[k] or held[words[at[head]]] > 1:
+                if not (left := held[words[at[head]]] - 1):
+                    del held[words[at[head]]]
+                else:
+                    held[words[at[head]]] = left
+                head += 1
+            if (n := len(held)) >= need:
+                one = (n / len(tokens), at[head], i + 1)
+                if found and one[1] < found[-1][2]:
+                    found[-1] = max(found[-1], one, key=lambda x: x[0])
+                else:
+                    found.append(one)
         return found
 
+    def matches(self, lines: list[list[bytes]]) -> list[tuple[int, str, float]]:
+        """(line, label, containment) of every block that meets a template, by the line it begins in."""
+        words = [w for line in lines for w in line]
+        possible = self.met(frozenset(words))
+        if not possible:
+            return []
+        line_of = [n for n, line in enumerate(lines) for _ in line]
+        first, blocks = 0, []  # (template, first word, end, containment)
+        for line in lines:
+            blocks += [(k, first, first + len(line), c) for k, c in self.met(frozenset(line)).items()]
+            first += len(line)
+        in_lines = list(blocks)
+        for k in possible:
+            for c, a, b in self.runs(words, k):
+                # what one line holds is found in that line
+                if line_of[a] != line_of[b - 1] and not any(k == x and a < to and at < b for x, at, to, _ in in_lines):
+                    blocks.append((k, a, b, c))
+        found: dict[tuple[int, str], float] = {}
+        for k, a, b, c in blocks:
+            # a template inside another one that is met in the same place says nothing of its own
+            if not any(self.items[k][3] < self.items[x][3] and a < to and at < b for x, at, to, _ in blocks):
+                key = (line_of[a], self.items[k][0])
+                found[key] = max(found.get(key, 0.0), c)
+        return [(n, label, c) for (n, label), c in sorted(found.items())]
+
 
 def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", templates=TEMPLATES, phrases=PHRASES, threshold: float = CONTAINMENT) -> DataFrame:
-    """Find license phrases and every line that meets a license template.
+    """Find license phrases and every line or run of words over lines that meets a license template.
 
     Returns one row per input row: key, n_words, n_base, first_word, last_word,
-    base_labels, labels, score, blocks (line number, label, containment).  Null and
+    base_labels, labels, score, blocks (number of the first line, label, containment).  Null and
     empty texts have no words; repeated rows repeat; other columns are left out.
     """
     small_batches(docs.sparkSession)
@@ -126,11 +171,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", temp
                 if words[at : at + len(phrase)] == phrase:
                     starts.append(at)
                     base.add(label)
-        blocks = [
-            {"line": n, "label": label, "containment": c}
-            for n, line in enumerate((t or "").split("\n"))
-            for label, c in sorted(index.matches(frozenset(words_of(line))).items())
-        ]
+        found = index.matches([words_of(line) for line in (t or "").split("\n")])
+        blocks = [{"line": n, "label": label, "containment": c} for n, label, c in found]
         score = 1.0 if starts else max((b["containment"] for b in blocks), default=0.0)
         labels = base | {b["label"] for b in blocks}
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, blocks

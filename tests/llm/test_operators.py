@@ -425,6 +425,28 @@ def test_licenses(spark, docs, odd, tmp_path):
     assert got[2].labels == "cc-by" and got[2].blocks[0].line == 0
 
 
+def test_wrapped_licenses(spark):
+    """Every template, wrapped into narrow commented lines among other text, and scattered words that are none."""
+    from lathe.llm.licenses import TEMPLATES, scan_licenses
+
+    other = ["plain words before it", "and some more"]
+    given, want = [], []
+    for k, (label, t) in enumerate(TEMPLATES):
+        w = t.split()
+        for width in (3, 7, 12):
+            lines = [" * " + " ".join(w[i : i + width]) for i in range(0, len(w), width)]
+            given.append((len(given), "\n".join(other + lines + other)))
+            want.append(label)
+    far = "\n".join(" filler" * 9 + f" {x}" for x in "licensed under cc by 4 0".split())
+    mixed = "the mit\npermission is hereby granted, free of charge, to any person\nobtaining (here) a copy of this software and associated\ndocumentation files"
+    given += [(len(given), far), (len(given) + 1, mixed)]
+    got = rows(scan_licenses(spark.createDataFrame(given, "doc_id long, text string")), "doc_id")
+    for i, label in enumerate(want):
+        assert label in got[i].labels.split(",") and set(got[i].labels.split(",")) <= {label, got[i].base_labels}, given[i]
+        assert [b.line for b in got[i].blocks if b.label == label] == [2]
+    assert got[len(want)].labels == "" and got[len(want) + 1].labels == "mit"
+
+
 # ---- 8
 
 
