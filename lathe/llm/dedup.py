@@ -187,11 +187,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def unshared(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """By member of a large bucket, how many of its shingles no other such member has: k, own.  Few mean a central document, many one that links with nothing."""
+    """By member of a large bucket, how many of its shingles no other such member has: k, own.  Few mean a central document, many one that links with no other such member."""
     large = members.where(F.col("n") > LARGE).select("k").distinct()
     rows = sets.join(large, "k", "left_semi").select("k", F.explode("shingles").alias("s"))
     single = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k")).where("n = 1")
-    return single.groupBy("k").agg(F.count(F.lit(1)).alias("own"))
+    return large.join(single.groupBy("k").agg(F.count(F.lit(1)).alias("own")), "k", "left").withColumn("own", F.coalesce("own", F.lit(0)))
 
 
 def _cross_pairs(members: DataFrame, comps: DataFrame, facts: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -200,29 +200,33 @@ def _cross_pairs(members: DataFrame, comps: DataFrame, facts: DataFrame, sizes:
     Bounds: the sizes; the shingles that only one of the two has; and, of two that were
     compared with the bucket's hub, that they share no hub shingle which either lacks, and
     beyond the hub only what is not their own.  Hashed bits can only weaken the last one.
+    A document's own shingles say nothing of one outside all large buckets, so they count only
+    if both are in such buckets, as all members of a large one are.
     """
     labelled = members.join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     per = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_comp"))
     main = per.groupBy("key").agg(F.max(F.struct("n_comp", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"))
-    able = facts.where(PERCENT * F.col("n_shingles") <= 100 * (F.col("n_shingles") - F.col("own")))
+    able = F.col("own").isNull() | (F.col("n") <= LARGE) | (PERCENT * F.col("n_shingles") <= 100 * (F.col("n_shingles") - F.col("own")))
     compared = sizes.select(F.col("a").alias("hub"), F.col("b").alias("k"), "i", "gone")
     hub_size = facts.select(F.col("k").alias("hub"), F.col("n_shingles").alias("h"))
-    rows = labelled.select("key", "k", "hub", "comp", "band").join(main, "key").join(able, "k").join(hub_size, "hub").join(compared, ["hub", "k"], "left")
+    rows = labelled.select("key", "k", "hub", "comp", "band", "n").join(main, "key").join(facts, "k").where(able).join(hub_size, "hub").join(compared, ["hub", "k"], "left")
     own_hub = F.col("k") == F.col("hub")
     rows = rows.withColumn("i", F.when(own_hub, F.col("h")).otherwise(F.col("i"))).withColumn("gone", F.when(own_hub, F.array_repeat(F.lit(0).cast("bigint"), 4)).otherwise(F.col("gone")))
-    rows = rows.withColumn("beyond", F.col("n_shingles") - F.col("i") - F.col("own"))
+    rows = rows.withColumn("beyond", F.col("n_shingles") - F.col("i")).drop("n")
     x = rows.where("comp != main").select([F.col(c).alias(f"x_{c}") if c != "key" else F.col(c) for c in rows.columns])
     y = rows.select([F.col(c).alias(f"y_{c}") if c != "key" else F.col(c) for c in rows.columns])
-    shared = F.least(F.col("x_n_shingles") - F.col("x_own"), F.col("y_n_shingles") - F.col("y_own"))
+    both = F.col("x_own").isNotNull() & F.col("y_own").isNotNull()
+    own = {s: F.when(both, F.col(f"{s}_own")).otherwise(0) for s in "xy"}
+    shared = F.least(F.col("x_n_shingles") - own["x"], F.col("y_n_shingles") - own["y"])
     before = lambda s: F.slice(F.col(f"{s}_bands"), F.lit(1), F.col("x_band"))
     lacking = F.aggregate(F.zip_with("x_gone", "y_gone", lambda p, q: F.bit_count(p.bitwiseOR(q))), F.lit(0), lambda m, c: m + c)
-    most = F.col("x_h") - lacking + F.least("x_beyond", "y_beyond")
+    most = F.col("x_h") - lacking + F.least(F.col("x_beyond") - own["x"], F.col("y_beyond") - own["y"])
     ok = (
         (x["key"] == y["key"])
         & (F.col("x_comp") != F.col("y_comp"))
         & ((F.col("y_comp") == F.col("y_main")) | (F.col("x_k") < F.col("y_k")))
         & (100 * F.least("x_n_shingles", "y_n_shingles") >= PERCENT * F.greatest("x_n_shingles", "y_n_shingles"))
-        & (100 * shared >= PERCENT * (shared + F.col("x_own") + F.col("y_own")))
+        & (100 * shared >= PERCENT * (shared + own["x"] + own["y"]))
         & F.coalesce((100 + PERCENT) * most >= PERCENT * (F.col("x_n_shingles") + F.col("y_n_shingles")), F.lit(True))
         & ~F.arrays_overlap(before("x"), before("y"))
     )
@@ -250,8 +254,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     shared = cut(banded.join(buckets, "key"))
     # repeated rows give a set more than once, which adds nothing to links and only weakens bounds
     sets = cut(shingle_sets(base.join(shared.select("k").distinct(), "k", "left_semi")))
-    facts = cut(reps.select("k", "n_shingles", "bands").join(unshared(shared, sets), "k", "left").withColumn("own", F.coalesce("own", F.lit(0))))
-    hubs = shared.join(facts.select("k", "own"), "k").groupBy("key").agg(F.min(F.struct("own", "k"))["k"].alias("hub"))
+    facts = cut(reps.select("k", "n_shingles", "bands").join(unshared(shared, sets), "k", "left"))
+    hubs = shared.join(facts.select("k", "own"), "k").groupBy("key").agg(F.min(F.struct(F.coalesce("own", F.lit(0)), "k"))["k"].alias("hub"))
     members = cut(shared.join(hubs, "key"))
     stars = members.where("k != hub").select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct()
     sizes = cut(overlaps(prune(stars, reps), sets))

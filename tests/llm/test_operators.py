@@ -385,6 +385,28 @@ def test_near_duplicates_of_a_family(spark):
     assert {r.doc_id: tuple(r)[1:] for r in near_duplicates(df).collect()} == brute_near(texts)
 
 
+def test_near_duplicates_across_a_large_bucket(spark):
+    """One of a pair shares a passage with many documents and is in their buckets, its near copy is not, and a third one is the hub of all buckets of both."""
+    from lathe.llm.dedup import near_duplicates
+
+    passage = [f"p2_{i}" for i in range(400)]
+    one = passage + [f"u2_{i}" for i in range(110)]
+    copy = list(one)
+    for p in (313, 130, 161, 91):
+        copy[p] = f"b2_{p}"
+    texts = [(100, " ".join(one)), (101, " ".join(copy))]
+    for j in range(10):
+        like = list(copy)
+        for i in range(9):
+            like[(j * 5 + i * 55 + 2) % 510] = f"c2_{j}_{i}"
+        texts.append((j, " ".join(like)))
+    texts += [(1000 + j, " ".join(passage + [f"o2_{j}_{i}" for i in range(110)])) for j in range(30)]
+    want = brute_near(texts)
+    assert want[101][1] == want[100][1] == 100
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: tuple(r)[1:] for r in near_duplicates(df).collect()} == want
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     from lathe.llm.dedup import near_duplicates
 
