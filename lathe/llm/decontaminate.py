@@ -36,8 +36,8 @@ def _windows_sql(words: str, hashes: str, length: int, keep: str) -> str:
 
 
 def benchmark_windows(benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """Distinct windows of all items: len, h (hash), gram, items.  Items without words have none."""
-    words = benchmark.select(F.col(item).cast("string").alias("item"), word_array(F.col(text)).alias("w")).where("size(w) > 0 and item is not null")
+    """Distinct windows of all items: len, h (hash), gram, items.  Items without words have none; an item with a null id has windows but is in no items."""
+    words = benchmark.select(F.col(item).cast("string").alias("item"), word_array(F.col(text)).alias("w")).where("size(w) > 0")
     at = words.selectExpr(
         "item", f"least({window}, size(w)) as len", "w", "explode(sequence(1, size(w) - least({0}, size(w)) + 1)) as i".format(window)
     ).selectExpr("item", "len", "slice(w, i, len) as g")
@@ -101,7 +101,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     Returns one row per distinct (key, text): key, n_words, n_hit (words inside a window),
     n_items, items (sorted item ids), contaminated.  Null and empty texts have no words
     and no hits, as has every text if the benchmark is empty; repeated rows give one
-    row; other columns are left out.
+    row; other columns are left out.  A benchmark row with a null id counts hit words, but is no item.
     """
     bench = Benchmark(benchmark, window=window)
     found = bench.hits(docs.select(docs[key].alias("k"), docs[text].alias("t")), "t")

@@ -194,6 +194,15 @@ def test_contamination_removed(spark, docs, odd):
     assert cut.where("doc_id = 1").first().text == "one two five six seven eight nine ten"
 
 
+def test_contamination_by_items_without_an_id(spark, odd):
+    from lathe.llm.decontaminate import contamination_report, remove_contamination
+
+    items = spark.createDataFrame([(None, "three FOUR"), (7, "three four"), (None, "eight nine")], "item_id long, text string")
+    one = contamination_report(odd, items).where("doc_id = 1").first()
+    assert (one.n_hit, one.n_items, one["items"]) == (4, 1, ["7"])
+    assert remove_contamination(odd, items).where("doc_id = 1").first().text == "one two five six seven ten"
+
+
 def test_contamination_removed_beyond_the_set(spark, odd, monkeypatch):
     from lathe.llm import decontaminate
 
