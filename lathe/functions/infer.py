@@ -21,7 +21,7 @@ NONES = ("null", "Null", "NULL", "#N/A", "#n/a", "", "None")
 TYPES = ("bool", "int", "float", "date", "datetime", "time", "str")
 SPARK = {"bool": "boolean", "int": "bigint", "float": "double", "date": "date", "datetime": "timestamp_ntz", "time": "time(6)", "str": "string"}
 
-_PLAIN_INT, _EU_INT, _US_INT = r"^[+-]?[0-9]+$", r"^[+-]?[0-9]+(\.[0-9]{3})+$", r"^[+-]?[0-9]+(,[0-9]{3})+$"
+_EU_INT, _US_INT = r"^[+-]?[0-9]+(\.[0-9]{3})+$", r"^[+-]?[0-9]+(,[0-9]{3})+$"
 _EXP = r"([eE][+-]?[0-9]+)?$"
 _PLAIN_FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)" + _EXP
 _EU_FLOAT = r"^[+-]?([0-9]+(\.[0-9]{3})*(,[0-9]*)?|,[0-9]+)" + _EXP
@@ -30,6 +30,9 @@ _YMD = r"^([0-9]{4})([-./ ])([0-9]{1,2})\2([0-9]{1,2})"
 _DMY = r"^([0-9]{1,2})([-./ ])([0-9]{1,2})\2([0-9]{4})"
 _COMPACT = r"^([0-9]{4})([0-9]{2})([0-9]{2})"
 _CLOCK = r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,9}))?)?$"
+_MINUTES = r"[T ]([0-9]{1,2}):([0-9]{2})$"
+_SECONDS = r"[T ]([0-9]{1,2}):([0-9]{2}):([0-9]{2})(?:[.,]([0-9]{1,6})[0-9]{0,3})?$"
+_ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$"
 _CLOCK_COMPACT = r"([0-9]{2})([0-9]{2})([0-9]{2})?(?:[.,]([0-9]{1,9}))?$"
 
 
@@ -41,17 +44,13 @@ def _bare(text: Column) -> Column:
     return F.translate(text, "\"' ", "")
 
 
-def _whole(text: Column) -> Column:
-    return text.try_cast("bigint")
-
-
 def parse_int(text: Column, locale: str | None = None) -> Column:
     """locale: plain, eu, us or None for the first that fits."""
     t = _bare(text)
     ways = {
-        "plain": F.when(t.rlike(_PLAIN_INT), _whole(t)),
-        "eu": F.when(t.rlike(_EU_INT), _whole(F.translate(t, ".", ""))),
-        "us": F.when(t.rlike(_US_INT), _whole(F.translate(t, ",", ""))),
+        "plain": t.try_cast("bigint"),
+        "eu": F.when(t.rlike(_EU_INT), F.translate(t, ".", "").try_cast("bigint")),
+        "us": F.when(t.rlike(_US_INT), F.translate(t, ",", "").try_cast("bigint")),
     }
     return F.coalesce(*ways.values()) if locale is None else F.coalesce(ways["plain"], ways[locale]) if locale != "plain" else ways["plain"]
 
@@ -88,7 +87,10 @@ def _iso(text: Column, american: bool = False) -> tuple[Column, Column]:
 def parse_date(text: Column, american: bool = False) -> Column:
     """A text that is a date and nothing else."""
     date, rest = _iso(text, american)
-    return F.when(rest == "", date.try_cast("date"))
+    slow = F.when(rest == "", date.try_cast("date"))
+    # the common forms take one pattern and one replacement
+    quick = F.when(text.rlike(_YMD + "$"), F.regexp_replace(text, _YMD, "$1-$3-$4").try_cast("date"))
+    return quick.when(text.rlike(_DMY + "$"), F.regexp_replace(text, _DMY, "$4-$1-$3" if american else "$4-$3-$1").try_cast("date")).otherwise(slow)
 
 
 def parse_datetime(text: Column, american: bool = False) -> Column:
@@ -102,7 +104,14 @@ def parse_datetime(text: Column, american: bool = False) -> Column:
 
     second, fraction = F.when(get(3) == "", "00").otherwise(get(3)), F.when(get(4) == "", "0").otherwise(F.substring(get(4), 1, 6))
     full = F.concat(date, F.lit(" "), F.lpad(get(1), 2, "0"), F.lit(":"), get(2), F.lit(":"), second, F.lit("."), fraction)
-    return F.when(rest == "", date.try_cast("timestamp_ntz")).when(pattern.isNotNull(), full.try_cast("timestamp_ntz"))
+    slow = F.when(rest == "", date.try_cast("timestamp_ntz")).when(pattern.isNotNull(), full.try_cast("timestamp_ntz"))
+    quick = None
+    for day, new in ((_YMD, "$1-$3-$4"), (_DMY, "$4-$1-$3" if american else "$4-$3-$1")):
+        for tail, time in ((r"$", ""), (_SECONDS, " $5:$6:$7.${8}0"), (_MINUTES, " $5:$6:00")):
+            made = F.regexp_replace(text, day + tail, new + time.replace("${8}", "$8")).try_cast("timestamp_ntz")
+            quick = F.when(text.rlike(day + tail), made) if quick is None else quick.when(text.rlike(day + tail), made)
+    # what is in ISO form already needs no replacement
+    return F.when(text.rlike(_ISO), text.try_cast("timestamp_ntz")).otherwise(quick.otherwise(slow))
 
 
 def time_text(text: Column) -> Column:

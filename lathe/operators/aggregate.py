@@ -30,6 +30,9 @@ def _numeric(col: Column, kind: T.DataType) -> Column:
 def aggregate_column(function: str, name: str, kind: T.DataType, pos: Column | None) -> Column:
     """One aggregate.  Nulls are skipped, but for First, Last, Count and CountUnique, which see them."""
     col = F.col(f"`{name}`")
+    if callable(function):
+        # of Columns, or a pandas UDF from series to scalar
+        return function(col)
     if function in ("First", "Last"):
         return (F.min_by if function == "First" else F.max_by)(F.struct(col.alias("v")), pos)["v"]
     if function == "Mode":
@@ -59,7 +62,8 @@ class GroupBy:
 def groupby(df: DataFrame, keys: Sequence[str], functions: Sequence[tuple[str, str]] = (), order: Sequence[str] | None = None, ordered: bool = False) -> DataFrame:
     """Aggregates named ``Sum(column)`` by key; without functions the distinct keys, without keys one row.
 
-    ``ordered`` sorts groups by their first appearance.
+    A function may also be one of Columns, or a pandas UDF that aggregates, under its own
+    name.  ``ordered`` sorts groups by their first appearance.
     """
     if not keys and not functions:
         raise ValueError("groupby needs keys or functions")
@@ -67,7 +71,7 @@ def groupby(df: DataFrame, keys: Sequence[str], functions: Sequence[tuple[str, s
         raise ValueError("a key occurs twice")
     functions = list(dict.fromkeys((c, f) for c, f in functions))
     for c, f in functions:
-        if f not in GroupBy.functions:
+        if not callable(f) and f not in GroupBy.functions:
             raise ValueError(f"unknown function {f!r}; use one of {GroupBy.functions}")
     require(df.columns, [*keys, *[c for c, _ in functions]])
     positional = ordered or any(f in ("First", "Last") for _, f in functions)
@@ -75,17 +79,24 @@ def groupby(df: DataFrame, keys: Sequence[str], functions: Sequence[tuple[str, s
         df, order = position.ensure(df, order)
     pos = position.key_of(order) if positional else None
     taken = list(keys)
-    out = []
+    out, series = [], []
     for c, f in functions:
-        name = unique_name(f"{f}({c})", taken)
+        name = unique_name(f"{getattr(f, '__name__', 'f') if callable(f) else f}({c})", taken)
         taken.append(name)
-        out.append(aggregate_column(f, c, df.schema[c].dataType, pos).alias(name))
+        # pandas UDFs can't stand beside other aggregates
+        (series if hasattr(f, "evalType") else out).append(aggregate_column(f, c, df.schema[c].dataType, pos).alias(name))
     quoted = [F.col(f"`{k}`") for k in keys]
     if not functions and not ordered:
         return df.select(*quoted).distinct()
     if ordered:
         out.append(F.min(pos).alias("__first"))
-    grouped = df.groupBy(*quoted).agg(*out)
+    grouped = df.groupBy(*quoted).agg(*out) if out else df.groupBy(*quoted).agg(*series)
+    if out and series:
+        other = df.groupBy(*[q.alias(f"__k{i}") for i, q in enumerate(quoted)]).agg(*series)
+        same = F.lit(True)
+        for i, q in enumerate(quoted):
+            same = same & q.eqNullSafe(F.col(f"__k{i}"))
+        grouped = grouped.join(other, same).select(*[f"`{n}`" for n in taken], *(["__first"] if ordered else []))
     return grouped.orderBy("__first").drop("__first") if ordered else grouped
 
 

@@ -15,7 +15,7 @@ from lathe.operators.predicates import compare, disjunction, literal
 METHODS = ("carry forward", "mean", "mode", "nearest neighbour")
 #: Rows that the exact nearest-neighbour method takes: it is sequential by definition.
 EXACT_ROWS = 100_000
-#: Distinct donors that the one-shot method compares every distinct incomplete row with.
+#: Distinct donors up to which they are broadcast, where the one-shot method has several sources and compares every distinct incomplete row with all of them.
 DONORS = 200_000
 
 
@@ -75,17 +75,43 @@ def _neighbours(df: DataFrame, targets: list[str], sources: list[str], missing:
     for t in targets:
         gone = is_missing(ranked, t, missing)
         donors = ranked.where(~gone).groupBy(vector.alias("__d")).agg(F.min_by(F.struct(F.col(f"`{t}`").alias("v")), position.key_of(order)).alias("__val"), F.min(position.key_of(order)).alias("__p"))
-        if donors.count() > DONORS:
-            raise ValueError(f"more than {DONORS} distinct donors; choose fewer or coarser sources")
         asked = ranked.where(gone).select(vector.alias("__a")).distinct()
+        if len(sources) == 1:
+            out = _filled(out, t, missing, vector, _nearest(asked, donors))
+            continue
         far = F.aggregate(F.zip_with("__a", "__d", lambda a, d: F.when(a.isNull(), 0.0).when(d.isNull(), float("inf")).otherwise(F.abs(a - d))), F.lit(0.0), lambda x, y: x + y)
-        best = asked.crossJoin(F.broadcast(donors)).groupBy("__a").agg(F.min_by("__val", F.struct(far.alias("far"), F.col("__p"))).alias("__val"))
-        out = out.withColumn("__mine", F.when(is_missing(out, t, missing), vector))
-        best = best.select(F.col("__a").alias("__key"), "__val")
-        out = out.join(best, F.col("__mine") == F.col("__key"), "left").withColumn(t, F.when(F.col("__val").isNotNull(), F.col("__val")["v"]).otherwise(F.col(f"`{t}`"))).drop("__mine", "__key", "__val")
+        # the nearest row in several ranks has to be compared with every donor: a set of questions against all rows
+        donors = F.broadcast(donors) if donors.count() <= DONORS else donors
+        best = asked.crossJoin(donors).groupBy("__a").agg(F.min_by("__val", F.struct(far.alias("far"), F.col("__p"))).alias("__val"))
+        out = _filled(out, t, missing, vector, best)
     return out.drop(*at)
 
 
+def _filled(df: DataFrame, target: str, missing: list, vector: Column, best: DataFrame) -> DataFrame:
+    """The missing values of one column from (__a, __val)."""
+    mine = df.withColumn("__mine", F.when(is_missing(df, target, missing), vector))
+    best = best.select(F.col("__a").alias("__key"), "__val")
+    joined = mine.join(best, F.col("__mine") == F.col("__key"), "left")
+    return joined.withColumn(target, F.when(F.col("__val").isNotNull(), F.col("__val")["v"]).otherwise(F.col(f"`{target}`"))).drop("__mine", "__key", "__val")
+
+
+def _nearest(asked: DataFrame, donors: DataFrame) -> DataFrame:
+    """(__a, __val) by one rank: the donor at or below or the one above, whichever is nearer, then the earlier row.  A question without a rank takes the earliest donor."""
+    rank = F.col("__d")[0]
+    given = donors.select(rank.alias("r"), F.struct("__val", "__p", rank.alias("r")).alias("donor")).where("r is not null")
+    both = asked.select(F.col("__a")[0].alias("r"), F.lit(1).alias("ask")).where("r is not null").unionByName(given.withColumn("ask", F.lit(0)), allowMissingColumns=True)
+    both = both.withColumn("__n", -F.col("r"))
+    below = position.carry(both, ["r", "ask"], {"low": F.col("donor")})
+    # the other way round, with a donor of the same rank before the question in both
+    answered = position.carry(below, ["__n", "ask"], {"high": F.col("donor")}).where("ask = 1")
+    gap = lambda side: F.struct(F.abs(F.col(side)["r"] - F.col("r")).alias("far"), F.col(side)["__p"].alias("p"), F.col(side)["__val"].alias("v"))
+    some = F.array_sort(F.filter(F.array(F.when(F.col("low").isNotNull(), gap("low")), F.when(F.col("high").isNotNull(), gap("high"))), lambda x: x.isNotNull()))
+    # the earliest donor, for where no donor has a rank
+    first = donors.agg(F.min_by("__val", "__p").alias("__val")).scalar()
+    known = answered.select(F.array("r").alias("__a"), F.coalesce(F.get(some, 0)["v"], first).alias("__val"))
+    return known.unionByName(asked.where(F.col("__a")[0].isNull()).select("__a", first.alias("__val")))
+
+
 def _exact_neighbours(df: DataFrame, targets: list[str], sources: list[str], missing: list, order: Sequence[str]) -> DataFrame:
     """Row by row from the fewest missing values on; filled values serve later rows.  Runs in one process, on EXACT_ROWS rows at most."""
     columns = [c for c in df.columns if not c.startswith("__")]

@@ -13,8 +13,10 @@ from lathe.operators import predicates as P
 from lathe.operators.naming import unique_names
 
 FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
-#: Rows of the right side up to which a pure theta lookup may broadcast it.
-THETA_ROWS = 5_000_000
+#: Bytes of the right side's criteria and positions up to which a pure theta lookup broadcasts them.
+THETA_BYTES = 256 << 20
+#: Right rows of one key over which a running minimum is cut into ranges inside the key.
+HOT_ROWS = 1_000_000
 
 
 def _parsed(left: DataFrame, right: DataFrame, criteria: Sequence[tuple]) -> list[tuple]:
@@ -80,16 +82,27 @@ def lookup(left: DataFrame, right: DataFrame, *criteria: tuple, all: bool = True
     l_names = {c: f"__k{i}" for i, c in enumerate(used)}
     r_names = {c: f"__v{i}" for i, c in enumerate(dict.fromkeys(i[3] for i in items if i[3]))}
     asked = left.select(*[F.col(f"`{c}`").alias(n) for c, n in l_names.items()]).distinct() if used else left.sparkSession.range(1).select(F.lit(1).alias("__one"))
-    there = right.select(*[F.col(f"`{c}`").alias(n) for c, n in r_names.items()], row.alias("__row"), pos.alias("__at"))
+    there = right.select(*[F.col(f"`{c}`").alias(n) for c, n in r_names.items()], pos.alias("__at"))
     condition = (P.conjunction if all else P.disjunction)([_condition(left, right, i, l_names, r_names) for i in items])
-    if not (all and equal) and there.count() <= THETA_ROWS:
+    if not (all and equal) and _bytes(there) <= THETA_BYTES:
         there = F.broadcast(there)
-    best = asked.join(there, condition).groupBy(*asked.columns).agg(F.min_by("__row", "__at").alias("__row"))
+    # positions are compared, and rows join once they are known
+    best = asked.join(there, condition).groupBy(*asked.columns).agg(F.min("__at").alias("__at"))
+    best = best.join(right.select(pos.alias("__at"), row.alias("__row")), "__at")
     if not used:
         return back(best.select("__row"), [])
     return back(best.select(*[F.col(n).alias(c) for c, n in l_names.items()], "__row"), used)
 
 
+def _bytes(df: DataFrame) -> int:
+    """Bytes of all values, each with the 16 that a row and a field of it take about."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    width = F.lit(16 * (len(df.columns) + 1))
+    for t in texts:
+        width = width + t
+    return df.agg(F.sum(width).alias("b")).first()["b"] or 0
+
+
 def _running(left: DataFrame, right: DataFrame, equal: list[tuple], item: tuple, order: Sequence[str], row: Column) -> DataFrame:
     """First right position by distinct left values, for equalities and one range: a running minimum in the range's direction."""
     lc, _, op, rc, _ = item
@@ -103,19 +116,25 @@ def _running(left: DataFrame, right: DataFrame, equal: list[tuple], item: tuple,
     # rows that count for an equal value come before the question, others after it
     rank = F.col("ask") if op in ("<=", ">=") else -F.col("ask")
     part = [F.col(f"e{n}") for n in range(len(keys))]
-    if keys:
+    hot = keys and not right.groupBy(*[f"`{r}`" for _, r in keys]).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).limit(1).isEmpty()
+    if keys and not hot:
         seen = W.partitionBy(*part).orderBy(F.col("v").desc() if up else F.col("v").asc(), rank).rowsBetween(W.unboundedPreceding, W.currentRow)
         answered = both.withColumn("first", F.min("p").over(seen))
     else:
         bounds = position.range_bounds(both, ["v"])
         ranged = position.with_range(both, ["v"], bounds)
-        seen = W.partitionBy(position.RANGE).orderBy(F.col("v").desc() if up else F.col("v").asc(), rank).rowsBetween(W.unboundedPreceding, W.currentRow)
+        seen = W.partitionBy(*part, position.RANGE).orderBy(F.col("v").desc() if up else F.col("v").asc(), rank).rowsBetween(W.unboundedPreceding, W.currentRow)
         answered = ranged.withColumn("first", F.min("p").over(seen))
         if bounds:
-            # one row per range
-            side = W.orderBy(F.col(position.RANGE).desc() if up else F.col(position.RANGE).asc()).rowsBetween(W.unboundedPreceding, -1)
-            carried = ranged.groupBy(position.RANGE).agg(F.min("p").alias("m")).select(position.RANGE, F.min("m").over(side).alias("m"))
-            answered = answered.join(F.broadcast(carried), position.RANGE).withColumn("first", F.least("first", "m"))
+            # one row per range, or per key and range
+            side = (W.partitionBy(*part) if part else W).orderBy(F.col(position.RANGE).desc() if up else F.col(position.RANGE).asc()).rowsBetween(W.unboundedPreceding, -1)
+            carried = ranged.groupBy(*part, position.RANGE).agg(F.min("p").alias("m")).select(*part, position.RANGE, F.min("m").over(side).alias("m"))
+            if part:
+                carried = carried.select(*[F.col(f"e{n}").alias(f"c{n}") for n in range(len(keys))], F.col(position.RANGE).alias("__cr"), "m")
+                same = P.conjunction([F.col(f"e{n}").eqNullSafe(F.col(f"c{n}")) for n in range(len(keys))] + [F.col(position.RANGE) == F.col("__cr")])
+                answered = answered.join(carried, same).withColumn("first", F.least("first", "m"))
+            else:
+                answered = answered.join(F.broadcast(carried), position.RANGE).withColumn("first", F.least("first", "m"))
     hits = answered.where("ask = 1 and first is not null").select(*part, "v", "first")
     full = hits.join(right.select(pos.alias("first"), row.alias("__row")), "first")
     return full.select(*[F.col(f"e{n}").alias(l) for n, (l, _) in enumerate(keys)], F.col("v").alias(lc), "__row")

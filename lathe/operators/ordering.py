@@ -145,6 +145,44 @@ def updated(df: DataFrame, column: str, rows: slice | int, value: object, order:
     return numbered.withColumn(column, F.when(inside, F.lit(value)).otherwise(F.col(f"`{column}`"))).drop(position.ORDINAL)
 
 
+def assigned(df: DataFrame, column: str, key: slice | int, values: Sequence, order: Sequence[str]) -> DataFrame:
+    """A column with values put into it as into a list; POS then holds the row order.
+
+    [:] replaces all, [a:] what follows, [:b] what precedes, [a:b] what lies between, each by as many values
+    as there are; [a:b:c] overwrites one place after the other.  A column that gets longer
+    than the others adds rows, which are null in those; one that gets shorter ends in nulls.
+    """
+    n = df.count()
+    if isinstance(key, int):
+        if isinstance(values, (list, tuple)):
+            raise TypeError("one place takes one value; a slice takes several")
+        if not -n <= key < n:
+            raise IndexError("there is no such row")
+        return updated(df, column, key % n, values, order)
+    start, stop, step = key.indices(n)
+    numbered = position.with_ordinals(df, order)
+    at, name = F.col(position.ORDINAL), f"`{column}`"
+    over = key.step not in (None, 1)
+    if over:
+        places = list(range(start, stop, step))
+        if len(values) > len(places):
+            raise ValueError(f"{len(values)} values for a slice of {len(places)} places")
+    else:
+        start, stop = (0 if key.start is None else start), (n if key.stop is None else max(start, stop))
+        places = [start + i for i in range(len(values))]
+    from lathe.sources.sheets import frame
+
+    given = frame(df.sparkSession, list(zip(places, values)), ["__at", "__value"])
+    given = given.select(F.col("__at").cast("bigint").alias("__at"), F.col("__value").cast(df.schema[column].dataType).alias("__value"))
+    if over:
+        both = numbered.join(given.withColumn("__hit", F.lit(True)), at == F.col("__at"), "left")
+        out = both.withColumn(column, F.when(F.col("__hit"), F.col("__value")).otherwise(F.col(name)))
+        return out.withColumn(position.POS, at).drop(position.ORDINAL, "__at", "__value", "__hit")
+    old = numbered.where((at < start) | (at >= stop)).select(F.when(at < start, at).otherwise(at - stop + start + len(values)).alias("__at"), F.col(name).alias("__value"))
+    both = numbered.drop(column, position.POS).join(old.unionByName(given), at == F.col("__at"), "full").withColumn(position.POS, F.coalesce(at, F.col("__at")))
+    return both.select(*[F.col("__value").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns if c != position.POS], position.POS)
+
+
 def deleted(df: DataFrame, rows: slice | int, order: Sequence[str]) -> DataFrame:
     """All rows but those of a slice."""
     rows = slice(rows, rows + 1 or None) if isinstance(rows, int) else rows

@@ -20,7 +20,7 @@ POS = "__pos"
 RANGE = "__range"
 ORDINAL = "__ordinal"
 #: Rows that a range holds on average, most ranges, keys sampled per range.
-RANGE_ROWS, MAX_RANGES, PER_RANGE = 200_000, 1_000, 8
+RANGE_ROWS, MAX_RANGES, PER_RANGE = 200_000, 4_000, 8
 
 
 def ensure(df: DataFrame, order: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
@@ -65,16 +65,20 @@ def with_range(df: DataFrame, order: Sequence[str], bounds: list[Column]) -> Dat
     return df.withColumn(RANGE, _tree(key_of(order), bounds, 0, len(bounds)) if bounds else F.lit(0))
 
 
-def with_ordinals(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
-    """The frame with ORDINAL: 0, 1, 2, … in order."""
+def with_ordinals(df: DataFrame, order: Sequence[str], ranges: int | None = None, weight: Column | None = None) -> DataFrame:
+    """The frame with ORDINAL: 0, 1, 2, … in order, or the sum of the whole weights before the row."""
     bounds = range_bounds(df, order, ranges)
     ranged = with_range(df, order, bounds)
-    own = F.row_number().over(W.partitionBy(RANGE).orderBy(*order)).cast("bigint") - 1
+    within = W.partitionBy(RANGE).orderBy(*order)
+    if weight is None:
+        own = F.row_number().over(within).cast("bigint") - 1
+    else:
+        own = F.coalesce(F.sum(weight).over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
     numbered = ranged.withColumn(ORDINAL, own)
     if not bounds:
         return numbered.drop(RANGE)
     # one row per range
-    sizes = ranged.groupBy(RANGE).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = ranged.groupBy(RANGE).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("__n"))
     before = sizes.select(RANGE, F.coalesce(F.sum("__n").over(W.orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     return numbered.join(F.broadcast(before), RANGE).withColumn(ORDINAL, F.col(ORDINAL) + F.col("__before")).drop(RANGE, "__before")
 

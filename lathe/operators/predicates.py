@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import ast
 import operator
+import warnings
 from collections.abc import Callable, Mapping
 from functools import reduce
 
+from pyspark.errors import PySparkTypeError, PySparkValueError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -266,9 +268,11 @@ def callable_or_value(df: DataFrame, name: str, wanted: object) -> Column:
 
 
 def call(function: Callable, columns: list[Column]) -> Column:
+    """A function of Columns as it is; one that only takes plain values, which shows when it asks a Column for its truth or for what values have, as a UDF."""
     try:
         out = function(*columns)
-    except Exception:  # noqa: BLE001 - a function for plain values may fail in any way on Columns
+    except (PySparkTypeError, PySparkValueError, TypeError, AttributeError) as e:
+        warnings.warn(f"{getattr(function, '__name__', function)} takes no Columns ({e}), so it runs row by row in Python", stacklevel=2)
         out = None
     if isinstance(out, Column):
         return out.cast("boolean")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lathe.functions.text import kind_of
+from lathe.operators import position
 from lathe.operators.naming import require
 from lathe.operators.predicates import compare, literal
 
@@ -42,6 +43,10 @@ def merge(df: DataFrame, left: str, right: str, new: str, criteria: Column) -> D
     return df.select(*kept, *([] if new in (left, right) else [value]))
 
 
+#: Distinct values up to which statistics lists them with their counts.
+HISTOGRAM = 100_000
+
+
 def _quartiles(df: DataFrame, n: int) -> dict[str, float]:
     """Lower quartile, median and upper quartile: at a whole rank k/4*n between two values, else the value that covers it."""
     wanted: dict[str, tuple[int, int, int]] = {}
@@ -49,16 +54,19 @@ def _quartiles(df: DataFrame, n: int) -> dict[str, float]:
         low, part = divmod(k * n, 4)
         wanted[name] = (low, low + 1, (k * (n - 1)) % 4) if not part and low < n else (low + 1, low + 1, 0)
     ranks = sorted({min(max(r, 1), n) for a, b, _ in wanted.values() for r in (a, b)})
-    # the value of a rank: the first whose share of rows reaches half a row less than the rank
-    row = df.agg(*[F.expr(f"percentile_disc({(r - 0.5) / n!r}D) WITHIN GROUP (ORDER BY v)").alias(f"r{r}") for r in ranks]).first()
-    at = {r: row[f"r{r}"] for r in ranks}
+    # distinct values with the number of rows before them, in ranges: no task holds all of them
+    counts = position.with_ordinals(df.groupBy("v").agg(F.count(F.lit(1)).alias("n")), ["v"], weight=F.col("n"))
+    before = F.col(position.ORDINAL)
+    found = counts.where(F.exists(F.array(*[F.lit(r) for r in ranks]), lambda r: (before < r) & (r <= before + F.col("n")))).select("v", before.alias("before"), "n").collect()  # one row per rank
+    at = {r: next(x["v"] for x in found if x["before"] < r <= x["before"] + x["n"]) for r in ranks}
     return {name: (at[max(a, 1)] * (4 - d) + at[min(b, n)] * d) / 4 for name, (a, b, d) in wanted.items()}
 
 
 def statistics(df: DataFrame, column: str) -> dict:
-    """min, max, mean, median, stdev, mode, distinct, iqr_low, iqr_high, iqr, sum and summary type of a column's values.
+    """min, max, mean, median, stdev, mode, distinct, iqr_low, iqr_high, iqr, sum, summary type and histogram of a column's values.
 
-    Texts are described by their lengths, times and dates as such; a mode that ties is
+    The histogram has two lists, of values in order (null last) and of their counts; a column with more than
+    HISTOGRAM of them has None there, and aggregate.histogram has them all.  Texts are described by their lengths, times and dates as such; a mode that ties is
     the smallest; a column without rows has no statistics.
     """
     kind = df.schema[column].dataType
@@ -68,8 +76,12 @@ def statistics(df: DataFrame, column: str) -> dict:
         return {}
     names = ("min", "max", "mean", "median", "stdev", "mode", "iqr_low", "iqr_high", "iqr", "sum")
     distinct = total["d"] + (total["z"] or 0)
+    seen = [[], []] if distinct <= HISTOGRAM else None
+    if seen:
+        rows = df.groupBy(col.alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("v").asc_nulls_last()).collect()
+        seen = [[r["v"] for r in rows], [r["n"] for r in rows]]
     if not total["v"]:
-        return dict.fromkeys(names, "n/a") | {"distinct": distinct, "summary type": "NoneType"}
+        return dict.fromkeys(names, "n/a") | {"distinct": distinct, "summary type": "NoneType", "histogram": seen}
     text, stamp, day = isinstance(kind, T.StringType), isinstance(kind, (T.TimestampType, T.TimestampNTZType)), isinstance(kind, T.DateType)
     if text:
         number = F.length(col)
@@ -101,7 +113,7 @@ def statistics(df: DataFrame, column: str) -> dict:
         row |= {"stdev": f"{row['stdev'] * unit / timedelta(days=1)} days", "iqr": f"{row['iqr'] * unit / timedelta(days=1)} days", "sum": f"{row['sum'] * unit / timedelta(days=1)} days"}
     from lathe.operators.cast import type_name
 
-    return {k: row[k] for k in names} | {"distinct": distinct, "summary type": type_name(kind)}
+    return {k: row[k] for k in names} | {"distinct": distinct, "summary type": type_name(kind), "histogram": seen}
 
 
 def count_value(df: DataFrame, column: str, value: object) -> int:

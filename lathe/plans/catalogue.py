@@ -7,6 +7,10 @@ is the same in any engine and for any partitioning.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import sqlite3
+import tempfile
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from lathe.functions import infer, scalars
 from lathe.operators import aggregate, combine, impute, lookup, ordering, position, values
 from lathe.operators.aggregate import GroupBy as G
+from lathe.sources import registry
 from lathe.table import Table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -387,7 +392,7 @@ def _(t):
 
 @query("unique", "SELECT DISTINCT p_brand FROM part")
 def _(t):
-    return t.part.df.select("p_brand").distinct()
+    return t.spark.createDataFrame([(v,) for v in t.part.unique("p_brand")], "p_brand string")
 
 
 @query("histogram", "SELECT p_size AS value, count(*) AS count FROM part GROUP BY 1")
@@ -402,7 +407,7 @@ def _(t):
 
 @query("count_value", "SELECT count(*) AS n FROM part WHERE p_size = 7")
 def _(t):
-    return t.part.df.where(F.col("p_size").eqNullSafe(7)).agg(F.count(F.lit(1)).alias("n"))
+    return t.spark.createDataFrame([(t.part.count("p_size", 7),)], "n bigint")
 
 
 @query("column_statistics", "SELECT min(p_size)::DOUBLE AS min, max(p_size)::DOUBLE AS max, round(avg(p_size), 9) AS mean, median(p_size) AS median, round(stddev_samp(p_size), 9) AS stdev, sum(p_size)::DOUBLE AS sum, count(DISTINCT p_size) AS distinct_values, (SELECT p_size FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)::DOUBLE AS mode FROM part")
@@ -456,8 +461,8 @@ def _(t):
 
 @query("union_add", "SELECT c_custkey AS k, c_name AS n FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
 def _(t):
-    a = t.customer.df.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"))
-    return combine.append(a, t.supplier.df.select(F.col("s_name").alias("n"), F.col("s_suppkey").alias("k")))
+    a = Table(t.customer.df.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n")), ["k"])
+    return a + Table(t.supplier.df.select(F.col("s_name").alias("n"), F.col("s_suppkey").alias("k")), ["k"])
 
 
 @query("stack", "SELECT c_custkey, c_acctbal AS bal, NULL AS s_suppkey FROM customer UNION ALL SELECT NULL, s_acctbal, s_suppkey FROM supplier")
@@ -598,3 +603,279 @@ def _(t):
 @query("intersect", "SELECT o_custkey AS k FROM orders INTERSECT SELECT user_id FROM events")
 def _(t):
     return t.orders.df.select(F.col("o_custkey").alias("k")).intersect(t.events.df.select(F.col("user_id").alias("k")))
+
+
+# ---- sources and sinks: a table is written and read back.  What the driver writes as one file goes
+# to a folder of its own, which goes with the process; the engine's folders are written in parallel.
+
+
+class _Files:
+    folder: str | None = None
+
+    @classmethod
+    def new(cls, name: str) -> str:
+        if cls.folder is None:
+            cls.folder = tempfile.mkdtemp(prefix="catalogue-")
+            atexit.register(shutil.rmtree, cls.folder, True)
+        return f"{tempfile.mkdtemp(dir=cls.folder)}/{name}"
+
+
+_SUPPLIER = "SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal FROM supplier"
+
+
+@query("csv_round_trip", _SUPPLIER)
+def _(t):
+    t.supplier.to_csv(path := _Files.new("supplier.csv"))
+    return Table.from_file(t.spark, path)
+
+
+@query("tsv_texts", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
+def _(t):
+    t.nation.to_tsv(path := _Files.new("nation.tsv"))
+    return Table.from_file(t.spark, path, guess_datatypes=False)
+
+
+@query("text_slice", "SELECT n_name, n_nationkey::BIGINT AS n_nationkey FROM nation WHERE n_nationkey BETWEEN 5 AND 14")
+def _(t):
+    t.nation.to_text(path := _Files.new("nation.txt"))
+    return Table.from_file(t.spark, path, delimiter="|", columns=["n_name", "n_nationkey"], start=5, limit=10)
+
+
+@query("csv_without_headers", "SELECT s_suppkey AS \"0\", s_name AS \"1\" FROM supplier")
+def _(t):
+    t.supplier["s_suppkey", "s_name"].df.coalesce(1).write.csv(path := _Files.new("supplier.csv"), header=False)
+    return Table.from_file(t.spark, path, first_row_has_headers=False)
+
+
+@query("csv_skip_empty", "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS n FROM customer WHERE c_custkey % 5 != 0")
+def _(t):
+    hole = F.col("c_custkey") % 5 == 0
+    rows = t.customer.df.select(F.when(~hole, F.col("c_custkey")).alias("k"), F.when(hole | (F.col("c_custkey") % 3 == 0), "").otherwise(F.col("c_name")).alias("n"))
+    Table(rows).to_csv(path := _Files.new("customer.csv"))
+    return Table.from_file(t.spark, path, skip_empty="ALL")
+
+
+@query("csv_bracketed_fields", "SELECT n_nationkey::BIGINT AS k, '(' || n_name || ',' || n_regionkey || ')' AS place FROM nation")
+def _(t):
+    lines = t.nation.df.select(F.format_string("%d,(%s,%d)", "n_nationkey", "n_name", "n_regionkey").alias("value"))
+    head = t.spark.createDataFrame([("k,place",)], "value string")
+    head.unionByName(lines).coalesce(1).write.text(path := _Files.new("nation.csv"))
+    return Table.from_file(t.spark, path, text_escape_openings="(", text_escape_closures=")")
+
+
+@query("csv_quoted_newlines", "SELECT r_regionkey::BIGINT AS k, r_name || ', with a\\n\"line\"' AS said FROM region")
+def _(t):
+    rows = t.region.df.select(F.col("r_regionkey").alias("k"), F.concat("r_name", F.lit(', with a\n\\"line\\"')).alias("said"))
+    text = "k,said\n" + "".join(f'{r["k"]},"{r["said"]}"\n' for r in rows.orderBy("k").collect())
+    with open(path := _Files.new("region.csv"), "w") as f:
+        f.write(text)
+    return Table.from_file(t.spark, path, text_qualifier='"')
+
+
+@query("csv_latin_text", "SELECT r_regionkey::BIGINT AS k, 'Überfluß in ' || r_name AS said FROM region")
+def _(t):
+    rows = t.region.df.orderBy("r_regionkey").collect()
+    with open(path := _Files.new("region.csv"), "wb") as f:
+        f.write(("k,said\n" + "".join(f"{r['r_regionkey']},Überfluß in {r['r_name']}\n" for r in rows)).encode("latin-1"))
+    return Table.from_file(t.spark, path)
+
+
+@query("csv_utf16", "SELECT r_regionkey::BIGINT AS k, '日本 ' || r_name AS said FROM region")
+def _(t):
+    rows = t.region.df.orderBy("r_regionkey").collect()
+    with open(path := _Files.new("region.csv"), "wb") as f:
+        f.write(("k,said\n" + "".join(f"{r['r_regionkey']},日本 {r['r_name']}\n" for r in rows)).encode("utf-16"))
+    return Table.from_file(t.spark, path)
+
+
+@query("xlsx_round_trip", _SUPPLIER)
+def _(t):
+    t.supplier.to_xlsx(path := _Files.new("supplier.xlsx"))
+    return Table.from_file(t.spark, path)
+
+
+@query("xlsx_times", "SELECT o_orderkey, o_orderdate, o_totalprice >= 150000 AS big FROM orders WHERE o_orderkey <= 500")
+def _(t):
+    few = t.orders.df.where("o_orderkey <= 500").select("o_orderkey", "o_orderdate", (F.col("o_totalprice") >= 150000).alias("big"))
+    Table(few, ["o_orderkey"]).to_xlsx(path := _Files.new("orders.xlsx"))
+    return Table.from_file(t.spark, path)
+
+
+@query("ods_round_trip", _SUPPLIER)
+def _(t):
+    t.supplier.to_ods(path := _Files.new("supplier.ods"))
+    return Table.from_file(t.spark, path)
+
+
+@query("html_round_trip", _SUPPLIER)
+def _(t):
+    t.supplier.to_html(path := _Files.new("supplier.html"))
+    return Table.from_file(t.spark, path)
+
+
+@query("json_round_trip", f"SELECT row_number() OVER (ORDER BY s_suppkey) AS \"row id\", * FROM ({_SUPPLIER})")
+def _(t):
+    return Table.from_json(t.spark, t.supplier.to_json())
+
+
+@query("sql_round_trip", _SUPPLIER)
+def _(t):
+    con = sqlite3.connect(":memory:")
+    con.executescript(t.supplier.to_sql("supplier"))
+    return t.spark.createDataFrame(con.execute("SELECT * FROM supplier").fetchall(), "s_suppkey bigint, s_name string, s_nationkey bigint, s_acctbal double")
+
+
+@query("save_and_load", "SELECT * FROM events")
+def _(t):
+    t.events.save(path := _Files.new("events"))
+    return Table.load(t.spark, path)
+
+
+@query("pandas_round_trip", "SELECT * FROM part")
+def _(t):
+    return Table.from_pandas(t.spark, t.part.to_pandas())
+
+
+@query("construction", "SELECT n_nationkey::BIGINT AS k, n_name AS n FROM nation")
+def _(t):
+    rows = t.nation["n_nationkey", "n_name"].rows()
+    return Table.from_columns(t.spark, headers=["k", "n"], rows=rows)
+
+
+@query("headers_of_files", "SELECT * FROM (VALUES ('csv', 'n_nationkey|n_name|n_regionkey', 4), ('ods', 'n_nationkey|n_name|n_regionkey', 4), ('xlsx', 'n_nationkey|n_name|n_regionkey', 4)) x(kind, names, lines)")
+def _(t):
+    out = []
+    for kind in ("csv", "ods", "xlsx"):
+        getattr(t.nation, f"to_{kind}")(path := _Files.new(f"nation.{kind}"))
+        lines = next(iter(registry.head(t.spark, path, 4).values()))
+        out.append((kind, "|".join(lines[0]), len(lines)))
+    return t.spark.createDataFrame(out, "kind string, names string, lines int")
+
+
+# ---- more of rows, columns and values
+
+
+@query("add_rows", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT * FROM (VALUES (7, 'ATLANTIS'), (8, NULL))")
+def _(t):
+    return Table(t.region.df, ["r_regionkey"]).add_rows((7, "ATLANTIS"), {"r_regionkey": 8}).df.select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name")
+
+
+_PUT = "(SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, n_nationkey, n_name FROM nation)"
+
+
+@query("assign_insert", f"SELECT a.n_nationkey, CASE WHEN p.i BETWEEN 2 AND 4 THEN 'new' || p.i ELSE b.n_name END AS n_name FROM range(0, 26) p(i) LEFT JOIN {_PUT} a ON a.pos = p.i LEFT JOIN {_PUT} b ON b.pos = CASE WHEN p.i < 2 THEN p.i ELSE p.i - 1 END")
+def _(t):
+    return t.nation["n_nationkey", "n_name"].assign("n_name", slice(2, 4), ["new2", "new3", "new4"])
+
+
+@query("assign_steps", f"SELECT n_nationkey, CASE pos WHEN 1 THEN 'a' WHEN 4 THEN 'b' WHEN 7 THEN 'c' ELSE n_name END AS n_name FROM {_PUT}")
+def _(t):
+    return t.nation["n_nationkey", "n_name"].assign("n_name", slice(1, 20, 3), ["a", "b", "c"])
+
+
+@query("slice_backwards", "SELECT row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS place, o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) WHERE pos > 100 AND pos <= 900 AND (900 - pos) % 4 = 0")
+def _(t):
+    out = t.orders["o_orderkey", slice(900, 100, -4)]
+    return position.with_ordinals(out.df, [position.POS]).select(F.col(position.ORDINAL).alias("place"), "o_orderkey")
+
+
+@query("unique_index", "SELECT min(pos) AS first FROM (SELECT p_brand, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part) GROUP BY p_brand")
+def _(t):
+    return t.spark.createDataFrame([(i,) for i in t.part.unique_index("p_brand")], "first bigint")
+
+
+@query("right_join", "SELECT n_name, r_name FROM (SELECT * FROM nation WHERE n_nationkey < 8) n RIGHT JOIN region ON n_regionkey = r_regionkey")
+def _(t):
+    return Table(t.nation.df.where("n_nationkey < 8")).join(t.region, ["n_regionkey"], ["r_regionkey"], ["n_name"], ["r_name"], kind="right")
+
+
+@query("groupby_own_aggregate", 'SELECT o_orderstatus, max(o_totalprice) - min(o_totalprice) AS "spread(o_totalprice)" FROM orders GROUP BY 1')
+def _(t):
+    def spread(v):
+        return F.max(v) - F.min(v)
+
+    return t.orders.groupby(["o_orderstatus"], [("o_totalprice", spread)])
+
+
+@query(
+    "quartiles",
+    "SELECT quantile_cont(x, 0.5) AS median, (SELECT count(DISTINCT p_size) FROM part) AS values, (SELECT count(*) FROM part) AS rows FROM (SELECT p_size::DOUBLE AS x FROM part)",
+)
+def _(t):
+    s = t.part.statistics("p_size")
+    return t.spark.createDataFrame([(float(s["median"]), len(s["histogram"][0]), sum(s["histogram"][1]))], "median double, values bigint, rows bigint")
+
+
+@query("lookup_nearest_of_a_key", "SELECT c_custkey, min(o_orderkey) AS o_orderkey FROM customer LEFT JOIN orders ON c_nationkey = o_custkey % 25 AND c_acctbal * 20 < o_totalprice GROUP BY 1")
+def _(t):
+    left = t.customer.df.select("c_custkey", F.col("c_nationkey").cast("bigint").alias("n"), (F.col("c_acctbal") * 20).alias("b"))
+    right = t.orders.df.select("o_orderkey", (F.col("o_custkey") % 25).alias("m"), "o_totalprice")
+    return lookup.lookup(left, right, ("n", "==", "m"), ("b", "<", "o_totalprice"), right_order=["o_orderkey"]).select("c_custkey", "o_orderkey")
+
+
+@query("diff_sequences", "SELECT r_regionkey, r_name, '=' AS \"1st\", '=' AS \"2nd\" FROM region WHERE r_regionkey != 2 UNION ALL SELECT r_regionkey, r_name, '+', '-' FROM region WHERE r_regionkey = 2 UNION ALL SELECT 9, 'NOWHERE', '-', '+'")
+def _(t):
+    more = t.spark.createDataFrame([(9, "NOWHERE")], "r_regionkey int, r_name string")
+    return Table(t.region.df, ["r_regionkey"]).diff(Table(t.region.df.where("r_regionkey != 2").unionByName(more), ["r_regionkey"]))
+
+
+# ---- more of inference and order
+
+
+@query("typed_bools_and_gaps", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 != 0 THEN o_orderstatus = 'F' END AS b, CASE WHEN o_orderkey % 5 != 0 THEN o_orderkey % 100 END AS n FROM orders")
+def _(t):
+    b = F.when(F.col("o_orderkey") % 7 == 0, "None").when(F.col("o_orderstatus") == "F", "TRUE").otherwise("false")
+    return infer.typed(t.orders.df.select(F.col("o_orderkey").cast("string").alias("k"), b.alias("b"), F.when(F.col("o_orderkey") % 5 == 0, "#N/A").otherwise((F.col("o_orderkey") % 100).cast("string")).alias("n")))
+
+
+@query("typed_times", "SELECT event_id AS k, strftime(ts, '%H:%M:%S') AS clock FROM events")
+def _(t):
+    out = infer.typed(t.events.df.select(F.col("event_id").cast("string").alias("k"), F.date_format("ts", "HH:mm:ss").alias("clock")))
+    return out.select("k", F.col("clock").cast("string").alias("clock"))
+
+
+@query("typed_american_numbers", "SELECT o_orderkey AS k, round(o_totalprice, 2) AS price FROM orders")
+def _(t):
+    return infer.typed(t.orders.df.select(F.col("o_orderkey").cast("string").alias("k"), F.format_number("o_totalprice", 2).alias("price"))).select("k", F.round("price", 2).alias("price"))
+
+
+@query("typed_datetimes", "SELECT o_orderkey AS k, o_orderdate AS day FROM orders")
+def _(t):
+    return infer.typed(t.orders.df.select(F.col("o_orderkey").cast("string").alias("k"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("day")))
+
+
+@query("typed_mixed_column", "SELECT o_orderkey AS k, CASE WHEN o_orderkey = 1 THEN 'one' ELSE o_custkey::VARCHAR END AS v FROM orders")
+def _(t):
+    return infer.typed(t.orders.df.select(F.col("o_orderkey").cast("string").alias("k"), F.when(F.col("o_orderkey") == 1, "one").otherwise(F.col("o_custkey").cast("string")).alias("v")))
+
+
+@query("column_select_clocks", "SELECT event_id, strftime(ts, '%H:%M:%S') AS clock, hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS seconds FROM events")
+def _(t):
+    first = Table(t.events.df.select("event_id", F.date_trunc("second", F.col("ts")).cast("timestamp_ntz").alias("ts"))).column_select([{"column": "event_id", "type": "int"}, {"column": "ts", "type": "time", "rename": "clock"}])[0]
+    again = first.column_select([{"column": "event_id", "type": "int"}, {"column": "clock", "type": "str"}, {"column": "clock", "type": "int", "rename": "seconds"}])[0]
+    return again.df
+
+
+@query("sort_text_collation", "SELECT * FROM (VALUES (0, 'äpfel'), (1, 'apple'), (2, 'Apple'), (3, 'banana'), (4, 'Banana'), (5, 'zebra')) x(place, word)")
+def _(t):
+    words = t.spark.createDataFrame([(w,) for w in ("Banana", "zebra", "Apple", "banana", "äpfel", "apple")], "word string")
+    out = ordering.sorted_rows(words, {"word": False}).withColumn("place", F.monotonically_increasing_id())
+    return position.with_ordinals(out, ["place"]).select(F.col(position.ORDINAL).cast("int").alias("place"), "word")
+
+
+@query("sort_mixed_kinds", "SELECT * FROM (VALUES (0, 'number', 2.0, NULL), (1, 'number', 3.0, NULL), (2, 'number', 4.0, NULL), (3, 'text', NULL, '5'), (4, 'bool', 1.0, NULL), (5, 'null', NULL, NULL)) x(place, kind, num, text)")
+def _(t):
+    rows = t.spark.createDataFrame([(i, v) for i, v in enumerate(ordering.tagged([None, True, 2.0, 3, 4, "5"]))], f"i int, v {ordering.MIXED.simpleString()}")
+    out = ordering.sorted_rows(rows, {"v": False}, "excel", ["i"]).withColumn("place", F.monotonically_increasing_id())
+    return position.with_ordinals(out, ["place"]).select(F.col(position.ORDINAL).cast("int").alias("place"), "v.kind", "v.num", "v.text")
+
+
+@query("stream_windows", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(t):
+    from lathe.streaming import stateless
+
+    stream = t.spark.readStream.schema(t.events.df.schema).parquet(f"{t.folder}/events.parquet*")
+    name = f"w{id(t)}"
+    counted = stateless.windowed(stream, "ts", "1 day", "1 hour", ["event_type"], {"n": F.count(F.lit(1))})
+    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", _Files.new("checkpoint")).start().awaitTermination()
+    return t.spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("day"), "event_type", "n")

@@ -107,6 +107,7 @@ def ods_sheets(raw: bytes) -> dict[str, list[list]]:
     out = {}
     for sheet in root.iter(f"{_T}table"):
         rows: list[list] = []
+        blank = 0
         for row in sheet.iter(f"{_T}table-row"):
             cells: list = []
             for cell in row:
@@ -115,9 +116,14 @@ def ods_sheets(raw: bytes) -> dict[str, list[list]]:
             while cells and cells[-1] is None:
                 cells.pop()
             times = int(row.get(f"{_T}number-rows-repeated", 1))
-            rows += [list(cells) for _ in range(times if cells else min(times, 1))]
-        while rows and not rows[-1]:
-            rows.pop()
+            if not cells:
+                # blank rows count only if something follows them
+                blank += times
+                continue
+            if len(rows) + blank + times > MAX_ROWS:
+                raise ValueError(f"a sheet has {MAX_ROWS} rows at most")
+            rows += [[] for _ in range(blank)] + [list(cells) for _ in range(times)]
+            blank = 0
         out[sheet.get(f"{_T}name")] = rows
     return out
 
@@ -139,6 +145,16 @@ def _ods_value(cell: X.Element) -> object:
     return text or None
 
 
+def peek(raw: bytes, kind: str, rows: int, start: int = 0) -> dict[str, list[list]]:
+    """The first rows of every sheet by name, as wide as the widest of them."""
+    out = {}
+    for name, cells in (xlsx_sheets if kind == "xlsx" else ods_sheets)(raw).items():
+        head = cells[start : start + rows]
+        width = max((i + 1 for r in head for i, v in enumerate(r) if v is not None), default=0)
+        out[name] = [[*r[:width], *[None] * (width - len(r))] for r in head]
+    return out
+
+
 def frame(spark: SparkSession, rows: Sequence[Sequence], names: Sequence[str]) -> DataFrame:
     """Rows of Python values as a frame: one type per column, text where values differ in kind; hidden row order."""
     kinds = []

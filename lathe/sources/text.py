@@ -131,14 +131,21 @@ def _clean(name: str | None) -> str:
 def read_text(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None, first_row_has_headers: bool = True, header_row_index: int = 0, encoding: str | None = None, start: int = 0,
     limit: int | None = None, guess_datatypes: bool = True, text_qualifier: str | None = None, delimiter: str | None = None, strip_leading_and_tailing_whitespace: bool = True,
-    skip_empty: str = "NONE", multiline: bool | None = None, **_: object,
+    skip_empty: str = "NONE", multiline: bool | None = None, newline: str = "\n", text_escape_openings: str = "", text_escape_closures: str = "",
 ) -> DataFrame:
     """Rows of a separated text file, with hidden row order.
 
     Without a qualifier, lines are rows and are read in parallel.  With one, a field may
     hold newlines and a file is one task, unless ``multiline`` is False.  Short rows are
-    filled up, surplus fields dropped.  A missing column raises OSError.
+    filled up, surplus fields dropped.  A missing column raises OSError.  A delimiter between a
+    ``text_escape_openings`` sign and its closure separates nothing; such lines are split in
+    Python, and their fields hold no newlines.  Both newlines, \\n and \\r\\n, end a line whatever ``newline`` says.
     """
+    if newline not in ("\n", "\r\n"):
+        raise ValueError("newline is \\n or \\r\\n")
+    if len(text_escape_openings or "") != len(text_escape_closures or ""):
+        raise ValueError("every text_escape opening has a closure")
+    escapes = (text_escape_openings, text_escape_closures) if text_escape_openings else None
     if skip_empty not in SKIP:
         raise ValueError(f"skip_empty is one of {SKIP}")
     if not isinstance(start, int) or start < 0 or not (limit is None or isinstance(limit, int) and limit > 0):
@@ -146,7 +153,9 @@ def read_text(
     encoding = encoding or detect_encoding(head_bytes(spark, path))
     delimiter = delimiter or ","
     options = {"sep": delimiter, "quote": text_qualifier or "\u0000", "escape": "\\" if text_qualifier else "\u0000", "charToEscapeQuoteEscaping": "\u0000", "encoding": "ISO-8859-1" if encoding == "windows-1252" else encoding, "maxColumns": "100000", "maxCharsPerColumn": "-1", "mode": "PERMISSIVE"}
-    multiline = bool(text_qualifier) if multiline is None else multiline
+    multiline = bool(text_qualifier) and not escapes if multiline is None else multiline
+    if escapes and (multiline or encoding != "UTF-8"):
+        raise ValueError("text escapes need UTF-8 lines")
 
     def rows(width: int) -> DataFrame:
         schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
@@ -155,6 +164,8 @@ def read_text(
             return spark.read.options(**options, multiLine=str(multiline or encoding.startswith("UTF-16")).lower()).schema(schema).csv(path).withColumn(position.POS, F.monotonically_increasing_id())
         lines = spark.read.text(path).withColumn(position.POS, F.monotonically_increasing_id())
         line = F.regexp_replace("value", "^﻿", "")
+        if escapes:
+            return _split_lines(lines.select(line.alias("value"), position.POS), schema, delimiter, escapes, text_qualifier)
         return lines.withColumn("v", F.from_csv(line, schema.simpleString()[7:-1].replace(":", " "), {k: v for k, v in options.items() if k != "encoding"})).select("v.*", position.POS)
 
     first = peek(spark, path, header_row_index + 1, encoding)
@@ -166,7 +177,9 @@ def read_text(
     while cells and cells[-1] is None and not first_row_has_headers:
         cells.pop()
     cells = [(c or "").lstrip("﻿") for c in cells]
-    if text_qualifier or first_row_has_headers:
+    if escapes:
+        cells = cells[: len(split_line(first[header_row_index], delimiter, *escapes, text_qualifier))]
+    elif text_qualifier or first_row_has_headers:
         width = _width(cells, first[header_row_index], delimiter, text_qualifier)
         cells = cells[:width]
     names = unique_names([_clean(c.strip() if strip_leading_and_tailing_whitespace else c) for c in cells]) if first_row_has_headers else [str(i) for i in range(len(cells))]
@@ -198,6 +211,21 @@ def read_text(
     return infer.typed(df, infer.vote(df, wanted)) if guess_datatypes else df
 
 
+def _split_lines(lines: DataFrame, schema: T.StructType, delimiter: str, escapes: tuple[str, str], qualifier: str | None) -> DataFrame:
+    """The fields of (value, position) lines with bracketed delimiters."""
+    import pyarrow as pa
+
+    width = len(schema)
+
+    def run(batches):
+        for batch in batches:
+            rows = [split_line(v or "", delimiter, *escapes, qualifier)[:width] for v in batch.column(0).to_pylist()]
+            fields = [pa.array([r[i] if i < len(r) else None for r in rows], pa.string()) for i in range(width)]
+            yield pa.RecordBatch.from_arrays([*fields, batch.column(1)], names=[*schema.names, position.POS])
+
+    return lines.mapInArrow(run, T.StructType([*schema.fields, T.StructField(position.POS, T.LongType())]))
+
+
 def _width(cells: list[str], line: str, delimiter: str, qualifier: str | None) -> int:
     """Number of fields of the header line."""
     return min(len(split_line(line, delimiter, "", "", qualifier)), len(cells)) if "\n" not in "".join(cells) else len(cells)

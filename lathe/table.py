@@ -113,8 +113,13 @@ class Table:
         return out
 
     def rows(self) -> list[tuple]:
+        """All rows, in order; a table of more than MAX_EXPORT rows raises ValueError rather than fill the driver."""
         df, order = self._ordered()
-        return [tuple(r) for r in df.orderBy(*order).select(*[f"`{c}`" for c in self.columns]).limit(self.MAX_EXPORT).toLocalIterator()]
+        chosen = df.orderBy(*order).select(*[f"`{c}`" for c in self.columns]).limit(self.MAX_EXPORT + 1)
+        out = [tuple(r) for r in chosen.toLocalIterator()]
+        if len(out) > self.MAX_EXPORT:
+            raise ValueError(f"more than {self.MAX_EXPORT} rows; use save() or df.write")
+        return out
 
     def row(self, index: int) -> tuple:
         if index < 0:
@@ -142,6 +147,21 @@ class Table:
     def equals(self, other: Table) -> bool:
         return ordering.same_rows(self.df, other.df, self.order, other.order)
 
+    def __eq__(self, other: object) -> bool:
+        """The same names and rows; also against a dictionary of columns."""
+        if isinstance(other, Mapping):
+            return self.columns == list(other) and self.to_dict() == {k: list(v) for k, v in other.items()}
+        return isinstance(other, Table) and (self is other or self.equals(other))
+
+    __hash__ = None
+
+    def nbytes(self) -> int:
+        """Bytes of the values: the width of the type, or the length of texts and binaries."""
+        widths = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+        shown = [(F.col(f"`{c}`"), t) for c, t in self.df.dtypes if not c.startswith("__")]
+        one = [F.sum(F.octet_length(c)) if t in ("string", "binary") else F.count(c) * widths.get(t, 8) for c, t in shown]
+        return sum(x or 0 for x in self.df.agg(*one).first()) if one else 0
+
     def types(self) -> dict[str, dict[str, int]]:
         return values.types_of(self.df)
 
@@ -198,6 +218,16 @@ class Table:
         df, order = self._ordered()
         return self._new(ordering.updated(df, column, rows, value, order), order)
 
+    def assign(self, column: str, key: slice | int, values: object) -> Table:
+        """Values put into a column as into a list: one at an index, or several into a slice, which may make the table longer."""
+        require(self.columns, [column])
+        df, order = self._ordered()
+        return Table(ordering.assigned(df, column, key, values, order), order if isinstance(key, int) else None)
+
+    def extend(self, column: str, values: Sequence) -> Table:
+        """A column with values after its last row; the other columns are null there."""
+        return self.assign(column, slice(len(self), None), values)
+
     def get_by_indices(self, indices: Sequence[int] | DataFrame) -> Table:
         """Rows by ordinal; -1 gives nulls."""
         df, order = self._ordered()
@@ -287,6 +317,7 @@ class Table:
     sorted = sort
 
     def sort_index(self, mapping: Mapping[str, bool], sort_mode: str = "excel") -> list[int]:
+        self._bounded()
         df, order = self._ordered()
         return [r["position"] for r in ordering.sort_index(df, mapping, sort_mode, order).collect()]
 
@@ -314,7 +345,10 @@ class Table:
 
     def unique_index(self, *columns: str) -> list[int]:
         """Ordinals of the first row of each combination."""
-        return sorted(r["positions"][0] for r in self.index(*columns).df.collect())
+        found = self.index(*columns).df.select(F.col("positions")[0].alias("p")).limit(self.MAX_EXPORT + 1).collect()
+        if len(found) > self.MAX_EXPORT:
+            raise ValueError(f"more than {self.MAX_EXPORT} combinations; use index()")
+        return sorted(r["p"] for r in found)
 
     def index(self, *columns: str) -> Table:
         require(self.columns, columns)
@@ -322,7 +356,10 @@ class Table:
         return Table(aggregate.index(df, columns, order))
 
     def unique(self, column: str) -> list:
-        return [r[0] for r in self.df.select(f"`{column}`").distinct().orderBy(f"`{column}`").collect()]
+        found = self.df.select(f"`{column}`").distinct().orderBy(f"`{column}`").limit(self.MAX_EXPORT + 1).collect()
+        if len(found) > self.MAX_EXPORT:
+            raise ValueError(f"more than {self.MAX_EXPORT} values; use histogram()")
+        return [r[0] for r in found]
 
     def histogram(self, column: str) -> Table:
         return Table(aggregate.histogram(self.df, column))
@@ -369,12 +406,16 @@ class Table:
 
     # ---- exports
 
-    def _export(self) -> list[tuple]:
+    def _bounded(self) -> None:
         if self.df.count() > self.MAX_EXPORT:
             raise ValueError(f"more than {self.MAX_EXPORT} rows; use save() or df.write")
+
+    def _export(self) -> list[tuple]:
+        self._bounded()
         return self.rows()
 
     def to_pandas(self):
+        self._bounded()
         df, order = self._ordered()
         return df.orderBy(*order).select(*[f"`{c}`" for c in self.columns]).toPandas()
 

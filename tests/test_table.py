@@ -621,3 +621,179 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("lathe_hours").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_rows_are_never_cut_off(make, monkeypatch):
+    table = make(a=list(range(10)))
+    monkeypatch.setattr(Table, "MAX_EXPORT", 9)
+    for f in (table.rows, table.to_dict, table.to_pandas, table.to_json, lambda: table.unique("a"), lambda: table.unique_index("a"), lambda: table.sort_index({"a": True})):
+        with pytest.raises(ValueError):
+            f()
+    monkeypatch.setattr(Table, "MAX_EXPORT", 10)
+    assert table.to_dict() == {"a": list(range(10))}
+
+
+def test_equality_and_size(make):
+    a = make(x=[1, 2, None], y=["a", "bc", None])
+    assert a == make(x=[1, 2, None], y=["a", "bc", None]) and a == {"x": [1, 2, None], "y": ["a", "bc", None]}
+    assert a != make(x=[1, 2, 3], y=["a", "bc", None]) and a != {"x": [1]} and a != 3
+    assert a.nbytes() == 2 * 8 + 3
+
+
+class Rows:
+    """A list that is assigned to as a column is."""
+
+    def __init__(self, items):
+        self.items = list(items)
+
+    def put(self, key, values):
+        if isinstance(key, int):
+            self.items[key] = values
+        elif key.step in (None, 1):
+            start, stop, _ = key.indices(len(self.items))
+            start, stop = (0 if key.start is None else start), (len(self.items) if key.stop is None else stop)
+            self.items[start : max(start, stop)] = values
+        else:
+            for i, v in zip(range(*key.indices(len(self.items))), values):
+                self.items[i] = v
+        return self.items
+
+
+@pytest.mark.parametrize(
+    ("key", "values"),
+    [
+        (slice(None), [1, 2, 3]), (slice(0, None), [1]), (slice(4, None), [1, 2, 3, 4, 5]), (slice(None, 3), [1, 2]), (slice(3, 5), [1, 2, 3]), (slice(2, 2), [7]), (slice(5, 2), [8, 9]),
+        (slice(0, 9, 3), [1, 2, 3]), (slice(None, None, -1), [1, 2]), (slice(3, 6), []), (4, 99), (-1, 98), (slice(20, None), [5]),
+    ],
+)
+def test_assignment(make, key, values):
+    table = make(a=list(range(10, 19)), b=list("abcdefghi"))
+    want = Rows(range(10, 19)).put(key, values)
+    got = table.assign("a", key, values).to_dict()
+    n = max(len(want), 9)
+    assert got == {"a": want + [None] * (n - len(want)), "b": [*"abcdefghi"] + [None] * (n - 9)}
+
+
+def test_assignment_refusals(make):
+    table = make(a=[1, 2, 3])
+    with pytest.raises(ValueError):
+        table.assign("a", slice(0, 3, 2), [1, 2, 3])
+    with pytest.raises(IndexError):
+        table.assign("a", 3, 1)
+    with pytest.raises(TypeError):
+        table.assign("a", 1, [1])
+    assert table.extend("a", [4]).to_dict() == {"a": [1, 2, 3, 4]}
+
+
+def test_reader_options(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text("k,v\n1,(a,b)\n2,[c,(d,e)]\n3,f)\n")
+    got = Table.from_file(spark, str(path), text_escape_openings="([", text_escape_closures=")]", newline="\n").to_dict()
+    assert got == {"k": [1, 2, 3], "v": ["(a,b)", "[c,(d,e)]", "f)"]}
+    for wrong in ({"delimitr": ";"}, {"tqdmm": 1}):
+        with pytest.raises(TypeError):
+            Table.from_file(spark, str(path), **wrong)
+    with pytest.raises(ValueError):
+        Table.from_file(spark, str(path), newline=";")
+    assert Table.from_file(spark, str(path), sheet="x", limit=1).to_dict()["k"] == [1]
+    (tmp_path / "a.ssv").write_text("k;v\n1;2\n")
+    assert Table.from_file(spark, str(tmp_path / "a.ssv")).to_dict() == {"k": [1], "v": [2]}
+
+
+def test_blank_rows_of_a_sheet_keep_their_place(spark):
+    from lathe.sources import sheets
+
+    raw = sheets.write_ods(["a"], [[1], [2]])
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        content = z.read("content.xml").decode()
+    first, second, third = content.split("</table:table-row>")[:3]
+    blank = '<table:table-row table:number-rows-repeated="3"><table:table-cell/></table:table-row>'
+    end = '<table:table-row table:number-rows-repeated="1048000"><table:table-cell/></table:table-row>'
+    made = "</table:table-row>".join([first, second, blank.removesuffix("</table:table-row>"), third, end.removesuffix("</table:table-row>"), content.split("</table:table-row>")[3]])
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("content.xml", made)
+    assert sheets.ods_sheets(out.getvalue())["Sheet1"] == [["a"], [1], [], [], [], [2]]
+    assert sheets.peek(out.getvalue(), "ods", 3) == {"Sheet1": [["a"], [1], [None]]}
+
+
+def test_own_aggregates(make):
+    import pandas as pd
+
+    def spread(v):
+        return F.max(v) - F.min(v)
+
+    @F.pandas_udf("double")
+    def middle(v: pd.Series) -> float:
+        return float(v.median())
+
+    got = make(k=["a", "a", "b"], v=[1, 5, 7]).groupby(["k"], [("v", spread), ("v", middle), ("v", G.sum)])
+    assert sorted(map(tuple, got.df.collect())) == [("a", 4, 3.0, 6.0), ("b", 0, 7.0, 7.0)]
+
+
+def test_histogram_of_statistics(make, monkeypatch):
+    from lathe.operators import values
+
+    assert make(a=[3, 1, 3, None]).statistics("a")["histogram"] == [[1, 3, None], [1, 2, 1]]
+    assert make(a=[None, None]).statistics("a")["histogram"] == [[None], [2]]
+    monkeypatch.setattr(values, "HISTOGRAM", 2)
+    assert make(a=[3, 1, 3, None]).statistics("a")["histogram"] is None
+
+
+def test_quartiles_over_many_ranges(make, monkeypatch):
+    from lathe.operators import position
+
+    data = [(i * 37) % 101 for i in range(400)] + [5] * 150
+    want = make(v=data).statistics("v")
+    monkeypatch.setattr(position, "RANGE_ROWS", 9)
+    assert make(v=data).statistics("v") == want
+    ordered = sorted(data)
+    assert want["median"] == (ordered[274] + ordered[275]) / 2
+
+
+def test_range_lookup_of_a_hot_key(make, monkeypatch):
+    from lathe.operators import lookup, position
+
+    left = make(k=[i % 3 for i in range(60)], v=[(i * 7) % 50 for i in range(60)])
+    right = make(k=[0] * 80 + [1, 1, None], w=[(i * 13) % 60 for i in range(83)], n=list(range(83)))
+    want = {op: left.lookup(right, ("k", "==", "k"), ("v", op, "w")).rows() for op in ("<", "<=", ">", ">=")}
+    monkeypatch.setattr(lookup, "HOT_ROWS", 10)
+    monkeypatch.setattr(position, "RANGE_ROWS", 7)
+    for op, rows in want.items():
+        assert sorted(left.lookup(right, ("k", "==", "k"), ("v", op, "w")).rows(), key=repr) == sorted(rows, key=repr)
+
+
+def test_theta_lookup_without_broadcast(make, monkeypatch):
+    from lathe.operators import lookup
+
+    left, right = make(a=[1, 5, 9], b=[2, 2, 8]), make(c=[0, 6, 3], d=[9, 1, 5])
+    want = left.lookup(right, ("a", "<", "c"), ("b", "<", "d"), all=False).rows()
+    monkeypatch.setattr(lookup, "THETA_BYTES", 0)
+    assert left.lookup(right, ("a", "<", "c"), ("b", "<", "d"), all=False).rows() == want
+
+
+def test_nearest_neighbour_by_one_rank(make, monkeypatch):
+    """Against loops over all donors, in many ranges."""
+    from lathe.operators import position
+
+    monkeypatch.setattr(position, "RANGE_ROWS", 5)
+    v = [(i * 29) % 47 if i % 9 else None for i in range(60)]
+    x = [f"x{i}" if i % 4 else None for i in range(60)]
+    got = make(v=v, x=x).imputation("x", method="nearest neighbour", sources=["v"]).to_dict()["x"]
+    known = sorted({a for a in v if a is not None})
+    rank = {a: i / len(known) for i, a in enumerate(known)}
+    for i in range(60):
+        if x[i] is None:
+            far = lambda j: 0.0 if v[i] is None else float("inf") if v[j] is None else abs(rank[v[i]] - rank[v[j]])
+            best = min((far(j), j) for j in range(60) if x[j] is not None)
+            assert got[i] == x[best[1]], i
+
+
+def test_functions_of_plain_values_are_named(make):
+    with pytest.warns(UserWarning, match="row by row"):
+        assert make(a=["x", "yy"]).all(a=lambda v: len(v) > 1).to_dict() == {"a": ["yy"]}
+    with pytest.raises(ZeroDivisionError):
+        make(a=[1]).all(a=lambda v: 1 // 0)
