@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -48,15 +50,52 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share.  Only where it is unset, as in tests, one is made."""
+    """The folder named in spark.checkpoint.dir, which driver and executors share.  Where it is unset, one is made in local mode alone; a cluster has to name one."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def _located(spark: SparkSession, folder: str):
+    """File system and path of a folder, in any store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+class Scratch:
+    """Parquet tables of one piece of work, in the shared folder.
+
+    A call writes a frame and gives it back as read from there, so that later jobs neither
+    recompute its plan nor lose it with an executor.  ``clear`` removes the tables once
+    nothing reads them; what is never cleared goes when the session ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+        system, path = _located(spark, self.folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path, self.n = f"{self.folder}/{self.n}", self.n + 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        system, path = _located(self.spark, self.folder)
+        system.delete(path, True)
+
+
+def spool(df: DataFrame) -> DataFrame:
+    """A frame as a Parquet table in the shared folder, which goes when the session ends: for results and for what is read to the end."""
+    return Scratch(df.sparkSession)(df)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder, so that later jobs neither recompute the
     plan nor lose it with an executor."""
@@ -64,11 +103,65 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spool(df: DataFrame) -> DataFrame:
-    """As cut, but as a Parquet table: smaller for many short rows."""
-    path = f"{shared_folder(df.sparkSession)}/spool-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def grid_quantile(df: DataFrame, by: list[str], value: Column, shares: dict[str, float], step: float) -> DataFrame:
+    """By group and name, the place floor(value / step) that holds the share: the smallest with at least that share of the group's rows at or under it.
+
+    Counts by place are exact and the same in every run.  One row per group and place is
+    windowed, so a group is as large as the range of its values in steps.
+    """
+    places = df.where(value.isNotNull()).groupBy(*by, F.floor(value / F.lit(step)).cast("bigint").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    part = W.partitionBy(*by)
+    upto = places.withColumn("_upto", F.sum("_n").over(part.orderBy("_at"))).withColumn("_all", F.sum("_n").over(part))
+    return upto.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") >= F.lit(s) * F.col("_all"), F.col("_at"))).alias(n) for n, s in shares.items()])
+
+
+#: Rows that one row is repeated into by one task.
+REPEAT = 100_000
+
+
+def repeated(df: DataFrame, times: str, most: int) -> DataFrame:
+    """Every row ``times`` times, with its number from 0 in ``_i``.  Long repeats are dealt in parts, so that no task makes them alone; ``most`` is the largest."""
+    part = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(times) - 1) / F.lit(REPEAT)).cast("bigint"))
+    parts = df.where(F.col(times) > 0).withColumn("_part", F.explode(part))
+    if most > REPEAT:
+        parts = parts.repartition(F.xxhash64(*parts.columns))
+    first = F.col("_part") * F.lit(REPEAT)
+    return parts.withColumn("_i", F.explode(F.sequence(first, F.least(first + F.lit(REPEAT), F.col(times)) - 1))).drop("_part")
+
+
+#: Most blocks of neighbouring keys, and most intervals that quantiles cut.
+MAX_BLOCKS, INTERVALS = 50_000, 256
+
+
+def key_blocks(stats: Row, rows: int) -> Column:
+    """A number that rises with the integer k, for blocks of ``rows`` rows on average; null keys have -1.
+
+    ``stats`` is the row of ``key_stats``: quantiles cut the keys into intervals, equal widths
+    cut those into blocks, and there are MAX_BLOCKS at most.
+    """
+    if stats["lo"] is None:
+        return F.lit(-1).cast("bigint")
+    blocks = min(max(stats["n"] // rows, 1), MAX_BLOCKS)
+    marks = stats["q"][:: -(-INTERVALS // min(blocks, INTERVALS))]
+    starts = sorted({stats["lo"], *(m for m in marks if m < stats["hi"])})
+    each = -(-blocks // len(starts))
+    widths = [max(-(-(b - a) // each), 1) for a, b in zip(starts, [*starts[1:], stats["hi"] + 1])]
+
+    def interval(low: int, high: int) -> Column:
+        """By halving: the last start at or under the key."""
+        if low == high:
+            return F.struct(F.lit(low).cast("bigint").alias("i"), F.lit(starts[low]).cast("bigint").alias("a"), F.lit(widths[low]).cast("bigint").alias("w"))
+        mid = (low + high + 1) // 2
+        return F.when(F.col("k") >= starts[mid], interval(mid, high)).otherwise(interval(low, mid - 1))
+
+    at = let(interval(0, len(starts) - 1), lambda x: x["i"] * each + F.least(F.lit(each - 1).cast("bigint"), F.floor((F.col("k") - x["a"]) / x["w"])))
+    return F.coalesce(F.when(F.col("k").isNotNull(), at), F.lit(-1).cast("bigint"))
+
+
+def key_stats(*more: Column) -> list[Column]:
+    """Aggregates that key_blocks needs: smallest, largest and number of k, and its quantiles in INTERVALS."""
+    quantiles = F.percentile_approx("k", [i / INTERVALS for i in range(INTERVALS)], 4 * INTERVALS + 100)
+    return [F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n"), quantiles.alias("q"), *more]
 
 
 def wrap(docs: DataFrame, text: str) -> DataFrame:
