@@ -21,18 +21,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, spool
+from .common import Scratch, grid_quantile, key_blocks, key_stats, small_batches, spool
 
 ORDER = 5
 START, END = "\x02", "\x03"
-#: Documents that a block holds on average, and documents for each shard (of 64 at least).
-BLOCK, PER_SHARD = 32_000, 8_000
+#: Documents that a block of neighbouring keys holds on average, and bytes of text that split one.
+BLOCK, BLOCK_BYTES = 32_000, 160 << 20
+#: Bytes of text for each shard (of 64 at least).
+PER_SHARD = 32 << 20
+#: Steps in which the logarithm of a perplexity is compared with the quantiles.
+STEP = 1e-4
 #: N-grams that a task gathers before it sends them.
 GATHER = 1_000_000
 #: Characters that are worked on at once.
 CHUNK = 400_000
-#: Trusted keys up to which they are broadcast (16 bytes each).
-SMALL = 2_000_000
+#: Trusted keys and split blocks up to which they are broadcast (16 bytes each), and texts that a task remembers to have met.
+SMALL, REMEMBER = 2_000_000, 200_000
 
 
 def _chunks(texts: list[str]):
@@ -135,8 +139,25 @@ def _batches(rows, schema: pa.Schema):
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
+class Once:
+    """Lets every text through once a task, as far as it remembers; a copy that passes costs work and changes nothing."""
+
+    def __init__(self) -> None:
+        self.met: set[tuple[int, int]] = set()
+
+    def __call__(self, batch: pa.RecordBatch) -> list[dict]:
+        out = []
+        for row in batch.to_pylist():
+            if (name := (row["id"], row["block"])) not in self.met:
+                if len(self.met) >= REMEMBER:
+                    self.met.clear()
+                self.met.add(name)
+                out.append(row)
+        return out
+
+
 def asked_grams(docs: DataFrame, shards: int) -> DataFrame:
-    """Packed n-grams of (block, lang, t) by shard: shard, block, lang, z."""
+    """Packed n-grams of (block, id, lang, t) by shard: shard, block, lang, z."""
 
     def rows(key: tuple[int, str], grams: set):
         for shard, _, _, z in _packed(list(grams), shards):
@@ -144,10 +165,11 @@ def asked_grams(docs: DataFrame, shards: int) -> DataFrame:
 
     def run(batches):
         seen: dict[tuple[int, str], set] = defaultdict(set)
+        once = Once()
         for batch in batches:
             by = defaultdict(list)
-            for b, l, t in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "t"))):
-                by[b, l].append(t)
+            for row in once(batch):
+                by[row["block"], row["lang"]].append(row["t"])
             for key, ts in by.items():
                 for a, b in _chunks(ts):
                     seen[key].update(gram_codes(ts[a:b], places=False)[0].tolist())
@@ -158,14 +180,14 @@ def asked_grams(docs: DataFrame, shards: int) -> DataFrame:
             yield from _batches(rows(key, grams), schema)
 
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("z", pa.binary())])
-    return docs.select("block", "lang", "t").mapInArrow(run, "shard int, block bigint, lang string, z binary")
+    return docs.select("block", "id", "lang", "t").mapInArrow(run, "shard int, block bigint, lang string, z binary")
 
 
 def _distinct(table: pa.Table) -> pa.Table:
     """The different n-grams that one shard is asked for."""
     grams: dict[str, set] = defaultdict(set)
-    for l, z in zip(table.column("lang").to_pylist(), table.column("z").to_pylist()):
-        grams[l].update(_unpacked(z))
+    for l, z in zip(table.column("lang").to_pylist(), table.column("z")):
+        grams[l].update(_unpacked(z.as_py()))
     flat = [(l, g) for l, gs in grams.items() for g in gs]
     return pa.table({"lang": pa.array([x[0] for x in flat], pa.string()), "gram": pa.array([x[1] for x in flat], pa.string())})
 
@@ -175,12 +197,13 @@ def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
     p: dict[str, dict[str, float]] = defaultdict(dict)
     for l, g, v in zip(known.column("lang").to_pylist(), known.column("gram").to_pylist(), np.log(known.column("p").to_numpy()).tolist()):
         p[l][g] = v
-    grams: dict[tuple[int, str], set] = defaultdict(set)
-    for b, l, z in zip(*(asked.column(c).to_pylist() for c in ("block", "lang", "z"))):
-        grams[b, l].update(_unpacked(z))
+    asks: dict[tuple[int, str], list[int]] = defaultdict(list)
+    for row, key in enumerate(zip(asked.column("block").to_pylist(), asked.column("lang").to_pylist())):
+        asks[key].append(row)
     out = []
-    for (b, l), gs in grams.items():
-        ordered = sorted(gs)
+    # one block after the other, so that only its n-grams are unpacked
+    for (b, l), at in asks.items():
+        ordered = sorted(set().union(*(_unpacked(asked.column("z")[row].as_py()) for row in at)))
         logs = np.fromiter(map(p[l].__getitem__, ordered), np.float64, len(ordered))
         out.append({"block": b, "lang": l, "z": zstandard.compress("".join(ordered).encode(), 6), "logs": zstandard.compress(logs.tobytes(), 3)})
     return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("lang", pa.string()), ("z", pa.binary()), ("logs", pa.binary())]))
@@ -198,22 +221,25 @@ def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # one row per language
     discounts = F.broadcast(kinds.select("lang", discount(1), discount(2), discount(3)))
+    by_context = counts.withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)"))
+    # whole numbers are summed, so that the order of the rows changes no digit
+    of = [F.sum((n == i).cast("bigint") if i < 3 else (n >= i).cast("bigint")).alias(f"c{i}") for i in (1, 2, 3)]
+    sums = by_context.groupBy("lang", "context").agg(F.sum("n").alias("total"), *of).join(discounts, "lang")
+    contexts = sums.select("lang", "context", ((F.col("c1") * F.col("d1") + F.col("c2") * F.col("d2") + F.col("c3") * F.col("d3")) / F.col("total")).alias("gamma"), "total", "d1", "d2", "d3")
     d = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
-    with_d = counts.join(discounts, "lang").withColumn("d", d).withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)"))
-    sums = with_d.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
-    parts = with_d.join(sums, ["lang", "context"]).select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("part"))
-    return parts, sums.select("lang", "context", (F.col("mass") / F.col("total")).alias("gamma"))
+    parts = by_context.join(contexts.drop("gamma"), ["lang", "context"]).select("lang", "gram", ((n - d) / F.col("total")).alias("part"))
+    return parts, contexts.select("lang", "context", "gamma")
 
 
-def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
+def probabilities(counts: DataFrame, asked: DataFrame, keep: Scratch) -> DataFrame:
     """(lang, gram, p): interpolated modified Kneser-Ney probability of the last character of each n-gram asked for."""
     orders = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):
         # continuation counts: in how many ways an n-gram is extended to the left
-        orders[n] = spool(orders[n + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        orders[n] = keep(orders[n + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")))
     wanted = {ORDER: asked}
     for n in range(ORDER - 1, 0, -1):
-        wanted[n] = spool(wanted[n + 1].select("lang", F.expr("substring(gram, 2)").alias("gram")).distinct())
+        wanted[n] = keep(wanted[n + 1].select("lang", F.expr("substring(gram, 2)").alias("gram")).distinct())
     known = orders[1].groupBy("lang").agg((1 / (F.count(F.lit(1)) + 1)).alias("p")).select("lang", F.lit("").alias("gram"), "p")
     for n in range(1, ORDER + 1):
         parts, contexts = _discounted(orders[n])
@@ -224,60 +250,93 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
         rows = rows.join(contexts, (F.col("lang") == F.col("cl")) & (F.expr("substring(gram, 1, length(gram) - 1)") == F.col("context")), "left")
         rows = rows.select("lang", "gram", (F.coalesce("gamma", F.lit(1.0)) * F.col("below")).alias("below")).join(parts, ["lang", "gram"], "left")
         known = rows.select("lang", "gram", (F.coalesce("part", F.lit(0.0)) + F.col("below")).alias("p"))
-        known = known if n == ORDER else spool(known)
+        known = known if n == ORDER else keep(known)
     return known
 
 
 def _pack(docs: DataFrame) -> DataFrame:
-    """Texts for the way to their block: one compressed row for each batch and block."""
+    """Texts for the way to their block: one compressed row for each batch, block and language."""
 
     def run(batches):
+        once = Once()
         for batch in batches:
             by = defaultdict(list)
-            for b, i, l, t in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "lang", "t"))):
-                by[b].append((l, i, t))
+            for row in once(batch):
+                by[row["block"], row["lang"]].append(row)
             out = []
-            for b, docs_ in by.items():
-                docs_.sort(key=lambda x: x[:2])
-                raw = [t.encode() for _, _, t in docs_]
+            for (b, l), rows in by.items():
+                raw = [r["t"].encode() for r in rows]
                 out.append({
-                    "block": b, "ids": np.array([i for _, i, _ in docs_], np.int64).tobytes(), "langs": [l for l, _, _ in docs_],
+                    "block": b, "lang": l, "ids": np.array([(r["id"], r["mark"]) for r in rows], np.int64).tobytes(),
                     "sizes": np.array([len(x) for x in raw], np.int64).tobytes(), "z": zstandard.compress(b"".join(raw), 9),
                 })
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
+            yield from _batches(out, schema)
 
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("langs", pa.list_(pa.string())), ("sizes", pa.binary()), ("z", pa.binary())])
-    return docs.select("block", "id", "lang", "t").mapInArrow(run, "block bigint, ids binary, langs array<string>, sizes binary, z binary")
+    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("ids", pa.binary()), ("sizes", pa.binary()), ("z", pa.binary())])
+    return docs.select("block", "id", "mark", "lang", "t").mapInArrow(run, "block bigint, lang string, ids binary, sizes binary, z binary")
+
+
+class Answers:
+    """Log-probabilities by n-gram in sorted arrays.
+
+    Two lists number the first three and the last two characters that occur, so that the
+    code of an n-gram has 64 bits in any alphabet: 16 bytes an n-gram, not a dictionary's hundreds.
+    """
+
+    def __init__(self, grams: np.ndarray, logs: np.ndarray):
+        a, b = self._halves(grams)
+        self.first, i = np.unique(a, return_inverse=True)
+        self.last, j = np.unique(b, return_inverse=True)
+        code = (i.astype(np.uint64) << np.uint64(32)) | j.astype(np.uint64)
+        order = np.argsort(code)
+        self.code, self.logs = code[order], logs[order]
+
+    @staticmethod
+    def _halves(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c, bits = grams.astype(np.uint64), np.uint64(21)
+        return (((c[:, 0] << bits) | c[:, 1]) << bits) | c[:, 2], (c[:, 3] << bits) | c[:, 4]
+
+    def __call__(self, names: np.ndarray) -> np.ndarray:
+        a, b = self._halves(np.ascontiguousarray(names).view(np.uint32).reshape(-1, ORDER))
+        code = (np.searchsorted(self.first, a).astype(np.uint64) << np.uint64(32)) | np.searchsorted(self.last, b).astype(np.uint64)
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        if (self.code[at] != code).any():
+            raise KeyError("an n-gram of the block has no answer")
+        return self.logs[at]
 
 
 def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    """Log-probability and positions of each text of a block."""
-    ids, sums, sizes = [], [], []
-    # one language after the other, so that only its n-grams are unpacked
-    for lang in sorted(set(answers.column("lang").to_pylist())):
-        known: dict[str, float] = {}
-        for l, z, logs in zip(*(answers.column(c) for c in ("lang", "z", "logs"))):
-            if l.as_py() == lang:
-                known.update(zip(_unpacked(z.as_py()), np.frombuffer(zstandard.decompress(logs.as_py()), np.float64).tolist()))
+    """Log-probability and positions of each text of a block and language."""
+    ids, sums, sizes = [np.zeros((0, 2), np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+    if docs.num_rows:
+        raw = [zstandard.decompress(z.as_py()).decode().encode("utf-32-le") for z in answers.column("z")]
+        logs = [np.frombuffer(zstandard.decompress(x.as_py()), np.float64) for x in answers.column("logs")]
+        known = Answers(np.frombuffer(b"".join(raw), np.uint32).reshape(-1, ORDER), np.concatenate(logs))
+        del raw, logs
         for row in range(docs.num_rows):
-            langs = docs.column("langs")[row].as_py()
-            if lang not in langs:
-                continue
-            first, n = langs.index(lang), langs.count(lang)
-            keys = np.frombuffer(docs.column("ids")[row].as_py(), np.int64)[first : first + n]
-            ends = np.concatenate([[0], np.cumsum(np.frombuffer(docs.column("sizes")[row].as_py(), np.int64))])[first : first + n + 1].tolist()
-            raw = zstandard.decompress(docs.column("z")[row].as_py())
-            texts = [raw[a:b].decode() for a, b in zip(ends, ends[1:])]
+            keys = np.frombuffer(docs.column("ids")[row].as_py(), np.int64).reshape(-1, 2)
+            ends = np.concatenate([[0], np.cumsum(np.frombuffer(docs.column("sizes")[row].as_py(), np.int64))]).tolist()
+            text = zstandard.decompress(docs.column("z")[row].as_py())
+            texts = [text[a:b].decode() for a, b in zip(ends, ends[1:])]
             for a, b in _chunks(texts):
                 names, inverse, lengths = gram_codes(texts[a:b])
-                logs = np.fromiter(map(known.__getitem__, names.tolist()), np.float64, len(names))
-                sums.append(np.add.reduceat(logs[inverse], np.concatenate([[0], np.cumsum(lengths)[:-1]])))
+                sums.append(np.add.reduceat(known(names)[inverse], np.concatenate([[0], np.cumsum(lengths)[:-1]])))
                 sizes.append(lengths)
                 ids.append(keys[a:b])
-    if not ids:
-        return pa.table({"id": pa.array([], pa.int64()), "log_p": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
-    return pa.table({"id": np.concatenate(ids), "log_p": np.concatenate(sums), "n": np.concatenate(sizes).astype(np.int64)})
+    both = np.concatenate(ids)
+    return pa.table({"id": both[:, 0], "mark": both[:, 1], "log_p": np.concatenate(sums), "n": np.concatenate(sizes).astype(np.int64)})
+
+
+def _blocked(whole: DataFrame, stats) -> DataFrame:
+    """whole with ``block``: neighbouring keys, and parts by text of the blocks that have too many bytes, such as those of a key on many rows."""
+    at = whole.withColumn("_c", key_blocks(stats, BLOCK))
+    parts = F.ceil(F.sum(F.octet_length("t")) / F.lit(BLOCK_BYTES)).cast("bigint")
+    large = at.groupBy("_c").agg(parts.alias("_parts")).where("_parts > 1")
+    n = large.count()
+    if not n:
+        return at.withColumn("block", F.shiftleft("_c", 20)).drop("_c")
+    split = at.join(F.broadcast(large) if n <= SMALL else large, "_c", "left")
+    return split.withColumn("block", F.shiftleft("_c", 20) + F.pmod("id", F.coalesce("_parts", F.lit(1).cast("bigint")))).drop("_c", "_parts")
 
 
 def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", low: float = 0.002, high: float = 0.99) -> DataFrame:
@@ -285,33 +344,35 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
 
     ``trusted`` has the key of documents with trusted text.  A document is kept if its
     perplexity lies between the ``low`` and ``high`` quantiles of the trusted documents of its
-    language.  Returns one row per input row: key, lang, perplexity, kept.  Null and
+    language, all of them to four digits of the logarithm.  Returns one row per input row: key, lang, perplexity, kept.  Null and
     empty texts have no perplexity and are not kept; a null language is a language of its own; where a
     language has no trusted text there is no perplexity and documents are kept.
     Repeated rows repeat, rows with one key and different texts get a perplexity each; other columns are left out.
+    Texts of any length are scored whole, in pieces that one task holds; an empty table gives no rows.
     The key is an integer; documents with near keys share a block, which only decides the work, never the result.
     """
     small_batches(docs.sparkSession)
+    keep = Scratch(docs.sparkSession)
     base = docs.select(docs[key].cast("bigint").alias("k"), F.coalesce(docs[lang].cast("string"), F.lit("")).alias("lang"), docs[text].alias("t"))
+    # two hashes name a text: equal texts of a language are scored once for all that a task meets
+    base = base.withColumn("id", F.xxhash64("lang", "t")).withColumn("mark", F.hash("t", "lang").cast("bigint"))
     whole = base.where("t is not null and t != ''")
-    stats = base.agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    width = max(((stats["hi"] or 0) - (stats["lo"] or 0) + 1) * BLOCK // max(stats["n"], 1), 1)
+    stats = whole.agg(*key_stats(F.sum(F.octet_length("t")).alias("bytes"))).first()
     ids = trusted.select(trusted[key].cast("bigint").alias("k")).where("k is not null").distinct()
     ids = F.broadcast(ids) if ids.count() <= SMALL else ids
-    shards = max(64, stats["n"] // PER_SHARD)
-    counts = spool(count_grams(whole.join(ids, "k", "left_semi"), shards))
-    # id tells apart rows with one key and different texts; equal rows have equal ids and equal results
-    blocks = whole.withColumn("block", F.floor((F.coalesce("k", F.lit(stats["lo"] or 0)) - F.lit(stats["lo"] or 0)) / F.lit(width)).cast("bigint")).withColumn("id", F.xxhash64("k", "lang", "t"))
+    shards = max(64, (stats["bytes"] or 0) // PER_SHARD)
+    counts = keep(count_grams(whole.join(ids, "k", "left_semi"), shards))
     learned = counts.select("lang").distinct()  # one row per language
-    blocks = blocks.join(F.broadcast(learned), "lang", "left_semi")
-    asked = spool(asked_grams(blocks, shards))
-    distinct = spool(asked.groupBy("shard").applyInArrow(lambda t: _distinct(t), "lang string, gram string"))
-    known = probabilities(counts, distinct).withColumn("shard", (F.crc32(F.col("gram").cast("binary")) % shards).cast("int"))
+    blocks = _blocked(whole, stats).join(F.broadcast(learned), "lang", "left_semi")
+    asked = keep(asked_grams(blocks, shards))
+    distinct = keep(asked.groupBy("shard").applyInArrow(lambda t: _distinct(t), "lang string, gram string"))
+    known = probabilities(counts, distinct, keep).withColumn("shard", (F.crc32(F.col("gram").cast("binary")) % shards).cast("int"))
     answers = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(lambda x, y: _answer(x, y), "block bigint, lang string, z binary, logs binary")
-    scored = cut(_pack(blocks).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda x, y: _score(x, y), "id bigint, log_p double, n bigint"))
-    once = scored.groupBy("id").agg(F.exp(-F.first("log_p") / F.first("n")).alias("perplexity"))
-    every = base.select("k", "lang", F.xxhash64("k", "lang", "t").alias("id"), (F.coalesce(F.length("t"), F.lit(0)) > 0).alias("some")).join(once, "id", "left")
-    limits = every.join(ids, "k", "left_semi").groupBy("lang").agg(F.percentile_approx("perplexity", [low, high], 10_000).alias("q"))
+    scored = _pack(blocks).groupBy("block", "lang").cogroup(answers.groupBy("block", "lang")).applyInArrow(lambda x, y: _score(x, y), "id bigint, mark bigint, log_p double, n bigint")
+    once = keep(scored).groupBy("id", "mark").agg((-F.first("log_p") / F.first("n")).alias("rate"))
+    every = spool(base.select("k", "lang", "id", "mark", (F.coalesce(F.length("t"), F.lit(0)) > 0).alias("some")).join(once, ["id", "mark"], "left").select("k", "lang", "rate", "some"))
+    keep.clear()
+    limits = grid_quantile(every.join(ids, "k", "left_semi"), ["lang"], F.col("rate"), {"low": low, "high": high}, STEP)
     judged = every.join(F.broadcast(limits), "lang", "left")  # one row per language
-    inside = F.coalesce(F.col("perplexity").between(F.col("q")[0], F.col("q")[1]), F.lit(True))
-    return judged.select(F.col("k").alias(key), F.when(F.col("lang") != "", F.col("lang")).alias("lang"), "perplexity", (F.col("some") & inside).alias("kept"))
+    inside = F.coalesce(F.floor(F.col("rate") / F.lit(STEP)).between(F.col("low"), F.col("high")), F.lit(True))
+    return judged.select(F.col("k").alias(key), F.when(F.col("lang") != "", F.col("lang")).alias("lang"), F.exp("rate").alias("perplexity"), (F.col("some") & inside).alias("kept"))
