@@ -30,10 +30,13 @@ _YMD = r"^([0-9]{4})([-./ ])([0-9]{1,2})\2([0-9]{1,2})"
 _DMY = r"^([0-9]{1,2})([-./ ])([0-9]{1,2})\2([0-9]{4})"
 _COMPACT = r"^([0-9]{4})([0-9]{2})([0-9]{2})"
 _CLOCK = r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,9}))?)?$"
-_MINUTES = r"[T ]([0-9]{1,2}):([0-9]{2})$"
-_SECONDS = r"[T ]([0-9]{1,2}):([0-9]{2}):([0-9]{2})(?:[.,]([0-9]{1,6})[0-9]{0,3})?$"
 _ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$"
-_CLOCK_COMPACT = r"([0-9]{2})([0-9]{2})([0-9]{2})?(?:[.,]([0-9]{1,9}))?$"
+_FRACTION = r"(?:[.,]([0-9]{1,6})[0-9]{0,3})?$"
+#: What may follow a date, and what it becomes: nothing, a clock with colons, or one without; a missing fraction leaves a last 0.
+_TAILS = (
+    (r"$", ""), (r"[T ]?([0-9]{1,2}):([0-9]{2}):([0-9]{2})" + _FRACTION, " {h}:{m}:{s}.{f}0"), (r"[T ]?([0-9]{1,2}):([0-9]{2})$", " {h}:{m}:00"),
+    (r"[T ]?([0-9]{2})([0-9]{2})([0-9]{2})" + _FRACTION, " {h}:{m}:{s}.{f}0"), (r"[T ]?([0-9]{2})([0-9]{2})" + _FRACTION, " {h}:{m}:00.{g}0"),
+)
 
 
 def is_none(text: Column) -> Column:
@@ -70,48 +73,33 @@ def parse_bool(text: Column) -> Column:
     return F.when(F.lower(text) == "true", True).when(F.lower(text) == "false", False)
 
 
-def _iso(text: Column, american: bool = False) -> tuple[Column, Column]:
-    """The date at the front of a text as yyyy-MM-dd, and what follows it."""
-
-    def part(pattern: str, year: int, month: int, day: int) -> Column:
-        get = lambda i: F.regexp_extract(text, pattern, i)
-        return F.concat_ws("-", get(year), F.lpad(get(month), 2, "0"), F.lpad(get(day), 2, "0"))
-
-    ymd, dmy, compact = text.rlike(_YMD), text.rlike(_DMY), text.rlike(_COMPACT + r"($|[T ]?[0-9:])")
-    day_first = part(_DMY, 4, 1, 3) if american else part(_DMY, 4, 3, 1)
-    date = F.when(ymd, part(_YMD, 1, 3, 4)).when(dmy, day_first).when(compact, part(_COMPACT, 1, 2, 3))
-    rest = F.when(ymd, F.regexp_replace(text, _YMD, "")).when(dmy, F.regexp_replace(text, _DMY, "")).when(compact, F.regexp_replace(text, _COMPACT, ""))
-    return date, rest
+def _dates(american: bool) -> tuple[tuple[str, str], ...]:
+    """The forms of a date at the front of a text, and the replacement that makes yyyy-M-d of each; no text has two of them."""
+    return (_YMD, "$1-$3-$4"), (_DMY, "$4-$1-$3" if american else "$4-$3-$1"), (_COMPACT, "$1-$2-$3")
 
 
 def parse_date(text: Column, american: bool = False) -> Column:
     """A text that is a date and nothing else."""
-    date, rest = _iso(text, american)
-    slow = F.when(rest == "", date.try_cast("date"))
-    # the common forms take one pattern and one replacement
-    quick = F.when(text.rlike(_YMD + "$"), F.regexp_replace(text, _YMD, "$1-$3-$4").try_cast("date"))
-    return quick.when(text.rlike(_DMY + "$"), F.regexp_replace(text, _DMY, "$4-$1-$3" if american else "$4-$3-$1").try_cast("date")).otherwise(slow)
+    out = None
+    for form, new in _dates(american):
+        fits, value = text.rlike(form + "$"), F.regexp_replace(text, form, new).try_cast("date")
+        out = F.when(fits, value) if out is None else out.when(fits, value)
+    return out
 
 
 def parse_datetime(text: Column, american: bool = False) -> Column:
     """A date with a time of day; a bare date is midnight."""
-    date, rest = _iso(text, american)
-    clock = F.regexp_replace(rest, r"^[T ]", "")
-    pattern = F.when(clock.rlike("^" + _CLOCK), F.lit("c")).when(clock.rlike("^" + _CLOCK_COMPACT), F.lit("k"))
-
-    def get(i: int) -> Column:
-        return F.when(pattern == "c", F.regexp_extract(clock, _CLOCK, i)).otherwise(F.regexp_extract(clock, _CLOCK_COMPACT, i))
-
-    second, fraction = F.when(get(3) == "", "00").otherwise(get(3)), F.when(get(4) == "", "0").otherwise(F.substring(get(4), 1, 6))
-    full = F.concat(date, F.lit(" "), F.lpad(get(1), 2, "0"), F.lit(":"), get(2), F.lit(":"), second, F.lit("."), fraction)
-    slow = F.when(rest == "", date.try_cast("timestamp_ntz")).when(pattern.isNotNull(), full.try_cast("timestamp_ntz"))
-    quick = None
-    for day, new in ((_YMD, "$1-$3-$4"), (_DMY, "$4-$1-$3" if american else "$4-$3-$1")):
-        for tail, time in ((r"$", ""), (_SECONDS, " $5:$6:$7.${8}0"), (_MINUTES, " $5:$6:00")):
-            made = F.regexp_replace(text, day + tail, new + time.replace("${8}", "$8")).try_cast("timestamp_ntz")
-            quick = F.when(text.rlike(day + tail), made) if quick is None else quick.when(text.rlike(day + tail), made)
     # what is in ISO form already needs no replacement
-    return F.when(text.rlike(_ISO), text.try_cast("timestamp_ntz")).otherwise(quick.otherwise(slow))
+    out = F.when(text.rlike(_ISO), text.try_cast("timestamp_ntz"))
+    for form, new in _dates(american):
+        n = 3 if form == _COMPACT else 4  # groups of the date
+        clock = None
+        for tail, time in _TAILS:
+            value = F.regexp_replace(text, form + tail, new + time.format(h=f"${n + 1}", m=f"${n + 2}", s=f"${n + 3}", f=f"${n + 4}", g=f"${n + 3}")).try_cast("timestamp_ntz")
+            fits = text.rlike(form + tail)
+            clock = F.when(fits, value) if clock is None else clock.when(fits, value)
+        out = out.when(text.rlike(form), clock)
+    return out
 
 
 def time_text(text: Column) -> Column:

@@ -8,6 +8,7 @@ is the same in any engine and for any partitioning.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import sqlite3
 import tempfile
@@ -613,9 +614,15 @@ class _Files:
     folder: str | None = None
 
     @classmethod
-    def new(cls, name: str) -> str:
+    def new(cls, spark: SparkSession, name: str) -> str:
+        """A path that the driver can write and the executors can read: below spark.checkpoint.dir where that is a folder of files, and a temporary one in local mode alone."""
         if cls.folder is None:
-            cls.folder = tempfile.mkdtemp(prefix="catalogue-")
+            shared = spark.conf.get("spark.checkpoint.dir", "").removeprefix("file://")
+            if "://" in shared or not shared and not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("these queries write files on the driver, so spark.checkpoint.dir has to name a folder of files that all share")
+            if shared:
+                os.makedirs(shared, exist_ok=True)
+            cls.folder = tempfile.mkdtemp(prefix="catalogue-", dir=shared or None)
             atexit.register(shutil.rmtree, cls.folder, True)
         return f"{tempfile.mkdtemp(dir=cls.folder)}/{name}"
 
@@ -625,25 +632,25 @@ _SUPPLIER = "SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acc
 
 @query("csv_round_trip", _SUPPLIER)
 def _(t):
-    t.supplier.to_csv(path := _Files.new("supplier.csv"))
+    t.supplier.to_csv(path := _Files.new(t.spark, "supplier.csv"))
     return Table.from_file(t.spark, path)
 
 
 @query("tsv_texts", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
 def _(t):
-    t.nation.to_tsv(path := _Files.new("nation.tsv"))
+    t.nation.to_tsv(path := _Files.new(t.spark, "nation.tsv"))
     return Table.from_file(t.spark, path, guess_datatypes=False)
 
 
 @query("text_slice", "SELECT n_name, n_nationkey::BIGINT AS n_nationkey FROM nation WHERE n_nationkey BETWEEN 5 AND 14")
 def _(t):
-    t.nation.to_text(path := _Files.new("nation.txt"))
+    t.nation.to_text(path := _Files.new(t.spark, "nation.txt"))
     return Table.from_file(t.spark, path, delimiter="|", columns=["n_name", "n_nationkey"], start=5, limit=10)
 
 
 @query("csv_without_headers", "SELECT s_suppkey AS \"0\", s_name AS \"1\" FROM supplier")
 def _(t):
-    t.supplier["s_suppkey", "s_name"].df.coalesce(1).write.csv(path := _Files.new("supplier.csv"), header=False)
+    t.supplier["s_suppkey", "s_name"].df.coalesce(1).write.csv(path := _Files.new(t.spark, "supplier.csv"), header=False)
     return Table.from_file(t.spark, path, first_row_has_headers=False)
 
 
@@ -651,7 +658,7 @@ def _(t):
 def _(t):
     hole = F.col("c_custkey") % 5 == 0
     rows = t.customer.df.select(F.when(~hole, F.col("c_custkey")).alias("k"), F.when(hole | (F.col("c_custkey") % 3 == 0), "").otherwise(F.col("c_name")).alias("n"))
-    Table(rows).to_csv(path := _Files.new("customer.csv"))
+    Table(rows).to_csv(path := _Files.new(t.spark, "customer.csv"))
     return Table.from_file(t.spark, path, skip_empty="ALL")
 
 
@@ -659,7 +666,7 @@ def _(t):
 def _(t):
     lines = t.nation.df.select(F.format_string("%d,(%s,%d)", "n_nationkey", "n_name", "n_regionkey").alias("value"))
     head = t.spark.createDataFrame([("k,place",)], "value string")
-    head.unionByName(lines).coalesce(1).write.text(path := _Files.new("nation.csv"))
+    head.unionByName(lines).coalesce(1).write.text(path := _Files.new(t.spark, "nation.csv"))
     return Table.from_file(t.spark, path, text_escape_openings="(", text_escape_closures=")")
 
 
@@ -667,7 +674,7 @@ def _(t):
 def _(t):
     rows = t.region.df.select(F.col("r_regionkey").alias("k"), F.concat("r_name", F.lit(', with a\n\\"line\\"')).alias("said"))
     text = "k,said\n" + "".join(f'{r["k"]},"{r["said"]}"\n' for r in rows.orderBy("k").collect())
-    with open(path := _Files.new("region.csv"), "w") as f:
+    with open(path := _Files.new(t.spark, "region.csv"), "w") as f:
         f.write(text)
     return Table.from_file(t.spark, path, text_qualifier='"')
 
@@ -675,7 +682,7 @@ def _(t):
 @query("csv_latin_text", "SELECT r_regionkey::BIGINT AS k, 'Überfluß in ' || r_name AS said FROM region")
 def _(t):
     rows = t.region.df.orderBy("r_regionkey").collect()
-    with open(path := _Files.new("region.csv"), "wb") as f:
+    with open(path := _Files.new(t.spark, "region.csv"), "wb") as f:
         f.write(("k,said\n" + "".join(f"{r['r_regionkey']},Überfluß in {r['r_name']}\n" for r in rows)).encode("latin-1"))
     return Table.from_file(t.spark, path)
 
@@ -683,33 +690,33 @@ def _(t):
 @query("csv_utf16", "SELECT r_regionkey::BIGINT AS k, '日本 ' || r_name AS said FROM region")
 def _(t):
     rows = t.region.df.orderBy("r_regionkey").collect()
-    with open(path := _Files.new("region.csv"), "wb") as f:
+    with open(path := _Files.new(t.spark, "region.csv"), "wb") as f:
         f.write(("k,said\n" + "".join(f"{r['r_regionkey']},日本 {r['r_name']}\n" for r in rows)).encode("utf-16"))
     return Table.from_file(t.spark, path)
 
 
 @query("xlsx_round_trip", _SUPPLIER)
 def _(t):
-    t.supplier.to_xlsx(path := _Files.new("supplier.xlsx"))
+    t.supplier.to_xlsx(path := _Files.new(t.spark, "supplier.xlsx"))
     return Table.from_file(t.spark, path)
 
 
 @query("xlsx_times", "SELECT o_orderkey, o_orderdate, o_totalprice >= 150000 AS big FROM orders WHERE o_orderkey <= 500")
 def _(t):
     few = t.orders.df.where("o_orderkey <= 500").select("o_orderkey", "o_orderdate", (F.col("o_totalprice") >= 150000).alias("big"))
-    Table(few, ["o_orderkey"]).to_xlsx(path := _Files.new("orders.xlsx"))
+    Table(few, ["o_orderkey"]).to_xlsx(path := _Files.new(t.spark, "orders.xlsx"))
     return Table.from_file(t.spark, path)
 
 
 @query("ods_round_trip", _SUPPLIER)
 def _(t):
-    t.supplier.to_ods(path := _Files.new("supplier.ods"))
+    t.supplier.to_ods(path := _Files.new(t.spark, "supplier.ods"))
     return Table.from_file(t.spark, path)
 
 
 @query("html_round_trip", _SUPPLIER)
 def _(t):
-    t.supplier.to_html(path := _Files.new("supplier.html"))
+    t.supplier.to_html(path := _Files.new(t.spark, "supplier.html"))
     return Table.from_file(t.spark, path)
 
 
@@ -727,7 +734,7 @@ def _(t):
 
 @query("save_and_load", "SELECT * FROM events")
 def _(t):
-    t.events.save(path := _Files.new("events"))
+    t.events.save(path := _Files.new(t.spark, "events"))
     return Table.load(t.spark, path)
 
 
@@ -746,7 +753,7 @@ def _(t):
 def _(t):
     out = []
     for kind in ("csv", "ods", "xlsx"):
-        getattr(t.nation, f"to_{kind}")(path := _Files.new(f"nation.{kind}"))
+        getattr(t.nation, f"to_{kind}")(path := _Files.new(t.spark, f"nation.{kind}"))
         lines = next(iter(registry.head(t.spark, path, 4).values()))
         out.append((kind, "|".join(lines[0]), len(lines)))
     return t.spark.createDataFrame(out, "kind string, names string, lines int")
@@ -877,5 +884,5 @@ def _(t):
     stream = t.spark.readStream.schema(t.events.df.schema).parquet(f"{t.folder}/events.parquet*")
     name = f"w{id(t)}"
     counted = stateless.windowed(stream, "ts", "1 day", "1 hour", ["event_type"], {"n": F.count(F.lit(1))})
-    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", _Files.new("checkpoint")).start().awaitTermination()
+    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", _Files.new(t.spark, "checkpoint")).start().awaitTermination()
     return t.spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("day"), "event_type", "n")
