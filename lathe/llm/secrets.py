@@ -2,7 +2,7 @@
 
 A text is scanned as it stands; every encoded region found in it is unwrapped
 (lines and words with percent escapes, Unicode escapes and character references
-decoded in place, base64, zlib / gzip / bzip2 / xz) into a further layer, which is scanned and unwrapped in turn until
+decoded in place, base64 also over several lines, zlib / gzip / bzip2 / xz) into a further layer, which is scanned and unwrapped in turn until
 nothing new appears.  A layer that was seen before is not entered again, so
 self-reproducing data ends too.  Every layer keeps, for each of its characters,
 the code points of the original text it came from, and findings are reported in
@@ -50,6 +50,28 @@ PIECE, OVERLAP = 4 << 20, 64 << 10
 #: Bytes that are inflated at once.
 STEP = 1 << 20
 Layer = tuple[str, Sequence[int], Sequence[int]]
+#: base64 over several lines.
+WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+#: Where a compressed stream may begin in a text of single bytes, and how far such a text goes.
+PACKED = re.compile(r"\x1f\x8b\x08|BZh[1-9]1AY&SY|x[\x01\x5e\x9c\xda]|\xfd7zXZ\x00")
+BYTES = re.compile(r"[\x00-\xff]*")
+
+
+class Same(Sequence):
+    """One number ``n`` times over, without a list of it."""
+
+    def __init__(self, value: int, n: int):
+        self.value, self.n = value, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            return Same(self.value, len(range(*at.indices(self.n))))
+        if not -self.n <= at < self.n:
+            raise IndexError(at)
+        return self.value
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -127,10 +149,10 @@ def _long_layers(chunks: Iterator[bytes], start: int, end: int) -> Iterator[Laye
                 whole = text[:at]
             else:
                 whole, at = text, max(text.rfind(" ", 0, -OVERLAP) + 1, 0) or (len(text) - OVERLAP) // 4 * 4
-            yield whole, [start] * len(whole), [end] * len(whole)
+            yield whole, Same(start, len(whole)), Same(end, len(whole))
             text = text[at:]
     if text:
-        yield text, [start] * len(text), [end] * len(text)
+        yield text, Same(start, len(text)), Same(end, len(text))
 
 
 def _bytes_layers(data: bytes, start: int, end: int) -> Iterator[Layer | Iterator[Layer]]:
@@ -149,7 +171,7 @@ def _bytes_layers(data: bytes, start: int, end: int) -> Iterator[Layer | Iterato
         seen.add(key)
         data = inner
     if seen and (text := _readable(data)) is not None:
-        yield text, [start] * len(text), [end] * len(text)
+        yield text, Same(start, len(text)), Same(end, len(text))
 
 
 def _pieces(layer: Layer, region: re.Match, one: re.Pattern, decode) -> Layer | None:
@@ -201,31 +223,37 @@ def unwrap(layer: Layer) -> Iterator[Layer | Iterator[Layer]]:
                         if sign in m.group() and (inner := _pieces(layer, m, one, decode)):
                             yield inner
     for m in BASE64.finditer(text):
-        body = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        a = m.start()
-        if (plain := _readable(data)) is not None:
-            s, e, byte = [], [], 0
-            for c in plain:
-                n = len(c.encode())
-                s.append(starts[a + byte * 4 // 3])
-                e.append(ends[min(a + ((byte + n - 1) * 4 // 3) + 1, a + len(body) - 1)])
-                byte += n
-            yield plain, s, e
-        else:
-            yield from _bytes_layers(data, starts[a], ends[m.end() - 1])
-    if text[:1] == "x" or text[:2] == "\x1f\x8b" or text[:3] == "BZh":
-        try:
-            data = text.encode("latin-1")
-        except UnicodeEncodeError:
-            return
-        if text:
-            yield from _bytes_layers(data, starts[0], ends[-1])
+        yield from _base64_layers(layer, range(m.start(), m.end()))
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            yield from _base64_layers(layer, [i for i in range(m.start(), m.end()) if text[i] not in "\r\n \t"])
+    for m in PACKED.finditer(text):
+        end = BYTES.match(text, m.start()).end()
+        steps = (text[i : min(i + STEP, end)].encode("latin-1") for i in range(m.start(), end, STEP))
+        if next(_inflate(steps), b""):
+            yield from _bytes_layers(text[m.start() : end].encode("latin-1"), starts[m.start()], ends[end - 1])
+
+
+def _base64_layers(layer: Layer, places: Sequence[int]) -> Iterator[Layer | Iterator[Layer]]:
+    """What the base64 characters at some places of a layer hold."""
+    text, starts, ends = layer
+    body = "".join([text[i] for i in places]).rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:
+        return
+    try:
+        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return
+    if (plain := _readable(data)) is None:
+        yield from _bytes_layers(data, starts[places[0]], ends[places[-1]])
+        return
+    s, e, byte = array("q"), array("q"), 0
+    for c in plain:
+        n = len(c.encode())
+        s.append(starts[places[byte * 4 // 3]])
+        e.append(ends[places[min((byte + n - 1) * 4 // 3 + 1, len(body) - 1)]])
+        byte += n
+    yield plain, s, e
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -259,7 +287,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
     Returns one row per input row: the key, ``base`` and ``spans`` (arrays of
     kind, start, end in code points of the original text).  A null or empty text
-    has no findings; repeated rows give repeated results; other columns are left out.
+    has no findings; repeated rows give repeated results; an empty table gives no rows; other
+    columns are left out; texts of any length are scanned whole.
     Compressed layers are read to their end, all members of them; one of more than MAX_LAYER bytes in
     pieces, where only a run without blanks that is longer than PIECE is cut, with an overlap.
     """
