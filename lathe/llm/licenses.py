@@ -116,8 +116,11 @@ class Index:
                     found.append(one)
         return found
 
-    def matches(self, lines: list[list[bytes]]) -> list[tuple[int, str, float]]:
-        """(line, label, containment) of every block that meets a template, by the line it begins in."""
+    def matches(self, lines: list[list[bytes]]) -> list[tuple[int, str, float, bool]]:
+        """(line, label, containment, inner) of every block that meets a template, by the line it begins in.
+
+        Inner is what is only met as part of a larger template that is met in the same place.
+        """
         words = [w for line in lines for w in line]
         possible = self.met(frozenset(words))
         if not possible:
@@ -133,28 +136,31 @@ class Index:
                 # what one line holds is found in that line
                 if line_of[a] != line_of[b - 1] and not any(k == x and a < to and at < b for x, at, to, _ in in_lines):
                     blocks.append((k, a, b, c))
-        found: dict[tuple[int, str], float] = {}
+        found: dict[tuple[int, str], tuple[bool, float]] = {}
         for k, a, b, c in blocks:
-            # a template inside another one that is met in the same place says nothing of its own
-            if not any(self.items[k][3] < self.items[x][3] and a < to and at < b for x, at, to, _ in blocks):
-                key = (line_of[a], self.items[k][0])
-                found[key] = max(found.get(key, 0.0), c)
-        return [(n, label, c) for (n, label), c in sorted(found.items())]
+            inner = any(self.items[k][3] < self.items[x][3] and a < to and at < b for x, at, to, _ in blocks)
+            key = (line_of[a], self.items[k][0])
+            # what is met on its own counts before what is part of another template
+            found[key] = max(found.get(key, (False, 0.0)), (not inner, c))
+        return [(n, label, c, not own) for (n, label), (own, c) in sorted(found.items())]
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", templates=TEMPLATES, phrases=PHRASES, threshold: float = CONTAINMENT) -> DataFrame:
     """Find license phrases and every line or run of words over lines that meets a license template.
 
     Returns one row per input row: key, n_words, n_base, first_word, last_word,
-    base_labels, labels, score, blocks (number of the first line, label, containment).  Null and
-    empty texts have no words; repeated rows repeat; other columns are left out.
+    base_labels, labels, score, blocks (number of the first line, label, containment, inner).  Every
+    block that meets a template is among the blocks; ``labels`` leaves out those that are only inner to
+    another one, as a text under CC BY-SA is not one under CC BY.  Null and
+    empty texts have no words; repeated rows repeat; texts of any length are scanned whole; an empty
+    table gives no rows; other columns are left out.
     """
     small_batches(docs.sparkSession)
     vocabulary = sorted({w for _, t in templates for w in words_of(t)})
     index = Index(templates, token_frequencies(docs, vocabulary, text), threshold)
     wanted = [(words_of(p), label) for p, label in phrases.items()]
     lasts = {p[-1] for p, _ in wanted}
-    block_type = pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
+    block_type = pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64()), ("inner", pa.bool_())]))
 
     def one(t: str | None) -> tuple:
         words = words_of(t)
@@ -172,9 +178,9 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", temp
                     starts.append(at)
                     base.add(label)
         found = index.matches([words_of(line) for line in (t or "").split("\n")])
-        blocks = [{"line": n, "label": label, "containment": c} for n, label, c in found]
+        blocks = [{"line": n, "label": label, "containment": c, "inner": inner} for n, label, c, inner in found]
         score = 1.0 if starts else max((b["containment"] for b in blocks), default=0.0)
-        labels = base | {b["label"] for b in blocks}
+        labels = base | {b["label"] for b in blocks if not b["inner"]}
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, blocks
 
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), block_type]
@@ -190,5 +196,5 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", temp
     return chosen.mapInArrow(
         run,
         f"`{key}` {dict(chosen.dtypes)[key]}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, "
-        "blocks array<struct<line:bigint,label:string,containment:double>>",
+        "blocks array<struct<line:bigint,label:string,containment:double,inner:boolean>>",
     )
