@@ -75,7 +75,9 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict:
     """Count n-grams and scripts by language over all rows with text and language.
 
     The counts per language have SLOTS + SCRIPTS entries at most, however large the
-    corpus.  No labelled row: a model without languages, which predicts ``und``.
+    corpus; they are summed and turned into scores in the executors, and the model has half a
+    megabyte a language.  No labelled row: a model without languages, which predicts ``und``.
+    Null texts and languages teach nothing; repeated rows count as often as they are there.
     """
     small_batches(labelled.sparkSession)
 
@@ -96,19 +98,24 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict:
             yield pa.RecordBatch.from_arrays([pa.array([l] * len(at)), pa.array(at, pa.int32()), pa.array(counts[at])], names=["lang", "slot", "n"])
 
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang).mapInArrow(count, "lang string, slot int, n double")
-    summed = rows.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(summed["lang"].unique())
+    summed = rows.groupBy("lang", "slot").agg(F.sum("n").alias("n")).groupBy("lang").applyInArrow(lambda t: _language(t), "lang string, score binary, allowed binary").collect()
+    langs = sorted(r["lang"] for r in summed)
     score, allowed = np.zeros((len(langs), SLOTS), np.float32), np.zeros((len(langs), SCRIPTS), bool)
-    for k, l in enumerate(langs):
-        part = summed[summed["lang"] == l]
-        counts = np.bincount(part["slot"], part["n"], SLOTS + SCRIPTS)
-        grams = counts[:SLOTS] + 0.5
-        score[k] = np.log(grams / grams.sum())
-        share = counts[SLOTS:] / max(counts[SLOTS:].sum(), 1)
-        allowed[k] = share >= SCRIPT_SHARE
+    for r in summed:
+        k = langs.index(r["lang"])
+        score[k], allowed[k] = np.frombuffer(r["score"], np.float32), np.frombuffer(r["allowed"], bool)
     return {"langs": langs, "score": score - score.mean(axis=0, keepdims=True) if langs else score, "allowed": allowed}
 
 
+def _language(counts: pa.Table) -> pa.Table:
+    """One language from its counts: log-likelihood by slot and whether it has a script, packed, so that the driver gets half a megabyte a language."""
+    total = np.bincount(counts.column("slot").to_numpy(), counts.column("n").to_numpy(), SLOTS + SCRIPTS)
+    grams = total[:SLOTS] + 0.5
+    share = total[SLOTS:] / max(total[SLOTS:].sum(), 1)
+    score = np.log(grams / grams.sum()).astype(np.float32)
+    return pa.table({"lang": counts.column("lang")[:1], "score": pa.array([score.tobytes()], pa.binary()), "allowed": pa.array([(share >= SCRIPT_SHARE).tobytes()], pa.binary())})
+
+
 def word_scores(words: list[bytes], model: dict) -> np.ndarray:
     """Log-likelihood of each distinct word by language, less the languages' mean."""
     slot, owner, script = word_features(words)
@@ -151,7 +158,8 @@ def identify(docs: DataFrame, model: dict, text: str = "text", key: str = "doc_i
     Returns one row per input row: key, lang_pred, score (share of the letters in
     lang_pred), spans (lang:first-last in words, comma-joined).  Null texts and
     texts without a letter are ``und`` with score 0; ties go to the language first
-    in code-point order; repeated rows repeat; other columns are left out.
+    in code-point order; repeated rows repeat; texts of any length are labelled whole; an empty
+    table gives no rows; other columns are left out.
     """
     small_batches(docs.sparkSession)
     label = _labeller(model, penalty)
