@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, let
+from .common import WORD, key_blocks, key_stats, spool
 
 K = 6
 S = 2
-#: Documents that a block of neighbours holds on average, most blocks, most intervals.
-BLOCK, MAX_BLOCKS, INTERVALS = 5_000, 50_000, 256
+#: Documents that a block of neighbours holds on average.
+BLOCK = 5_000
+#: Repeated keys up to which they are broadcast (8 bytes each).
+SMALL = 1_000_000
 
 
 def syncmers(text: Column, k: int = K, s: int = S) -> Column:
@@ -50,39 +52,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
 
-def block_of(docs: DataFrame) -> Column:
-    """A number that rises with k, of which there are MAX_BLOCKS at most; null keys have -1."""
-    stats = docs.agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if stats["lo"] is None:
-        return F.lit(-1).cast("bigint")
-    blocks = min(max(stats["n"] // BLOCK, 1), MAX_BLOCKS)
-    parts = min(blocks, INTERVALS)
-    marks = docs.agg(F.percentile_approx("k", [i / parts for i in range(parts + 1)], 4 * parts + 100).alias("q")).first()["q"]
-    starts = sorted({stats["lo"], *marks[1:-1]})
-    each = -(-blocks // len(starts))
-    widths = [max(-(-(b - a) // each), 1) for a, b in zip(starts, [*starts[1:], stats["hi"] + 1])]
+def _in_sequence(docs: DataFrame, made) -> DataFrame:
+    """As with_next, for keys that are all different.
 
-    def interval(low: int, high: int) -> Column:
-        """By halving: the last start at or under the key."""
-        if low == high:
-            return F.struct(F.lit(low).cast("bigint").alias("i"), F.lit(starts[low]).cast("bigint").alias("a"), F.lit(widths[low]).cast("bigint").alias("w"))
-        mid = (low + high + 1) // 2
-        return F.when(F.col("k") >= starts[mid], interval(mid, high)).otherwise(interval(low, mid - 1))
-
-    at = let(interval(0, len(starts) - 1), lambda x: x["i"] * each + F.least(F.lit(each - 1).cast("bigint"), F.floor((F.col("k") - x["a"]) / x["w"])))
-    return F.coalesce(F.when(F.col("k").isNotNull(), at), F.lit(-1).cast("bigint"))
-
-
-def with_next(docs: DataFrame, key: str, made) -> DataFrame:
-    """Every row with the struct ``made`` gives of it, as ``own``, and of the row after it in descending key, as ``after``.
-
-    Null keys come last, equal keys in descending order of text; the row after the
-    last is the first.  The rows are dealt once, by blocks of neighbouring keys: quantiles
-    cut the keys into intervals, equal widths cut those into blocks, and there are
-    MAX_BLOCKS at most.  A block's last row meets a copy of the first row of the next block.
-    ``docs`` has the columns k (integer) and t.
+    The rows are dealt once, by blocks of neighbouring keys; a block's last row meets a copy of the first row of the next block.
     """
-    block = block_of(docs).alias("c")
+    block = key_blocks(docs.agg(*key_stats()).first(), BLOCK).alias("c")
     firsts = docs.groupBy(block).agg(F.max("k").alias("fk"))
     falling = W.orderBy(F.col("c").desc())
     # one row per block
@@ -90,18 +65,40 @@ def with_next(docs: DataFrame, key: str, made) -> DataFrame:
     firsts = firsts.select("c", "fk", target.alias("target"))
     ghosts = docs.withColumn("c", block).join(F.broadcast(firsts), ["c"]).where(F.col("k").eqNullSafe(F.col("fk")))
     rows = docs.select("k", "t", block, F.lit(0).alias("ghost")).unionByName(ghosts.select("k", "t", F.col("target").alias("c"), F.lit(1).alias("ghost")))
-    order = W.partitionBy("c").orderBy("ghost", F.col("k").desc_nulls_last(), F.col("t").desc_nulls_last())
+    order = W.partitionBy("c").orderBy("ghost", F.col("k").desc_nulls_last())
     own = rows.repartitionByRange(F.col("c")).withColumn("own", made(F.col("t")))
     return own.withColumn("after", F.lead("own").over(order)).where("ghost = 0").select("k", "own", "after")
 
 
+def with_next(docs: DataFrame, key: str, made) -> DataFrame:
+    """Every row with the struct ``made`` gives of it, as ``own``, and of the document after it in descending key, as ``after``.
+
+    Null keys come last; the document after the last is the first.  Rows with one key are
+    all followed by the document of the next key; of that key's rows the largest text stands for it.
+    ``docs`` has the columns k (integer) and t.  The rows of keys that repeat
+    need no order among them: one stands in the sequence and the others get its successor by a
+    join on the key, which is split where a key has many rows.
+    """
+    repeats = spool(docs.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("k").alias("rk")))
+    n = repeats.count()
+    if not n:
+        return _in_sequence(docs, made)
+    small = F.broadcast(repeats) if n <= SMALL else repeats
+    same = F.col("k").eqNullSafe(F.col("rk"))
+    again, single = docs.join(small, same, "left_semi"), docs.join(small, same, "left_anti")
+    line = spool(_in_sequence(single.unionByName(again.groupBy("k").agg(F.max("t").alias("t"))), made))
+    after = line.join(small, same, "left_semi").select(F.col("k").alias("rk"), "after")
+    return line.join(small, same, "left_anti").unionByName(again.withColumn("own", made(F.col("t"))).join(after, same).select("k", "own", "after"))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Fingerprint every text, the text with its last third overwritten from the next document, and compare.
 
     Returns one row per input row: key, n_chars, edited (text), prints and edited_prints
     (arrays of hashes in text order), near_edited, near_next.  A null text counts as
     empty, an empty text has no prints; a lone document follows itself; repeated rows
-    repeat; other columns are left out.  The key is an integer.
+    repeat, and all rows of one key have the same next document; texts of any length count whole;
+    an empty table gives no rows; other columns are left out.  The key is an integer.
     """
     chosen = docs.select(docs[key].cast("bigint").alias("k"), F.coalesce(docs[text], F.lit("")).alias("t"))
     both = with_next(chosen, "k", lambda t: F.struct(t.alias("text"), syncmers(t).alias("prints")))
