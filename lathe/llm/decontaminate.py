@@ -3,8 +3,9 @@
 The windows of all benchmark items form a hash set that every task holds; the word
 windows of each training text are hashed and looked up, hits are verified on the
 words themselves, and the report or the cut follows in the same row.  The set is
-shipped only while it has MAX_SET windows at most; beyond that candidates come from
-an equi-join on the window hash, and only texts with candidates are read again.
+shipped as it is only while it has MAX_SET windows at most.  Beyond that tasks hold a bitmap of
+the hashes, of BITS bits a window; what it lets through is joined with the windows, and only
+texts with candidates take part in that.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, cut, unwrap, wrap
+from .common import WORD, Scratch, ascii_lower, unwrap, wrap
 
 WINDOW = 8
-#: Windows that a task may hold as a set (about 100 bytes each).
-MAX_SET = 200_000
+#: Windows that a task may hold as a set (about 100 bytes each); they stand in the plan, which the driver parses.
+MAX_SET = 50_000
+#: Bits of the bitmap for a window, and most of them in 64-bit words (128 MB): a fuller bitmap lets more through, never less.
+BITS, MAX_WORDS = 32, 1 << 24
 #: One word with the separators before it, in a text as it stands, and what follows the last word.
 PIECE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TAIL = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z"
@@ -48,41 +51,50 @@ class Benchmark:
     """The window set of a benchmark, built once and used by report and removal."""
 
     def __init__(self, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW):
-        self.windows = cut(benchmark_windows(benchmark, text, item, window))
-        self.lengths = [r["len"] for r in self.windows.select("len").distinct().orderBy("len").collect()]
-        self.size = self.windows.count()
+        self.windows = Scratch(benchmark.sparkSession)(benchmark_windows(benchmark, text, item, window))
+        counts = self.windows.groupBy("len").agg(F.count(F.lit(1)).alias("n")).orderBy("len").collect()  # at most ``window`` rows
+        self.lengths, self.size = [r["len"] for r in counts], sum(r["n"] for r in counts)
         self.sets: dict[int, list] = {}
         if self.size <= MAX_SET:
             for r in self.windows.select("len", "h", "gram").collect():
                 self.sets.setdefault(r["len"], []).append((r["h"], r["gram"]))
 
+    def bitmap(self) -> DataFrame:
+        """One row: _bits, the hashes of all windows as bits of an array of 64-bit words."""
+        n = min(max(self.size * BITS // 64, 1), MAX_WORDS)
+        place = F.pmod(F.shiftright("h", 6), F.lit(n)).alias("w")
+        some = self.windows.groupBy(place).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(h, 64) as int))")).alias("b"))
+        every = self.windows.sparkSession.range(n).select(F.col("id").alias("w")).join(some, "w", "left")
+        return every.agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")))).alias("s")).select(F.col("s.b").alias("_bits"))
+
     def hits(self, docs: DataFrame, text: str) -> DataFrame:
         """docs with _hits: struct(n_words, hits); each hit is a window verified on its words."""
+        words = docs.withColumn("_words", word_array(F.col(text)))
         if not self.lengths:
-            return docs.withColumn("_hits", F.struct(F.size(word_array(F.col(text))).cast("bigint").alias("n_words"), F.array().cast(HIT).alias("hits")))
+            return words.withColumn("_hits", F.struct(F.size("_words").cast("bigint").alias("n_words"), F.array().cast(HIT).alias("hits"))).drop("_words")
         if self.sets:
             keeps = {n: f"{{h}} in ({','.join(f'{h}L' for h in sorted({h for h, _ in pairs}))})" for n, pairs in self.sets.items()}
             grams = ",".join("'" + g.replace("\\", "\\\\").replace("'", "\\'") + "'" for pairs in self.sets.values() for _, g in pairs)
-            verified = f"filter(concat({{all}}), x -> x.gram in ({grams}))"
-        else:
-            # candidates by an equi-join on the hash; every verified window is one of them
-            at = docs.select("*", F.xxhash64(text).alias("_th"))
-            spans = [
-                at.select("_th", word_array(F.col(text)).alias("w")).where(F.size("w") >= n).selectExpr("_th", f"explode(transform(array(transform(w, x -> xxhash64(x))), v -> transform(sequence(1, size(v) - {n - 1}), i -> xxhash64(slice(v, i, {n}))))[0]) as h").withColumn("len", F.lit(n))
-                for n in self.lengths
-            ]
-            found = spans[0]
-            for s in spans[1:]:
-                found = found.unionByName(s)
-            keys = self.windows.select("h", "len", "gram").join(found.distinct(), ["h", "len"])
-            per_text = keys.groupBy("_th").agg(F.collect_set("h").alias("_h"), F.collect_set("gram").alias("_g"))
-            docs = at.join(per_text, "_th", "left").drop("_th")
-            keeps = {n: "array_contains(coalesce(_h, cast(array() as array<bigint>)), {h})" for n in self.lengths}
-            verified = "filter(concat({all}), x -> array_contains(coalesce(_g, cast(array() as array<string>)), x.gram))"
+            verified = f"filter({{all}}, x -> x.gram in ({grams}))"
+            return words.withColumn("_hits", F.expr(self._found(keeps, verified))).drop("_words")
+        bit = "getbit(_bits[cast(pmod(shiftright(v, 6), size(_bits)) as int)], cast(pmod(v, 64) as int)) = 1"
+        keeps = {n: f"exists(array({{h}}), v -> {bit})" for n in self.lengths}
+        # one value, of MAX_WORDS at most
+        at = words.withColumn("_bits", self.bitmap().scalar()).withColumn("_hits", F.expr(self._found(keeps, "{all}"))).drop("_words", "_bits")
+        # through a generator of one row, so that both parts take the candidates instead of finding them again
+        at = at.withColumn("_hits", F.explode_outer(F.array("_hits"))).withColumn("_th", F.xxhash64(text))
+        some = F.size("_hits.hits") > 0
+        asked = at.where(some).select("_th", F.explode("_hits.hits").alias("c")).select("_th", "c.len", "c.gram").distinct()
+        true = asked.join(self.windows.select("len", "gram"), ["len", "gram"]).groupBy("_th").agg(F.collect_set("gram").alias("_g"))
+        met = at.where(some).join(true, "_th", "left")
+        kept = F.filter("_hits.hits", lambda x: F.coalesce(F.array_contains("_g", x["gram"]), F.lit(False)))
+        met = met.withColumn("_hits", F.struct(F.col("_hits.n_words").alias("n_words"), kept.alias("hits"))).drop("_g")
+        return at.where(~some).unionByName(met).drop("_th")
+
+    def _found(self, keeps: dict[int, str], verified: str) -> str:
         every = ", ".join(_windows_sql("ws", "h", n, keeps[n]) for n in self.lengths)
-        body = f"named_struct('n_words', cast(size(ws) as bigint), 'hits', {verified.format(all=every)})"
-        whole = f"transform(array(_words), ws -> transform(array(transform(ws, x -> xxhash64(x))), h -> {body})[0])[0]"
-        return docs.withColumn("_words", word_array(F.col(text))).withColumn("_hits", F.expr(whole)).drop("_words", "_h", "_g")
+        body = f"named_struct('n_words', cast(size(ws) as bigint), 'hits', {verified.format(all=f'concat({every})')})"
+        return f"transform(array(_words), ws -> transform(array(transform(ws, x -> xxhash64(x))), h -> {body})[0])[0]"
 
 
 def _covered(hits: Column) -> Column:
@@ -98,20 +110,20 @@ def _covered(hits: Column) -> Column:
 def contamination_report(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, least_items: int = 2) -> DataFrame:
     """Which texts hold benchmark windows.
 
-    Returns one row per distinct (key, text): key, n_words, n_hit (words inside a window),
+    Returns one row per input row: key, n_words, n_hit (words inside a window),
     n_items, items (sorted item ids), contaminated.  Null and empty texts have no words
-    and no hits, as has every text if the benchmark is empty; repeated rows give one
-    row; other columns are left out.  A benchmark row with a null id counts hit words, but is no item.
+    and no hits, as has every text if the benchmark is empty; repeated rows repeat;
+    other columns are left out; texts of any length are searched whole.  A benchmark row with a null id counts hit words, but is no item.
     """
     bench = Benchmark(benchmark, window=window)
     found = bench.hits(docs.select(docs[key].alias("k"), docs[text].alias("t")), "t")
-    # t itself does not pass through the explode: a hash stands for it
-    rows = found.select("k", F.xxhash64("t").alias("t"), "_hits.n_words", F.expr("_hits.hits").alias("hits")).select("k", "t", "n_words", F.explode_outer("hits").alias("hit"))
+    # the text does not pass through the explode: a number stands for the row
+    rows = found.select("k", F.monotonically_increasing_id().alias("r"), "_hits.n_words", F.expr("_hits.hits").alias("hits")).select("k", "r", "n_words", F.explode_outer("hits").alias("hit"))
     items = bench.windows.select(F.col("len").alias("l"), F.col("gram").alias("g"), "items")
     items = F.broadcast(items) if bench.size <= MAX_SET else items
     known = rows.join(items, (F.col("hit.len") == F.col("l")) & (F.col("hit.gram") == F.col("g")), "left")
-    # a text's hits are bounded by its own length
-    grouped = known.groupBy("k", "t", "n_words").agg(
+    # a row's hits are bounded by its own length
+    grouped = known.groupBy("k", "r", "n_words").agg(
         F.collect_list("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
     n_items = F.size("items").cast("bigint")
@@ -123,7 +135,8 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "tex
 
     The columns of docs stay as they are, apart from the text of documents with
     hits, which loses every word inside a window with the separators before it.
-    Texts without hits, nulls and empty texts pass unchanged; repeated rows repeat.
+    Texts without hits, nulls and empty texts pass unchanged, as do all if the benchmark is empty; repeated rows
+    repeat; texts of any length are searched whole.
     """
     found = Benchmark(benchmark, window=window).hits(wrap(docs, text), "_t")
     # through a generator of one row, so that the filter and the new text take the hits instead of finding them again
