@@ -50,7 +50,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +78,32 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import replace_pii
+    from .pii import pii_key, replace_pii
 
-    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
+
+
+# What SQL can say of the operators above, from the same rows: the other columns are held against brute force in the tests.
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -94,6 +117,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_fingerprint": op9_fingerprint,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "url_rules": url_rules,
+    "mix_targets": mix_targets,
+    "secret_counts": secret_counts,
+    "license_phrases": license_phrases,
+    "edited_texts": edited_texts,
 }
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WINDOW = "array_to_string(w[i:i + n - 1], ' ')"
@@ -123,5 +151,47 @@ WITH RECURSIVE docs AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept FROM docs d LEFT JOIN sizes s USING (doc_id) JOIN comps c USING (doc_id)
 """
 
+_RULES_SQL = """
+WITH rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  parts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM rests),
+  named AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM parts),
+  rules(rule, ruled, domain, start) AS (VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'), ('example.org/en/1', 'block', 'example.org', '/en/1'), ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')),
+  fits AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(ruled, length(rule)) AS ruled FROM named JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, start) GROUP BY 1)
+SELECT page_id, host, path, rule, ruled FROM named LEFT JOIN fits USING (page_id)
+"""
+
+_TARGETS_SQL = """
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+  per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1),
+  capped AS (SELECT *, 2.0 * source_size AS cap, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM per),
+  levels AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level FROM capped
+    WINDOW before AS (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  theta AS (SELECT arg_min(level, cap / w) AS theta FROM levels WHERE level * w <= cap)
+SELECT doc_id, size, source_size, round(least(cap, coalesce(theta * w, cap))::DOUBLE, 6) AS target FROM sized JOIN levels ON sized.source IS NOT DISTINCT FROM levels.source CROSS JOIN theta
+"""
+
+_ASSIGN = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+_SECRETS_SQL = f"""
+SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '{_ASSIGN}', 1), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex FROM documents
+"""
+
+_PHRASES_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{WORD}'), []) AS w FROM documents),
+  places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
+  hits AS (SELECT doc_id, i - 1 AS i, CASE WHEN w[i] = 'mit' AND w[i + 1] = 'license' THEN 'mit' WHEN w[i] = 'apache' AND w[i + 1] = 'license' THEN 'apache' WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl' END AS label FROM places),
+  found AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hits WHERE label IS NOT NULL GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word, coalesce(labels, '') AS base_labels FROM docs LEFT JOIN found USING (doc_id)
+"""
+
+_EDITED_SQL = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  pairs AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS after FROM docs)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(substr(t, 1, n - n // 3) || substr(after, 1, n // 3)) AS edited_sha256 FROM pairs
+"""
+
 #: The others are models, decoders, roundings or own hashes; the tests hold them against brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": _CONTAMINATION_SQL, "op6_near_duplicates": _NEAR_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": _CONTAMINATION_SQL, "op6_near_duplicates": _NEAR_SQL, "url_rules": _RULES_SQL, "mix_targets": _TARGETS_SQL, "secret_counts": _SECRETS_SQL, "license_phrases": _PHRASES_SQL, "edited_texts": _EDITED_SQL,
+}
