@@ -96,13 +96,6 @@ def spool(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession)(df)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that later jobs neither recompute the
-    plan nor lose it with an executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def grid_quantile(df: DataFrame, by: list[str], value: Column, shares: dict[str, float], step: float) -> DataFrame:
     """By group and name, the place floor(value / step) that holds the share: the smallest with at least that share of the group's rows at or under it.
 

@@ -129,6 +129,29 @@ def test_url_counts_are_whole(spark):
         assert math.isclose(got[i].score, (good_model(x) - bad_model(x)) / (len(x) + 1), rel_tol=1e-9, abs_tol=1e-12)
 
 
+def test_url_verdicts(spark):
+    """Every verdict without a rule against the plain models and the plain quantile."""
+    from lathe.llm.urls import BAD_HOST_WORDS, MISS, STEP, filter_urls
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    pages = pages.unionByName(pages.where("page_id = 5")).unionByName(spark.createDataFrame([(10**6, "http://x.net/" + "é" * 30_000), (10**6 + 1, None)], "page_id long, url string"))
+    got = filter_urls(pages).collect()
+    lines = [r.host + r.path for r in got]
+    held = [r.h for r in spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i long, x string").select("i", (F.pmod(F.xxhash64("x"), F.lit(4)) == 0).alias("h")).orderBy("i").collect()]
+    label = ["block" if any(w in r.host for w in BAD_HOST_WORDS) else r.verdict if r.rule else "allow" for r in got]
+    models = [brute_markov([x for x, h, l in zip(lines, held, label) if x and not h and l == c]) for c in ("allow", "block")]
+    score = [(models[0](x) - models[1](x)) / (len(x) + 1) if x else None for x in lines]
+    places = sorted(math.floor(s / STEP) for s, h, l in zip(score, held, label) if s is not None and h and l == "allow")
+    least = min(next(p for i, p in enumerate(places, 1) if i >= MISS * len(places)), 0)
+    seen = set()
+    for r, s in zip(got, score):
+        if r.rule is None:
+            want = "block" if s is None or math.floor(s / STEP) < least else "allow"
+            assert r.verdict == want, (r, s)
+            seen.add(want)
+    assert seen == {"allow", "block"}
+
+
 # ---- 3
 
 
@@ -162,18 +185,21 @@ def test_contamination(spark, docs, odd, tmp_path):
     where = write(spark, tmp_path / "a", odd, benchmark=spark.createDataFrame(short, "item_id long, text string"))
     got = Q.op3_decontamination(spark, where).collect()
     want = brute_contamination([(r.doc_id, r.text) for r in odd.collect()], short)
-    assert len(got) == odd.count() - 1
+    assert len(got) == odd.count()
     for r in got:
         assert tuple(r)[1:] == want[r.doc_id]
     none = write(spark, tmp_path / "b", odd, benchmark=spark.createDataFrame([], "item_id long, text string"))
     assert {r.n_items for r in Q.op3_decontamination(spark, none).collect()} == {0}
 
 
-def test_contamination_beyond_the_set(spark, docs, monkeypatch):
+@pytest.mark.parametrize("words", [1, 1 << 24])
+def test_contamination_beyond_the_set(spark, docs, monkeypatch, words):
+    """With a bitmap that lets little through, and with one of a single word that lets nearly all through."""
     from lathe.llm import decontaminate
 
     want = {r.doc_id: tuple(r) for r in Q.op3_decontamination(spark, SF).collect()}
     monkeypatch.setattr(decontaminate, "MAX_SET", 10)
+    monkeypatch.setattr(decontaminate, "MAX_WORDS", words)
     assert {r.doc_id: tuple(r) for r in Q.op3_decontamination(spark, SF).collect()} == want
 
 
@@ -255,6 +281,53 @@ def test_mix(spark, odd, tmp_path):
     assert Q.op4_source_mix(spark, write(spark, tmp_path / "c", odd.where("text is null or text = ''"))).count() == 2
 
 
+def test_mix_of_repeated_rows(spark):
+    """Copies of one row are documents of their own, and what is settled concerns one of them."""
+    from lathe.llm.mixing import mix, take
+
+    given = [(i, " ".join(f"w{j}" for j in range(20 + i * 7 % 90)), f"s{i % 3}") for i in range(200)] + [(7_000, "one two three four five", "s1")] * 3_000
+    df = spark.createDataFrame(given, "doc_id long, text string, source string")
+    total = Counter()
+    for _, t, s in given:
+        total[s] += len(t.split())
+    target = water(total)
+    got = mix(df).collect()
+    assert len(got) == len(given)
+    taken = Counter()
+    by_source = {(k, len(t.split())): s for k, t, s in given}
+    for r in got:
+        assert r.copies in (0, 1, 2) and r.taken == r.copies * r["size"]
+        taken[by_source[r.doc_id, r["size"]]] += r.taken
+    copies = [r.copies for r in got if r.doc_id == 7_000]
+    assert max(copies) - min(copies) <= 1
+    smallest = {s: min(len(t.split()) for _, t, x in given if x == s) for s in total}
+    assert all(abs(taken[s] - target[s]) <= smallest[s] for s in target), (taken, target)
+    kept = take(df.withColumn("copies", F.lit("x")).withColumn("_rows", F.lit(1))).collect()
+    again = Counter()
+    for r in kept:
+        again[r.source] += r.copies * len(r.text.split())
+    assert again == taken
+    assert Counter(r.doc_id for r in kept) == Counter(r.doc_id for r in got if r.copies)
+
+
+def test_rows_are_repeated_in_parts(spark, monkeypatch):
+    from lathe.llm import common
+
+    monkeypatch.setattr(common, "REPEAT", 7)
+    df = spark.createDataFrame([(1, 30), (2, 0), (3, 1), (4, 7)], "k long, n long")
+    got = sorted((r.k, r._i) for r in common.repeated(df, "n", 30).collect())
+    assert got == [(1, i) for i in range(30)] + [(3, 0)] + [(4, i) for i in range(7)]
+
+
+def test_mix_with_another_cap(spark):
+    """With no need to tilt, every rate is 1 whatever the cap."""
+    from lathe.llm.mixing import mix
+
+    df = spark.createDataFrame([(i, "a b c " * (i % 5 + 1), "s") for i in range(50)], "doc_id long, text string, source string")
+    got = mix(df, share=1.0, most=3.0).collect()
+    assert all(math.isclose(r.rate, 1.0, rel_tol=1e-9) and r.copies == 1 for r in got)
+
+
 # ---- 5
 
 
@@ -333,6 +406,24 @@ def test_secret_behind_much_compressed_text():
         assert ("assign", 4, len(text)) in find_secrets(text)[1]
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    "])
+def test_secret_in_base64_over_lines(end):
+    from lathe.llm.secrets import find_secrets
+
+    for plain in (b"some words before it, then password=hunter2hunter2 and some words after it", gzip.compress(b"filler words " * 20 + b" password=hunter2hunter2 " + hashlib.sha256(b"x").hexdigest().encode())):
+        body = base64.b64encode(plain).decode()
+        wrapped = end.join(body[i : i + 24] for i in range(0, len(body), 24))
+        found = [x for x in find_secrets(f"é\n{wrapped}\nrest")[1] if x[0] == "assign"]
+        assert len(found) == 1 and 2 <= found[0][1] < found[0][2] <= 2 + len(wrapped)
+
+
+def test_secret_in_compressed_text_behind_other_text():
+    from lathe.llm.secrets import find_secrets
+
+    text = "é before x^2 " + zlib.compress(b"password=hunter2hunter2 " * 3).decode("latin-1")
+    assert [x for x in find_secrets(text)[1] if x[0] == "assign"] == [("assign", 13, len(text))]
+
+
 def test_wrapped_secret_twice_and_cycles():
     from lathe.llm.secrets import find_secrets
 
@@ -351,7 +442,7 @@ def shingles(t):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
 
 
-def brute_near(texts):
+def brute_near(texts, percent=85):
     sets = {k: shingles(t) for k, t in texts}
     root = {k: k for k in sets}
 
@@ -362,9 +453,9 @@ def brute_near(texts):
 
     for a, b in combinations(sorted(sets), 2):
         x, y = sets[a], sets[b]
-        if x and y and min(len(x), len(y)) * 100 >= 85 * max(len(x), len(y)):
+        if x and y and min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)):
             i = len(x & y)
-            if 100 * i >= 85 * (len(x) + len(y) - i):
+            if 100 * i >= percent * (len(x) + len(y) - i):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     return {k: (len(s), find(k), find(k) == k) for k, s in sets.items()}
@@ -391,7 +482,8 @@ def test_near_duplicates_of_a_family(spark):
     from lathe.llm.dedup import near_duplicates
 
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    assert {r.doc_id: tuple(r)[1:] for r in near_duplicates(df).collect()} == brute_near(texts)
+    for percent in (80, 85):
+        assert {r.doc_id: tuple(r)[1:] for r in near_duplicates(df, percent=percent).collect()} == brute_near(texts, percent)
 
 
 def test_near_duplicates_across_a_large_bucket(spark):
@@ -413,7 +505,45 @@ def test_near_duplicates_across_a_large_bucket(spark):
     want = brute_near(texts)
     assert want[101][1] == want[100][1] == 100
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    assert {r.doc_id: tuple(r)[1:] for r in near_duplicates(df).collect()} == want
+    assert {r.doc_id: tuple(r)[1:] for r in near_duplicates(df, percent=85).collect()} == want
+
+
+def test_near_duplicates_of_a_chain(spark):
+    """Links only between neighbours in a long row of documents, and the bands that thresholds ask for."""
+    from lathe.llm.dedup import banding, components
+
+    n = 300
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1000), (5000, 4000)], "a long, b long")
+    assert {r.k: r.comp for r in components(edges).collect()} == {i: 0 for i in range(n + 1)} | {5000: 4000, 4000: 4000}
+    for percent in (70, 80, 85, 95):
+        bands, rows = banding(percent)
+        assert bands * rows <= 128 and (1 - (percent / 100) ** rows) ** bands <= 1e-6
+
+
+def test_near_duplicates_are_bounded_by_class(spark):
+    """Members of a large bucket that only share a passage, with near copies of some."""
+    from lathe.llm.dedup import near_duplicates
+
+    passage = [f"p{i}" for i in range(300)]
+    texts = []
+    for j in range(40):
+        own = [f"o{j}_{i}" for i in range(j * 4)]
+        texts.append((j, " ".join(passage + own)))
+        if j % 3 == 0:
+            texts.append((100 + j, " ".join(passage[: 290 - j] + own + ["end"])))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for percent in (80, 85):
+        assert {r.doc_id: tuple(r)[1:] for r in near_duplicates(df, percent=percent).collect()} == brute_near(texts, percent)
+
+
+def test_one_of_each_component_is_kept(spark, odd):
+    from lathe.llm.dedup import keep_one
+
+    got = keep_one(odd).collect()
+    assert keep_one(odd).columns == odd.columns
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4, 5, 7, 8, 9]
+    both = odd.where("doc_id = 9").withColumn("text", F.lit("other words")).unionByName(odd.where("doc_id = 9"))
+    assert keep_one(both).count() == 2 and keep_one(odd.limit(0)).count() == 0
 
 
 def test_near_duplicates_of_odd_rows(spark, odd):
@@ -454,6 +584,8 @@ def test_licenses(spark, docs, odd, tmp_path):
     got = rows(scan_licenses(spark.createDataFrame(given, "doc_id long, text string")), "doc_id")
     assert (got[1].n_base, got[1].base_labels) == (4, "apache,gpl,mit")
     assert got[2].labels == "cc-by" and got[2].blocks[0].line == 0
+    nc = scan_licenses(spark.createDataFrame([(1, "licensed under cc by nc 4 0")], "doc_id long, text string")).first()
+    assert nc.labels == "cc-by-nc" and {(b.label, b.inner) for b in nc.blocks} == {("cc-by", True), ("cc-by-nc", False)}
 
 
 def test_wrapped_licenses(spark):
@@ -506,6 +638,38 @@ def test_language_spans(spark):
     assert [s.split(":")[0] for s in identify(mixed, model).first().spans.split(",")] == ["en", "de"]
 
 
+def test_word_scores(spark):
+    """Against plain counts of byte n-grams by slot."""
+    import numpy as np
+
+    from lathe.llm.language import BITS, SLOTS, train, word_scores
+
+    texts = [("en", "the cat and the hat"), ("de", "die Katze und der Hut"), ("ru", "кошка и шляпа"), ("en", None), (None, "x y")]
+    model = train(spark.createDataFrame(texts, "lang string, text string"))
+    mask = (1 << 64) - 1
+
+    def slots(word):
+        raw = b" " + word.lower().encode() + b" "
+        for n in (2, 3, 4):
+            for i in range(len(raw) - n + 1):
+                g = 0
+                for c in raw[i : i + n]:
+                    g = (g * 257 + c + 1) & mask
+                yield ((((g * 0x9E3779B97F4A7C15) & mask) + n) * 0xD6E8FEB86659FD93 & mask) >> (64 - BITS)
+
+    assert model["langs"] == ["de", "en", "ru"]
+    counts = {l: Counter(s for w in t.split() for s in slots(w)) for l, t in texts if l and t}
+    log = {l: lambda s, c=c: math.log((c[s] + 0.5) / (sum(c.values()) + 0.5 * SLOTS)) for l, c in counts.items()}
+    words = ["cat", "hut", "und"]
+    got = word_scores([w.encode() for w in words], model)
+    for i, w in enumerate(words):
+        raw = {l: sum(log[l](s) for s in slots(w)) for l in counts}
+        mean = sum(raw.values()) / len(raw)
+        for k, l in enumerate(model["langs"]):
+            assert got[i, k] == -1e6 if l == "ru" else math.isclose(got[i, k], raw[l] - mean, rel_tol=1e-4, abs_tol=1e-3)
+    assert np.argmax(word_scores(["шляпа".encode()], model)[0]) == 2
+
+
 def test_viterbi_is_exact():
     import numpy as np
 
@@ -562,6 +726,33 @@ def test_next_over_many_blocks(spark, monkeypatch):
     assert got == {a: f"text {b}" for a, b in zip(order, order[1:] + order[:1])}
 
 
+def test_next_of_repeated_keys(spark):
+    """All rows of a key, however many, are followed by the next key's largest text."""
+    from lathe.llm.syncmers import with_next
+
+    given = [(5, "a"), (4, "b"), (4, "c"), (4, "c"), (3, "d"), (None, "e"), (None, "f")]
+    df = spark.createDataFrame(given, "k long, t string")
+    got = sorted((r.k is None, r.k, r.own.x, r.after.x) for r in with_next(df, "k", lambda t: F.struct(t.alias("x"))).collect())
+    assert got == [(False, 3, "d", "f"), (False, 4, "b", "d"), (False, 4, "c", "d"), (False, 4, "c", "d"), (False, 5, "a", "c"), (True, None, "e", "a"), (True, None, "f", "a")]
+
+
+def test_likeness(spark, docs):
+    """Against sets of the anchors that the query shows."""
+    got = Q.op9_fingerprint(spark, SF).collect()
+    by = {r.doc_id: r for r in got}
+    order = sorted(by, reverse=True)
+
+    def dice(a, b):
+        x, y = set(a.split()), set(b.split())
+        return 1.0 if not x and not y else 2 * len(x & y) / (len(x) + len(y))
+
+    for k, after in zip(order, order[1:] + order[:1]):
+        r = by[k]
+        # shown are 32 of 64 bits, which may make two anchors one
+        assert math.isclose(r.near_edited, dice(r.fingerprint, r.edited_fingerprint), abs_tol=0.01)
+        assert math.isclose(r.near_next, dice(r.fingerprint, by[after].fingerprint), abs_tol=0.01)
+
+
 def test_closed_syncmers(spark):
     """Against the definition, with the engine's own hash of the inner substrings."""
     from lathe.llm.syncmers import K, S, syncmers
@@ -611,7 +802,7 @@ def test_pii_names_formats_and_odd_rows(spark, odd):
         (1, "Mr John Smith met Mrs. Mary Smith and Mr Smith."), (2, "Call (487) 555-7209 or 487-555-7209, SSN 123-45-6789"), (3, "Господин Иван Петров and Frau Erika Mustermann"),
         (4, "4111 1111 1111 1111 and 4111111111111111 not 4111111111111112"), (5, "a@b.co A@B.CO"),
     ]
-    got = rows(replace_pii(spark.createDataFrame(given, "doc_id long, text string")), "doc_id")
+    got = rows(replace_pii(spark.createDataFrame(given, "doc_id long, text string"), "a key"), "doc_id")
     one = re.fullmatch(r"Mr (\w+) (\w+) met Mrs\. (\w+) (\w+) and Mr (\w+)\.", got[1].text)
     assert one and one[2] == one[4] == one[5] != "Smith" and "John" not in got[1].text
     two = re.fullmatch(r"Call \((\d{3})\) (\d{3})-(\d{4}) or (\d{3})-(\d{3})-(\d{4}), SSN \d{3}-\d{2}-\d{4}", got[2].text)
@@ -622,9 +813,11 @@ def test_pii_names_formats_and_odd_rows(spark, odd):
     x, y = got[5].text.split()
     assert x == y != "a@b.co"
     assert [got[i].n_entities for i in range(1, 6)] == [3, 3, 2, 2, 2]
-    same = replace_pii(odd)
+    same = replace_pii(odd, "a key")
     assert sorted(same.columns) == sorted(odd.columns) and same.count() == odd.count()
-    assert replace_pii(odd.limit(0)).count() == 0
+    assert replace_pii(odd.limit(0), "a key").count() == 0
+    plain = replace_pii(odd, "a key", count=None)
+    assert plain.columns == odd.columns and {r.n_entities for r in plain.collect()} == {"x"}
 
 
 def test_pii_collisions_are_drawn_again(spark):
@@ -638,6 +831,58 @@ def test_pii_collisions_are_drawn_again(spark):
     assert not {(r.type, r.sur.lower()) for r in got} & set(ents)
 
 
+def test_pii_mapping(spark, docs):
+    """The whole mapping of addresses and phones against plain HMAC draws, round by round."""
+    import hmac
+
+    from lathe.llm.pii import surrogates
+
+    def draw(key, kind, canon, attempt):
+        h = hmac.new(key, f"{kind}|{canon}|{attempt}".encode(), "sha512").hexdigest()
+        byte = lambda i: int(h[2 * i % 126 : 2 * i % 126 + 2], 16)
+        if kind == "phone":
+            at = len(canon) - 10
+            return "".join(c if i < at else str(2 + byte(i) % 8) if i == at else str(byte(i) % 10) for i, c in enumerate(canon))
+        last = len(canon) - len(canon.rsplit(".", 1)[1])
+        body = "".join(c if i >= last else str(byte(i) % 10) if c.isdigit() else chr(97 + byte(i) % 26) if "a" <= c <= "z" else c for i, c in enumerate(canon))
+        return (h[:attempt] if attempt >= 4 else "") + body
+
+    def mapping(key, entities):
+        open_, kept, attempt = set(entities), {}, 0
+        while open_:
+            wish = {}
+            for e in open_:
+                wish.setdefault((e[0], draw(key, *e, attempt)), []).append(e)
+            free = {min(es): s for (t, s), es in wish.items() if (t, s.lower()) not in entities and (t, s) not in {(e[0], v) for e, v in kept.items()}}
+            kept |= free
+            open_, attempt = open_ - set(free), attempt + 1
+        return kept
+
+    found = {("email", m.lower()) for r in docs.values() for m in re.findall(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", r.text)}
+    found |= {("email", f"{a}@{b}.co") for a in "abcdefgh" for b in "abcdefgh"} | {("phone", f"1{i:010d}") for i in range(0, 10**9, 10**7)}
+    got = surrogates(spark.createDataFrame(sorted(found), "type string, canon string"), "a key").collect()
+    assert {(r.type, r.canon): r.sur for r in got} == mapping(b"a key", found)
+
+
+def test_pii_of_a_full_format_ends(spark):
+    """All short numbers of one format are entities, so none is free in it."""
+    from lathe.llm.pii import replace_pii, surrogates
+
+    ents = [("phone", f"{i:05d}") for i in range(100_000)]
+    got = surrogates(spark.createDataFrame(ents, "type string, canon string"), "k").collect()
+    assert len({r.sur for r in got}) == 100_000 and not {r.sur for r in got} & {c for _, c in ents}
+    text = " ".join(f"+{i // 10000 + 1} {i // 100 % 100:02d} {i % 100:02d}," for i in range(0, 900))
+    new = replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert new.n_entities == 900 and len(set(new.text.split(","))) == len(set(text.split(",")))
+
+
+def test_pii_key_is_in_no_plan(spark):
+    from lathe.llm.pii import proposed
+
+    plan = proposed(spark.createDataFrame([("ssn", "123456789", 0)], "type string, canon string, attempt int"), "a very secret key")._jdf.queryExecution().toString()
+    assert "a very secret" not in plan and "57 16 40" not in plan and "5716" not in plan
+
+
 # ---- 2
 
 
@@ -697,6 +942,47 @@ def test_quality(spark, docs, odd):
     assert {r.perplexity for r in classify(odd, odd.limit(0)).collect()} == {None}
 
 
+def test_quality_of_outlying_and_hot_keys(spark, docs, monkeypatch):
+    """One key far off, one key on a third of the rows, and one text on many: the same numbers, in bounded blocks."""
+    from lathe.llm import quality
+    from lathe.llm.common import key_stats
+
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1")
+    want = {r.doc_id: r.perplexity for r in quality.classify(table, labels).collect()}
+    odd = table.where("doc_id < 100").withColumn("doc_id", F.lit(10**15)).unionByName(table.where("doc_id = 3").withColumn("doc_id", F.lit(5 * 10**15)))
+    copies = spark.range(100).select((F.col("id") + 10**9).alias("doc_id")).crossJoin(table.where("doc_id = 7").select("lang", "text"))
+    every = table.unionByName(odd).unionByName(copies)
+    monkeypatch.setattr(quality, "BLOCK", 20)
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 50_000)
+    got = quality.classify(every, labels).collect()
+    assert len(got) == every.count()
+    score = {}
+    for r in got:
+        score.setdefault(r.doc_id, set()).add(r.perplexity)
+    assert all(score[k] == {want[k]} for k in want)
+    assert score[10**15] == {want[r.doc_id] for r in docs.values() if r.doc_id < 100} and score[5 * 10**15] == {want[3]} and {x for k in range(100) for x in score[10**9 + k]} == {want[7]}
+    named = every.select(F.col("doc_id").alias("k"), "lang", F.col("text").alias("t"), F.xxhash64("lang", "text").alias("id")).where("t != ''")
+    stats = named.agg(*key_stats()).first()
+    sizes = [r["b"] for r in quality._blocked(named, stats).groupBy("block").agg(F.sum(F.octet_length("t")).alias("b")).collect()]
+    assert len(sizes) > 8 and sorted(sizes)[-2] <= 4 * 50_000
+
+
+def test_answers_in_any_alphabet():
+    import numpy as np
+
+    from lathe.llm.quality import Answers, gram_codes
+
+    text = "".join(chr(0x4E00 + i * 7 % 9000) for i in range(3000)) + "abcab" * 20
+    names = gram_codes([text], places=False)[0]
+    logs = np.arange(len(names), dtype=float)
+    mixed = np.random.default_rng(1).permutation(len(names))
+    known = Answers(np.ascontiguousarray(names[mixed]).view(np.uint32).reshape(-1, 5), logs[mixed])
+    assert (known(names) == logs).all()
+    with pytest.raises(KeyError):
+        known(np.array(["zzzzz"]))
+
+
 def test_quality_tells_junk(spark):
     where = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{where}/labels.parquet").collect()}

@@ -7,7 +7,7 @@ from collections import Counter
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from .test_operators import SF, brute_contamination, brute_near, water
+from .test_operators import SF, brute_contamination, brute_near, odd, water  # noqa: F401
 
 
 def test_stages(spark, tmp_path):
@@ -22,7 +22,7 @@ def test_stages(spark, tmp_path):
     before, after = kept["language_id"]
     assert {r.doc_id for r in before.collect()} - {r.doc_id for r in after.collect()} == {10**9}
     before, after = kept["near_dedup"]
-    want = brute_near([(r.doc_id, r.text) for r in before.collect()])
+    want = brute_near([(r.doc_id, r.text) for r in before.collect()], 80)
     assert sorted(r.doc_id for r in after.collect()) == sorted(k for k, v in want.items() if v[2])
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     before, after = kept["decontaminate"]
@@ -53,3 +53,28 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_on_odd_rows(spark, odd, tmp_path):
+    """Nulls, empty texts, repeated rows and clashing names: every stage keeps the columns and can be written."""
+    bench = spark.createDataFrame([(1, "three FOUR five")], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = odd.withColumn("_rows", F.lit(1)).withColumn("copies", F.lit("c"))
+    want = {"language_id": None, "near_dedup": 8, "decontaminate": odd.count(), "pii": odd.count(), "source_mix": None}
+    for name, stage in corpus_pipeline.STAGES:
+        for given, rows in ((odd, want[name]), (odd.limit(0), 0)):
+            out = stage(spark, given, str(tmp_path))
+            path = f"{tmp_path}/{name}-{rows}"
+            out.write.parquet(path)
+            assert sorted(out.columns) == sorted(odd.columns)
+            assert rows is None or spark.read.parquet(path).count() == rows
+            if name != "source_mix":
+                assert out.columns == odd.columns
+
+
+def test_mix_stage_keeps_rows(spark):
+    """Ids that have two texts each stay as many rows as they were, each with its own text."""
+    texts = [(k, f"{w} " * 30, "s") for k in (1, 2) for w in ("a", "b")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.source_mix(spark, docs, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) <= {(k, t) for k, t, _ in texts}
