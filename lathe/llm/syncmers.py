@@ -29,8 +29,10 @@ def syncmers(text: Column, k: int = K, s: int = S) -> Column:
 
     def pick(h: Column) -> Column:
         def chosen(g: Column) -> Column:
-            smallest = lambda i: F.array_min(F.slice(g, i, F.lit(inner)))
-            at = F.filter(F.sequence(F.lit(1), F.size(h) - (k - 1)), lambda i: smallest(i).isin(F.get(g, i - 1), F.get(g, i + (inner - 2))))
+            # the smallest is at an end: no inner one is smaller than both ends
+            ends = lambda i: F.least(F.get(g, i - 1), F.get(g, i + (inner - 2)))
+            between = lambda i: F.least(F.lit(2**63 - 1), *[F.get(g, i + (j - 1)) for j in range(1, inner - 1)])
+            at = F.filter(F.sequence(F.lit(1), F.size(h) - (k - 1)), lambda i: ends(i) <= between(i))
             return F.transform(at, lambda i: F.xxhash64(F.slice(h, i, F.lit(k))))
 
         grams = F.transform(F.sequence(F.lit(1), F.size(h) - (s - 1)), lambda i: F.xxhash64(F.slice(h, i, F.lit(s))))
