@@ -6,17 +6,15 @@ of documents; the last adds ``copies``, how often the mix takes a document.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm.common import shared_folder, table
+from lathe.llm.common import Scratch, table
 from lathe.llm.decontaminate import remove_contamination
-from lathe.llm.dedup import near_duplicates
+from lathe.llm.dedup import keep_one
 from lathe.llm.language import held_out, keep_identified, train
-from lathe.llm.mixing import mix
-from lathe.llm.pii import replace_pii
+from lathe.llm.mixing import take
+from lathe.llm.pii import pii_key, replace_pii
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -25,32 +23,51 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language for half of their letters go."""
+    """Documents without a language for half of their letters go.
+
+    Null and empty texts and texts without a letter have none and go.  A null doc_id or lang
+    is no obstacle; repeated rows repeat; all columns stay; an empty table stays empty.
+    """
     return keep_identified(docs, train(docs.where(~held_out(F.col("doc_id")))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that with the smallest doc_id; repeated rows count as one."""
-    found = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
-    left = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
-    once, again = left.where("_rows = 1").drop("_rows"), left.where("_rows > 1").drop("_rows")
-    return once if found.where("_rows > 1").isEmpty() else once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    """One document of each component of near copies stays, that with the smallest doc_id.
+
+    Null, empty and blank texts are near nothing and stay; a row with a null doc_id goes if its
+    text has a copy with one.  Rows with equal doc_id and text are one document, of
+    which one row stays; rows with one doc_id and different texts stay or go together.
+    All columns stay; an empty table stays empty.
+    """
+    return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents that are mostly benchmark go."""
+    """Benchmark passages are cut out; documents that are mostly benchmark go.
+
+    Null and empty texts and texts without hits pass unchanged, as does every text if the
+    benchmark is empty; repeated rows repeat; all columns stay, with n_chars of the new text.
+    """
     return _measured(remove_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become surrogates."""
-    return _measured(replace_pii(docs).drop("n_entities"))
+    """Personal data become surrogates, the same for an entity in all documents.
+
+    Null and empty texts pass unchanged; repeated rows repeat; all columns stay, one named n_entities
+    too, with n_chars of the new text; an empty table stays empty.
+    """
+    return _measured(replace_pii(docs, pii_key(spark), count=None))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with their copies."""
-    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies").distinct()
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    """Documents that the mix takes, with how often in ``copies``, which replaces a column of that name.
+
+    Null and empty texts have no words and are not taken; a null source is a source; ties are
+    broken by a hash of doc_id and text.  Repeated rows (in doc_id, source and text) are
+    documents of their own; an empty table stays empty.
+    """
+    return take(docs)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", pii), ("source_mix", source_mix)]
@@ -60,10 +77,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, with Parquet in the shared folder between them."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    """All stages over documents, with Parquet in the shared folder between them; a stage's input goes once the stage is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        done = Scratch(spark)
+        docs = done(stage(spark, docs, sf_dir))
+        if before:
+            before.clear()
+        before = done
     return docs
