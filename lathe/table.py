@@ -150,7 +150,7 @@ class Table:
     def __eq__(self, other: object) -> bool:
         """The same names and rows; also against a dictionary of columns."""
         if isinstance(other, Mapping):
-            return self.columns == list(other) and self.to_dict() == {k: list(v) for k, v in other.items()}
+            return set(self.columns) == set(other) and self.to_dict() == {k: list(v) for k, v in other.items()}
         return isinstance(other, Table) and (self is other or self.equals(other))
 
     __hash__ = None
@@ -173,6 +173,10 @@ class Table:
     def with_column(self, name: str, value: Column | Callable[[Table], Column]) -> Table:
         return self._new(self.df.withColumn(name, value(self) if callable(value) else value))
 
+    def apply(self, function: Callable, schema: str) -> Table:
+        """The rows through a function from an iterator of pandas frames to an iterator of such, of the given schema: for what no operator does."""
+        return Table(self.df.select(*[f"`{c}`" for c in self.columns]).mapInPandas(function, schema))
+
     def add_column(self, name: str, data: Sequence) -> Table:
         """A column of values in row order; nulls where they run out."""
         if name in self.columns:

@@ -637,7 +637,12 @@ def test_equality_and_size(make):
     a = make(x=[1, 2, None], y=["a", "bc", None])
     assert a == make(x=[1, 2, None], y=["a", "bc", None]) and a == {"x": [1, 2, None], "y": ["a", "bc", None]}
     assert a != make(x=[1, 2, 3], y=["a", "bc", None]) and a != {"x": [1]} and a != 3
-    assert a.nbytes() == 2 * 8 + 3
+    assert a == {"y": ["a", "bc", None], "x": [1, 2, None]} and a.nbytes() == 2 * 8 + 3
+
+
+def test_functions_of_frames(make):
+    doubled = make(a=[1, 2], b=["x", "y"]).apply(lambda frames: (f.assign(a=f["a"] * 2) for f in frames), "a bigint, b string")
+    assert sorted(map(tuple, doubled.df.collect())) == [(2, "x"), (4, "y")]
 
 
 class Rows:
