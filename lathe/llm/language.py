@@ -24,6 +24,8 @@ SCRIPTS = 16
 SWITCH = 6.0
 #: A language is a candidate for a script if at least this share of its words have it.
 SCRIPT_SHARE = 0.01
+#: Characters that are labelled at once.
+CHUNK = 2_000_000
 LETTER = re.compile(r"[^\W\d_]")
 _MARKS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -197,6 +199,17 @@ def _labeller(model: dict, penalty: float):
     langs = model["langs"]
 
     def label(texts: list[str | None]) -> list[tuple[str, float, str]]:
+        """In pieces of about CHUNK characters; a longer text is a piece of its own."""
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t or "")
+            if size >= CHUNK:
+                out += piece(part)
+                part, size = [], 0
+        return out + piece(part)
+
+    def piece(texts: list[str | None]) -> list[tuple[str, float, str]]:
         number: dict[bytes, int] = {}
         split = [split_words(t) if t and LETTER.search(t) and langs else [] for t in texts]
         ids = np.fromiter((number.setdefault(w, len(number)) for words in split for w in words), np.int64)
