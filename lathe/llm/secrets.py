@@ -54,6 +54,7 @@ Layer = tuple[str, Sequence[int], Sequence[int]]
 WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
 #: Where a compressed stream may begin in a text of single bytes, and how far such a text goes.
 PACKED = re.compile(r"\x1f\x8b\x08|BZh[1-9]1AY&SY|x[\x01\x5e\x9c\xda]|\xfd7zXZ\x00")
+SIGNS = ("\x1f\x8b\x08", "BZh", "x\x01", "x\x5e", "x\x9c", "x\xda", "\xfd7zXZ")
 BYTES = re.compile(r"[\x00-\xff]*")
 
 
@@ -222,11 +223,15 @@ def unwrap(layer: Layer) -> Iterator[Layer | Iterator[Layer]]:
                     for m in (line, *WORDS.finditer(text, *line.span())):
                         if sign in m.group() and (inner := _pieces(layer, m, one, decode)):
                             yield inner
+    wrapped = 0
     for m in BASE64.finditer(text):
         yield from _base64_layers(layer, range(m.start(), m.end()))
-    if "\n" in text:
-        for m in WRAPPED.finditer(text):
-            yield from _base64_layers(layer, [i for i in range(m.start(), m.end()) if text[i] not in "\r\n \t"])
+        # a run that ends with its line may go on in the next one
+        if m.start() >= wrapped and text[m.end() : m.end() + 1] in ("\n", "\r") and (more := WRAPPED.match(text, m.start())):
+            wrapped = more.end()
+            yield from _base64_layers(layer, [i for i in range(m.start(), wrapped) if text[i] not in "\r\n \t"])
+    if not any(sign in text for sign in SIGNS):
+        return
     for m in PACKED.finditer(text):
         end = BYTES.match(text, m.start()).end()
         steps = (text[i : min(i + STEP, end)].encode("latin-1") for i in range(m.start(), end, STEP))
