@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lathe.scratch import Scratch as Scratch
+from lathe.scratch import spool as spool
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -49,53 +48,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share.  Where it is unset, one is made in local mode alone; a cluster has to name one."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def _located(spark: SparkSession, folder: str):
-    """File system and path of a folder, in any store."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-class Scratch:
-    """Parquet tables of one piece of work, in the shared folder.
-
-    A call writes a frame and gives it back as read from there, so that later jobs neither
-    recompute its plan nor lose it with an executor.  ``clear`` removes the tables once
-    nothing reads them; what is never cleared goes when the session ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
-        system, path = _located(spark, self.folder)
-        system.mkdirs(path)
-        system.deleteOnExit(path)
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        path, self.n = f"{self.folder}/{self.n}", self.n + 1
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def clear(self) -> None:
-        system, path = _located(self.spark, self.folder)
-        system.delete(path, True)
-
-
-def spool(df: DataFrame) -> DataFrame:
-    """A frame as a Parquet table in the shared folder, which goes when the session ends: for results and for what is read to the end."""
-    return Scratch(df.sparkSession)(df)
-
-
 def grid_quantile(df: DataFrame, by: list[str], value: Column, shares: dict[str, float], step: float) -> DataFrame:
     """By group and name, the place floor(value / step) that holds the share: the smallest with at least that share of the group's rows at or under it.
 

@@ -129,10 +129,11 @@ def sliced(df: DataFrame, rows: slice, order: Sequence[str]) -> DataFrame:
 
 
 def reindex(df: DataFrame, positions: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Rows by ordinal in the order of ``positions`` (ord, pos); -1 gives a row of nulls, and a position may repeat."""
+    """Rows by ordinal in the order of ``positions`` (ord, pos), which POS then holds; -1 gives a row of nulls, and a position may repeat."""
     columns = [c for c in df.columns if not c.startswith("__")]
-    numbered = position.with_ordinals(df, order)
-    return positions.join(numbered, positions["pos"] == F.col(position.ORDINAL), "left").orderBy("ord").select(*[f"`{c}`" for c in columns])
+    asked = positions.select(F.col("ord").alias(position.POS), F.col("pos").alias("__at"))
+    numbered = position.with_ordinals(df, order).select(*[f"`{c}`" for c in columns], position.ORDINAL)
+    return asked.join(numbered, F.col("__at") == F.col(position.ORDINAL), "left").orderBy(position.POS).select(*[f"`{c}`" for c in columns], position.POS)
 
 
 def updated(df: DataFrame, column: str, rows: slice | int, value: object, order: Sequence[str]) -> DataFrame:

@@ -16,11 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lathe.scratch import spool
+
 POS = "__pos"
 RANGE = "__range"
 ORDINAL = "__ordinal"
 #: Rows that a range holds on average, most ranges, keys sampled per range.
 RANGE_ROWS, MAX_RANGES, PER_RANGE = 200_000, 4_000, 8
+#: Plan nodes that leave rows in the partition and order in which their input has them, in every job.
+IN_PLACE = {"LogicalRelation", "LocalRelation", "LogicalRDD", "Range", "OneRowRelation", "Project", "Filter", "SubqueryAlias", "View", "ResolvedHint", "Union", "Generate", "Expand", "MapInPandas", "MapInArrow"}
 
 
 def ensure(df: DataFrame, order: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
@@ -32,6 +36,34 @@ def ensure(df: DataFrame, order: Sequence[str] | None) -> tuple[DataFrame, list[
     return df.withColumn(POS, F.monotonically_increasing_id()), [POS]
 
 
+def _loose(node) -> bool:
+    """Whether a plan makes ids from partitions over rows that are dealt to them anew by every job."""
+    children, made = node.children(), node.expressions()
+    below = [children.apply(i) for i in range(children.size())]
+    if any(not made.apply(i).deterministic() for i in range(made.size())) and any(map(_dealt, below)):
+        return True
+    return any(map(_loose, below))
+
+
+def _dealt(node) -> bool:
+    children = node.children()
+    return node.nodeName() not in IN_PLACE or any(_dealt(children.apply(i)) for i in range(children.size()))
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """The frame, for what reads it in several branches or jobs.
+
+    A scan id over a sort, join or other shuffle is another one in each of them, as bounds are sampled
+    and partitions merged by what a branch reads; such a frame is written once and read from there.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.deterministic() or not _loose(plan):
+        return df
+    void = [c for c, t in df.dtypes if t == "void"]  # no column of a file
+    kept = spool(df.drop(*void))
+    return kept.select(*[F.lit(None).alias(c) if c in void else F.col(f"`{c}`") for c in df.columns]) if void else kept
+
+
 def key_of(order: Sequence[str]) -> Column:
     """One comparable value of the order keys."""
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
@@ -68,7 +100,8 @@ def with_range(df: DataFrame, order: Sequence[str], bounds: list[Column]) -> Dat
 def with_ordinals(df: DataFrame, order: Sequence[str], ranges: int | None = None, weight: Column | None = None) -> DataFrame:
     """The frame with ORDINAL: 0, 1, 2, … in order, or the sum of the whole weights before the row."""
     bounds = range_bounds(df, order, ranges)
-    ranged = with_range(df, order, bounds)
+    # sizes and rows are two branches
+    ranged = with_range(steady(df) if bounds else df, order, bounds)
     within = W.partitionBy(RANGE).orderBy(*order)
     if weight is None:
         own = F.row_number().over(within).cast("bigint") - 1
@@ -89,7 +122,7 @@ def carry(df: DataFrame, order: Sequence[str], values: dict[str, Column], ranges
         upto = W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumns({n: F.last(v, ignorenulls=True).over(upto) for n, v in values.items()})
     bounds = range_bounds(df, order, ranges)
-    ranged = with_range(df, order, bounds)
+    ranged = with_range(steady(df) if bounds else df, order, bounds)
     upto = W.partitionBy(RANGE).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = ranged.withColumns({f"__c{i}": F.last(v, ignorenulls=True).over(upto) for i, v in enumerate(values.values())})
     if not bounds:

@@ -154,7 +154,7 @@ def _(t):
 def _(t):
     n = t.orders.df.count()
     wanted = t.spark.range(n).select(F.col("id").alias("ord"), (n - 1 - F.col("id")).alias("pos"))
-    turned = t.orders["o_orderkey", "o_totalprice"].get_by_indices(wanted).df.withColumn(position.POS, F.monotonically_increasing_id())
+    turned = t.orders["o_orderkey", "o_totalprice"].get_by_indices(wanted).df
     return position.with_ordinals(turned, [position.POS]).select(F.col(position.ORDINAL).alias("place"), "o_orderkey", "o_totalprice")
 
 

@@ -780,6 +780,52 @@ def test_theta_lookup_without_broadcast(make, monkeypatch):
     assert left.lookup(right, ("a", "<", "c"), ("b", "<", "d"), all=False).rows() == want
 
 
+def test_gathered_rows_keep_their_places(spark, monkeypatch):
+    """A gathered or sorted table over many ranges, read once for its sizes and once for its rows."""
+    monkeypatch.setattr(position, "RANGE_ROWS", 2_000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        n = 20_000
+        rows = spark.range(n).select(F.col("id").alias("k"), (F.col("id") * 7919 % n).alias("v"), F.col("id").cast("string").alias("ord")).repartition(7)
+        wanted = spark.range(n).select(F.col("id").alias("ord"), (n - 1 - F.col("id")).alias("pos"))
+        turned = Table(rows, ["k"]).get_by_indices(wanted)
+        assert turned.columns == ["k", "v", "ord"]
+        for table, key, want in ((turned, "k", lambda p: n - 1 - p), (Table(rows, ["k"]).sort({"v": False}), "v", lambda p: p), (Table(rows, ["k"]).sort({"v": True}), "v", lambda p: n - 1 - p)):
+            places = position.with_ordinals(table.df, [position.POS]).select(position.ORDINAL, key, "ord").collect()  # sizes need no ord
+            assert sorted(r[0] for r in places) == list(range(n))
+            assert all(r[1] == want(r[0]) for r in places)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_reindex_over_many_ranges(spark, monkeypatch):
+    from lathe.plans.catalogue import QUERIES
+
+    monkeypatch.setattr(position, "RANGE_ROWS", 1_000)
+    keys = [r.o_orderkey for r in spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey").collect()]
+    # joined and dealt as large tables are
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        places = QUERIES["reindex"](spark, "/root/testdata/sf0.01").select("place", "o_orderkey").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, places)) == list(enumerate(sorted(keys, reverse=True)))
+
+
+def test_steady_frames(spark):
+    """Only ids over rows that are dealt are written, columns without a type among them."""
+    scan = spark.range(9).withColumn(position.POS, F.monotonically_increasing_id())
+    assert position.steady(scan) is scan
+    assert position.steady(dealt := scan.orderBy("id")) is dealt
+    loose = spark.range(9).orderBy(F.col("id").desc()).select("id", F.lit(None).alias("none"), F.monotonically_increasing_id().alias(position.POS))
+    kept = position.steady(loose)
+    assert kept.dtypes == loose.dtypes
+    assert [r.id for r in kept.orderBy(position.POS).collect()] == list(range(8, -1, -1))
+    assert position.steady(kept) is kept
+
+
 def test_nearest_neighbour_by_one_rank(make, monkeypatch):
     """Against loops over all donors, in many ranges."""
     from lathe.operators import position
