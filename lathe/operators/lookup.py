@@ -47,8 +47,9 @@ def lookup(left: DataFrame, right: DataFrame, *criteria: tuple, all: bool = True
 
     Equality alone reduces the right side to its first row per key; equality with one
     range, or one range alone, takes a running minimum over the sorted range column;
-    equality with more conditions is an equi-join with a residue.  Only what has no
-    equality and is no single range compares distinct left values with the right side.
+    equality with more conditions is an equi-join with a residue.  Any of several is the
+    least position of each alone.  Only what has no equality and is no single range, and
+    a test alone that is neither, compares distinct left values with the right side.
     """
     right, order = position.ensure(right, right_order)
     visible = [c for c in right.columns if not c.startswith("__")]
@@ -75,20 +76,31 @@ def lookup(left: DataFrame, right: DataFrame, *criteria: tuple, all: bool = True
         keys = {i[3]: f"__q{n}" for n, i in enumerate(equal)}
         first = right.groupBy(*[F.col(f"`{c}`").alias(n) for c, n in keys.items()]).agg(F.min_by(row, pos).alias("__row"))
         return finish(left.join(first, P.conjunction([F.col(f"`{i[0]}`").eqNullSafe(F.col(keys[i[3]])) for i in equal]), "left"))
-    ranges = [i for i in rest if i[2] in FLIP and i[0] and i[3]]
-    if all and len(rest) == 1 and ranges and len({i[0] for i in items}) == len(items) and P.kind_of(left.schema[ranges[0][0]].dataType) == P.kind_of(right.schema[ranges[0][3]].dataType):
-        return back(_running(left, right, equal, ranges[0], order, row), [i[0] for i in items])
+    right = position.steady(right)  # positions are found in one branch, their rows in another
+    rows = right.select(pos.alias("__at"), row.alias("__row"))
+    if all and len(rest) == 1 and _is_range(left, right, rest[0]) and len({i[0] for i in items}) == len(items):
+        keys = [i[0] for i in [*equal, *rest]]
+        hits = _running(left, right, equal, rest[0], order).join(rows, "__at")
+        return back(hits.select(*[F.col(n).alias(c) for n, c in zip([*[f"e{n}" for n in range(len(equal))], "v"], keys)], "__row"), keys)
     used = list(dict.fromkeys(i[0] for i in items if i[0]))
     l_names = {c: f"__k{i}" for i, c in enumerate(used)}
     r_names = {c: f"__v{i}" for i, c in enumerate(dict.fromkeys(i[3] for i in items if i[3]))}
     asked = left.select(*[F.col(f"`{c}`").alias(n) for c, n in l_names.items()]).distinct() if used else left.sparkSession.range(1).select(F.lit(1).alias("__one"))
-    there = right.select(*[F.col(f"`{c}`").alias(n) for c, n in r_names.items()], pos.alias("__at"))
-    condition = (P.conjunction if all else P.disjunction)([_condition(left, right, i, l_names, r_names) for i in items])
-    if not (all and equal) and _bytes(there) <= THETA_BYTES:
-        there = F.broadcast(there)
-    # positions are compared, and rows join once they are known
-    best = asked.join(there, condition).groupBy(*asked.columns).agg(F.min("__at").alias("__at"))
-    best = best.join(right.select(pos.alias("__at"), row.alias("__row")), "__at")
+    if items and (not all or len(items) == 1):
+        best = asked
+        for n, i in enumerate(items):
+            alone = _alone(left, right, i, order).withColumnsRenamed({"v": f"__h{n}", "__at": f"__a{n}"})
+            best = best.join(alone, F.col(l_names[i[0]]).eqNullSafe(F.col(f"__h{n}")), "left") if i[0] else best.join(F.broadcast(alone), F.lit(True), "left")
+        found = [F.col(f"__a{n}") for n in range(len(items))]
+        best = best.select(*asked.columns, (F.least(*found) if len(found) > 1 else found[0]).alias("__at")).where(F.col("__at").isNotNull())
+    else:
+        there = right.select(*[F.col(f"`{c}`").alias(n) for c, n in r_names.items()], pos.alias("__at"))
+        condition = (P.conjunction if all else P.disjunction)([_condition(left, right, i, l_names, r_names) for i in items])
+        if not equal and _bytes(there) <= THETA_BYTES:
+            there = F.broadcast(there)
+        # positions are compared, and rows join once they are known
+        best = asked.join(there, condition).groupBy(*asked.columns).agg(F.min("__at").alias("__at"))
+    best = best.join(rows, "__at")
     if not used:
         return back(best.select("__row"), [])
     return back(best.select(*[F.col(n).alias(c) for c, n in l_names.items()], "__row"), used)
@@ -103,16 +115,41 @@ def _bytes(df: DataFrame) -> int:
     return df.agg(F.sum(width).alias("b")).first()["b"] or 0
 
 
-def _running(left: DataFrame, right: DataFrame, equal: list[tuple], item: tuple, order: Sequence[str], row: Column) -> DataFrame:
-    """First right position by distinct left values, for equalities and one range: a running minimum in the range's direction."""
+def _is_range(left: DataFrame, right: DataFrame, item: tuple) -> bool:
+    lc, _, op, rc, _ = item
+    return not callable(op) and op in FLIP and bool(lc and rc) and P.kind_of(left.schema[lc].dataType) == P.kind_of(right.schema[rc].dataType) != "null"
+
+
+def _alone(left: DataFrame, right: DataFrame, item: tuple, order: Sequence[str]) -> DataFrame:
+    """First right position (__at) by distinct left values (v) for one criterion; one row for all where it has no left column."""
+    lc, _, op, rc, _ = item
+    if _is_range(left, right, item):
+        return _running(left, right, [], item, order)
+    at = F.min(position.key_of(order)).alias("__at")
+    asked = left.select(F.col(f"`{lc}`").alias("v")).distinct() if lc else left.sparkSession.range(1).select(F.lit(1).alias("__one"))
+    # of equal right values the first counts
+    there = right.groupBy(F.col(f"`{rc}`").alias("w")).agg(at) if rc else right.agg(at)
+    if op == "!=" and lc and rc and left.schema[lc].dataType == right.schema[rc].dataType:
+        there = there.orderBy("__at").limit(2)  # a value differs from one of two
+    if op != "==" and _bytes(there) <= THETA_BYTES:
+        there = F.broadcast(there)
+    return asked.join(there, _condition(left, right, item, {lc: "v"}, {rc: "w"})).groupBy(*asked.columns).agg(F.min("__at").alias("__at")).drop("__one")
+
+
+def _running(left: DataFrame, right: DataFrame, equal: list[tuple], item: tuple, order: Sequence[str]) -> DataFrame:
+    """First right position (__at) by distinct left values (e0, …, v), for equalities and one range: a running minimum in the range's direction."""
     lc, _, op, rc, _ = item
     up = op in ("<", "<=")  # left below right: everything from the value upwards
     keys = [(i[0], i[3]) for i in equal]
     pos = position.key_of(order)
-    asked = left.select(*[F.col(f"`{l}`").alias(f"e{n}") for n, (l, _) in enumerate(keys)], F.col(f"`{lc}`").alias("v")).where("v is not null").distinct()
-    both = asked.withColumn("p", F.lit(None).cast(right.select(pos.alias("p")).schema["p"].dataType)).withColumn("ask", F.lit(1)).unionByName(
-        right.select(*[F.col(f"`{r}`").alias(f"e{n}") for n, (_, r) in enumerate(keys)], F.col(f"`{rc}`").alias("v"), pos.alias("p"), F.lit(0).alias("ask")).where("v is not null")
-    )
+    asked = left.select(*[F.col(f"`{l}`").alias(f"e{n}") for n, (l, _) in enumerate(keys)], F.col(f"`{lc}`").alias("v")).where("v is not null")
+    there = right.select(*[F.col(f"`{r}`").alias(f"e{n}") for n, (_, r) in enumerate(keys)], F.col(f"`{rc}`").alias("v"), pos.alias("p")).where("v is not null")
+    # values of two types are distinct in the wider one, in which they compare
+    wide = asked.union(there.select(asked.columns)).schema
+    asked = asked.select(*[F.col(c).cast(wide[c].dataType).alias(c) for c in asked.columns]).distinct()
+    if not keys:
+        there = there.groupBy("v").agg(F.min("p").alias("p"))  # of equal values the first counts, so none is on many rows
+    both = asked.withColumn("p", F.lit(None).cast(there.schema["p"].dataType)).withColumn("ask", F.lit(1)).unionByName(there.withColumn("ask", F.lit(0)))
     # rows that count for an equal value come before the question, others after it
     rank = F.col("ask") if op in ("<=", ">=") else -F.col("ask")
     part = [F.col(f"e{n}") for n in range(len(keys))]
@@ -135,9 +172,7 @@ def _running(left: DataFrame, right: DataFrame, equal: list[tuple], item: tuple,
                 answered = answered.join(carried, same).withColumn("first", F.least("first", "m"))
             else:
                 answered = answered.join(F.broadcast(carried), position.RANGE).withColumn("first", F.least("first", "m"))
-    hits = answered.where("ask = 1 and first is not null").select(*part, "v", "first")
-    full = hits.join(right.select(pos.alias("first"), row.alias("__row")), "first")
-    return full.select(*[F.col(f"e{n}").alias(l) for n, (l, _) in enumerate(keys)], F.col("v").alias(lc), "__row")
+    return answered.where("ask = 1 and first is not null").select(*part, "v", F.col("first").alias("__at"))
 
 
 def match(left: DataFrame, right: DataFrame, *criteria: tuple, keep_left: Sequence[str] | None = None, keep_right: Sequence[str] | None = None, right_order: Sequence[str] | None = None) -> DataFrame:

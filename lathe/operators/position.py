@@ -86,7 +86,7 @@ def range_bounds(df: DataFrame, order: Sequence[str], ranges: int | None = None)
         return []
     every = max(n // (parts * PER_RANGE), 1)
     picked = keys.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).distinct()
-    rows = sorted((tuple(r) for r in picked.collect() if all(v is not None for v in r)))
+    rows = sorted((tuple(r) for r in picked.collect() if all(v is not None and v == v for v in r)))
     if not rows:
         return []
     cuts = sorted({rows[len(rows) * i // parts] for i in range(1, parts)})

@@ -780,6 +780,69 @@ def test_theta_lookup_without_broadcast(make, monkeypatch):
     assert left.lookup(right, ("a", "<", "c"), ("b", "<", "d"), all=False).rows() == want
 
 
+ANY_LOOKUPS = {
+    "equal or below": [("a", "==", "p"), ("b", "<", "q")],
+    "two ranges": [("a", ">=", "p"), ("b", "<=", "q")],
+    "one range": [("b", ">", "q")],
+    "unequal": [("b", "!=", "q")],
+    "unequal or equal": [("s", "!=", "u"), ("a", "==", "p")],
+    "inside": [("s", "in", "u"), ("b", ">", "q")],
+    "not inside": [("s", "not in", "u"), ("a", "==", "p")],
+    "literals": [("s", "==", "x"), (7, "==", "p"), ("a", "==", "p")],
+    "other kinds": [("t", "==", "p"), ("t", "<", "q"), ("a", "==", "p")],
+    "wider type": [("n", "==", "d"), ("n", "<", "d")],
+    "equal in the wider type": [("n", "==", "d"), ("a", ">", "p")],
+}
+
+
+@pytest.mark.parametrize("name", ANY_LOOKUPS)
+def test_any_lookup_against_loops(make, monkeypatch, name):
+    """In many ranges, with nulls, equal values and values that only differ in the narrower type."""
+    import operator
+
+    monkeypatch.setattr(position, "RANGE_ROWS", 5)
+    big = 2**53
+    left = {"a": [i % 5 if i % 7 else None for i in range(40)], "b": [(i * 17) % 50 if i % 6 else None for i in range(40)], "s": [["x", "xy", "z", None][i % 4] for i in range(40)], "t": ["x"] * 40, "n": [big + i % 4 for i in range(40)]}
+    right = {"p": [(i * 3) % 9 + 2 if i % 5 else None for i in range(30)], "q": [(i * 13) % 40 if i % 4 else None for i in range(30)], "u": [["xyz", "y", "x", None][(i // 3) % 4] for i in range(30)], "d": [float(big - 6 + 2 * ((i * 7) % 5)) for i in range(30)]}
+    order = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+
+    def meets(x, op, y):
+        if "in" in op:
+            return ((x is None and y is None) or (x is not None and y is not None and x in y)) is (op == "in")
+        if isinstance(x, float) or isinstance(y, float):
+            x, y = (None if v is None else float(v) for v in (x, y))
+        if op in order:
+            return type(x) is type(y) and x is not None and order[op](x, y)
+        return (x == y) is (op == "==")
+
+    def side(table, given, i):
+        return table[given][i] if given in table else given
+
+    want = [next((j for j in range(30) if any(meets(side(left, l, i), op, side(right, r, j)) for l, op, r in ANY_LOOKUPS[name])), None) for i in range(40)]
+    got = make(i=list(range(40)), **left).lookup(make(j=list(range(30)), **right), *ANY_LOOKUPS[name], all=False)
+    assert sorted((r.i, r.j) for r in got.df.select("i", "j").collect()) == list(enumerate(want))
+
+
+def test_any_lookup_pairs_no_rows(spark):
+    from lathe.plans.catalogue import QUERIES
+
+    plan = QUERIES["lookup_any"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_lookup_in_a_sorted_table(spark):
+    """The row order that sorting makes is the same where positions are found and where their rows are."""
+    n = 20_000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(n).select((F.col("id") * 7919 % n).alias("w"), F.col("id").alias("k"), F.col("id").cast("string").alias("text")).repartition(7)
+        left = Table(spark.range(500).select((F.col("id") * 40).alias("v")))
+        got = left.lookup(Table(rows).sort({"w": True}), ("v", "==", "w"), all=False).df.select("v", "k", "text").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(map(tuple, got)) == [(v, k := v * pow(7919, -1, n) % n, str(k)) for v in range(0, n, 40)]
+
+
 def test_gathered_rows_keep_their_places(spark, monkeypatch):
     """A gathered or sorted table over many ranges, read once for its sizes and once for its rows."""
     monkeypatch.setattr(position, "RANGE_ROWS", 2_000)
