@@ -32,18 +32,19 @@ class Scratch:
 
     A call writes a frame and gives it back as read from there, so that later jobs neither
     recompute its plan nor lose it with an executor.  ``clear`` removes the tables once
-    nothing reads them; what is never cleared goes when the session ends.
+    nothing reads them; what is never cleared goes when the session ends.  ``files`` is the
+    most files of a table, for pieces of work that know their size.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+    def __init__(self, spark: SparkSession, files: int | None = None):
+        self.spark, self.folder, self.n, self.files = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0, files
         system, path = _located(spark, self.folder)
         system.mkdirs(path)
         system.deleteOnExit(path)
 
     def __call__(self, df: DataFrame) -> DataFrame:
         path, self.n = f"{self.folder}/{self.n}", self.n + 1
-        df.write.parquet(path)
+        (df.coalesce(self.files) if self.files else df).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
@@ -51,6 +52,6 @@ class Scratch:
         system.delete(path, True)
 
 
-def spool(df: DataFrame) -> DataFrame:
+def spool(df: DataFrame, files: int | None = None) -> DataFrame:
     """A frame as a Parquet table in the shared folder, which goes when the session ends: for results and for what is read to the end."""
-    return Scratch(df.sparkSession)(df)
+    return Scratch(df.sparkSession, files)(df)

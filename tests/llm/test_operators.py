@@ -968,6 +968,33 @@ def test_quality_of_outlying_and_hot_keys(spark, docs, monkeypatch):
     assert len(sizes) > 8 and sorted(sizes)[-2] <= 4 * 50_000
 
 
+def test_quality_writes_few_files(spark, monkeypatch):
+    """Files start processes that share an executor's memory: a table's number follows the text, not the partitions, and no row is lost."""
+    from lathe import scratch
+    from lathe.llm.quality import classify
+
+    table, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1")
+    want = {r.doc_id: (r.perplexity, r.kept) for r in classify(table, labels).collect()}
+    files, write = [], scratch.Scratch.__call__
+
+    def counted(self, df):
+        files.append(len((out := write(self, df)).inputFiles()))
+        return out
+
+    monkeypatch.setattr(scratch.Scratch, "__call__", counted)
+    many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: (r.perplexity, r.kept) for r in classify(table.repartition(40), labels).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
+    assert files and max(files) <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_answers_in_any_alphabet():
     import numpy as np
 
